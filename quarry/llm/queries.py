@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, url_filter
+import public_tokenizers
+
+from quarry.llm import bpe, mixing, token_files, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
@@ -18,6 +20,16 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.new_folder(docs)
+    return token_files.read(token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1), folder)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents"))
     return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,4 +68,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op8_mix_sources": op8_mix_sources}
+QUERIES = {"op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources}
