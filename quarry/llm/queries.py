@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import bpe, mixing, token_files, url_filter
+from quarry.llm import bpe, fingerprints, mixing, token_files, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
@@ -35,6 +35,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edited(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op4_url_filters": r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
@@ -68,4 +72,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources}
+QUERIES = {"op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op10_fingerprints": op10_fingerprints}
