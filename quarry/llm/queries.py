@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import bpe, fingerprints, mixing, token_files, url_filter
+from quarry.llm import bpe, fingerprints, mixing, token_files, toxicity, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
@@ -35,6 +35,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "spans")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited(table(spark, sf_dir, "documents"))
 
@@ -72,4 +83,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
