@@ -74,6 +74,15 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, ou
     return numbered.alias("l").join(bases.alias("r"), cond).select(*keep, (F.col(f"l.{out}") + F.col(f"r.{base}")).alias(out))
 
 
+#: Rows of narrow keys that may be broadcast, after they are counted; about 64 MB in a hash table.
+MOST_BROADCAST = 1_000_000
+
+
+def few(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """keys, a narrow written table, marked for broadcast if its counted rows are at most `most`; else joins shuffle it."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 class WordHashes:
     """64-bit hashes of words, remembered in the worker. The memory is bounded: it is emptied beyond `most` words."""
 

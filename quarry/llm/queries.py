@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import bpe, fingerprints, mixing, token_files, toxicity, url_filter
+from quarry.llm import bpe, fingerprints, mixing, ngram_jaccard, token_files, toxicity, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "key string, verdict string")
@@ -51,6 +55,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id
+""",
     "op4_url_filters": r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -83,4 +99,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
