@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import bpe, fingerprints, mixing, ngram_jaccard, token_files, toxicity, url_filter
+from quarry.llm import bpe, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(table(spark, sf_dir, "documents")).select("doc_id", "begin_word", "end_word")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -55,6 +59,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_suffix_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS b, array_to_string(w[i:i + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+c AS (SELECT t FROM p GROUP BY t HAVING count(*) > 1),
+s AS (SELECT DISTINCT doc_id, b FROM p JOIN c USING (t)),
+g AS (SELECT doc_id, b, CASE WHEN b <= lag(b) OVER (PARTITION BY doc_id ORDER BY b) + 50 THEN 0 ELSE 1 END AS fresh FROM s),
+h AS (SELECT doc_id, b, sum(fresh) OVER (PARTITION BY doc_id ORDER BY b) AS k FROM g)
+SELECT doc_id, min(b) AS begin_word, max(b) + 50 AS end_word FROM h GROUP BY doc_id, k
+""",
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
@@ -99,4 +112,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
