@@ -37,7 +37,8 @@ INDEX = np.dtype([("first", "<i8"), ("last", "<i8"), ("docs", "<u4"), ("tokens",
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 
 #: Words that a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+RUN = 2000  #: words of letters encoded in one call
 
 _odd_space = re.compile("[\x1c-\x1f]").search
 _loaded: dict[str, tuple] = {}
@@ -57,27 +58,46 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        todo = [w for w in words if w not in self.known]
+        todo = words.difference(self.known)
         # letters, then one "," or ".": two matches of the pre-tokeniser
         ends = {w: w[:-1] for w in todo if w[-1:] in (",", ".") and w[:-1].isalpha()}
-        plain = list({w for w in todo if w not in ends} | ({*ends.values(), ",", "."} if ends else set()))
-        plain = [w for w in plain if w not in self.known]
-        for w, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        plain = (todo.difference(ends) | ({*ends.values(), ",", "."} if ends else set())).difference(self.known)
+        letters = sorted(w for w in plain if w.isalpha())
+        self._one_by_one([w for w in plain if not w.isalpha()])
+        for k in range(0, len(letters), RUN):
+            self._as_text(letters[k : k + RUN])
         for w, base in ends.items():
             self.known[w] = self.known[base] + self.known[w[-1]]
 
-    def __call__(self, text: str | None) -> bytes:
-        words = _words(text) if text else []
+    def _one_by_one(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def _as_text(self, words: list[str]) -> None:
+        """Words of letters in one call, parted again behind each token that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else []
+        if len(ends) != len(words):  # lower case or composition made other characters of some letters
+            return self._one_by_one(words)
+        begin = 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.known[w] = ids[begin:end].tobytes()
+            begin = end
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        parted = [_words(t) if t else [] for t in texts]
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return [b"".join(map(self.known.__getitem__, words)) for words in parted]
         except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            self.learn(set().union(*parted))
+            return [b"".join(map(self.known.__getitem__, words)) for words in parted]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -94,8 +114,8 @@ def encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataF
         for b in batches:
             ids = b.column(0).to_pylist()
             out = []
-            for text in b.column(1):
-                a = np.frombuffer(encode(text.as_py()) + end, np.uint32)
+            for raw in encode(b.column(1).to_pylist()):
+                a = np.frombuffer(raw + end, np.uint32)
                 out.append(b"\2" + a.astype("<u2").tobytes() if int(a.max()) < 65536 else b"\4" + a.astype("<u4").tobytes())
             bucket = [0 if i is None else int(np.searchsorted(edges, i, side="left")) for i in ids]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())})
