@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import bpe, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
+from quarry.llm import ann, bpe, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
@@ -22,6 +22,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(ann.usable(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "key string, verdict string")
@@ -112,4 +116,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_nearest": op3_nearest, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
