@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import ann, bpe, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
+from quarry.llm import ann, bpe, chat, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
@@ -42,6 +42,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1), folder)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.linked(*chat.from_turns(table(spark, sf_dir, "conversations")))
+    return rows.withColumn("errors", F.array_join("errors", ";"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents"))
     return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
@@ -93,6 +98,23 @@ f AS (SELECT h.*, rhost || rpath AS rule, rverdict,
       row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
       FROM h LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM f WHERE k = 1
+""",
+    "op7_chat": r"""
+WITH RECURSIVE t AS (SELECT *, conv_id || '-' || turn AS id FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT id, conv_id, turn, CASE WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name,
+      '{"conv_id":' || conv_id || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text)::VARCHAR END || ',"turn":' || turn || '}' AS arguments, text IS NULL AS bad,
+      CASE WHEN turn >= 2 THEN conv_id || '-' || (turn - 2) WHEN turn = 1 THEN conv_id || '-0' END AS after,
+      row_number() OVER (PARTITION BY id ORDER BY turn, '{"conv_id":' || conv_id || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text)::VARCHAR END) AS k FROM t WHERE role <> 'assistant'),
+r AS (SELECT conv_id || '-' || (turn - 1) AS id, turn, text, row_number() OVER (PARTITION BY conv_id || '-' || (turn - 1) ORDER BY turn, text NULLS FIRST) AS k FROM t WHERE role = 'assistant'),
+u AS MATERIALIZED (SELECT id, after FROM c WHERE k = 1),
+v AS (SELECT u.id, 0 AS level FROM u LEFT JOIN u p ON u.after = p.id WHERE p.id IS NULL UNION ALL SELECT u.id, v.level + 1 FROM u JOIN v ON u.after = v.id)
+SELECT c.conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.id, r.id) AS call_id, c.name, CAST(v.level AS BIGINT) AS level,
+       CASE WHEN c.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'open' ELSE 'answered' END AS status,
+       CASE WHEN c.bad THEN 'missing text' ELSE '' END AS errors,
+       '{' || CASE WHEN c.after IS NULL THEN '' ELSE '"after":"' || c.after || '",' END || CASE WHEN c.id IS NULL THEN '' ELSE '"arguments":' || c.arguments || ',' END
+       || '"id":"' || coalesce(c.id, r.id) || '"' || CASE WHEN c.id IS NULL THEN '' ELSE ',"name":"' || c.name || '"' END
+       || CASE WHEN r.text IS NULL THEN '' ELSE ',"result":' || to_json(r.text)::VARCHAR END || '}' AS json
+FROM (SELECT * FROM c WHERE k = 1) c FULL JOIN (SELECT * FROM r WHERE k = 1) r ON c.id = r.id LEFT JOIN v ON c.id = v.id
 """,
     "op8_mix_sources": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -116,4 +138,4 @@ SELECT doc_id, size, source_size, target,
 """,
 }
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_nearest": op3_nearest, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_nearest": op3_nearest, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op7_chat": op7_chat, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
