@@ -42,3 +42,12 @@ def ship_package(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = getattr(spark.sparkContext, "_quarry_scratch", None) or "file://" + tempfile.mkdtemp(prefix="quarry-scratch-")
+        spark.sparkContext._quarry_scratch = found
+    return found.rstrip("/")
