@@ -92,7 +92,7 @@ FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.
     "op4_url_filters": r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-      regexp_extract(url, '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1) AS path FROM p),
+      regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM p),
 rules(rhost, rpath, rverdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f AS (SELECT h.*, rhost || rpath AS rule, rverdict,
       row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k

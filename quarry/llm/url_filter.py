@@ -29,7 +29,7 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to "?", "#" or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
 def canonical(url: Column) -> Column:
