@@ -1,0 +1,396 @@
+"""Edge cases of the operators: nulls, empty and long texts, ties, repeats, empty tables, extra columns, hot groups."""
+
+import io
+import json
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import ann, bpe, chat, common, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
+from quarry.llm.components import components
+
+import public_tokenizers
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, source string, node string, count long, key string, chunk string"
+
+
+def docs(spark, *rows):
+    """doc_id, text (and source), with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else "s", "x", 1, "k", "c") for r in rows], SCHEMA)
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+
+# ---- shared ----------------------------------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (2, 1), (100, 9)], "a long, b long")
+    assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8), (100, 8)}
+    assert components(links.filter("false")).count() == 0
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(chain).select("component").distinct().count() == 1
+
+
+def test_ranked(spark):
+    rows = spark.range(100).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    got = common.ranked(rows, ["g"], [F.col("id")], F.floor(F.col("id") / 7), "before", F.col("id")).collect()
+    for r in got:
+        assert r.before == sum(i for i in range(r.id) if (i % 3 or None) == r.g)
+
+
+# ---- 1: suffix arrays ------------------------------------------------------------------------------------------------
+
+
+def covered(texts, length):
+    """Words of each document in a stretch of `length` words that stands twice, and in one that stands earlier, by brute force."""
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    places = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - length + 1):
+            places.setdefault(tuple(words[i][k : k + length]), []).append((i, k))
+    twice, later = set(), set()
+    for at in places.values():
+        for n, (i, k) in enumerate(at):
+            if len(at) > 1:
+                twice |= {(i, k + j) for j in range(length)}
+                if n:
+                    later |= {(i, k + j) for j in range(length)}
+    return twice, later
+
+
+def test_suffix_dedup_is_brute_force(spark):
+    passage, other = prose(1, 60), prose(2, 55)
+    texts = {
+        1: f"{prose(3, 40)} {passage} {prose(4, 30)}",
+        2: f"{passage.upper()} {other}",
+        3: f"{prose(5, 10)} {other} {prose(6, 5)} {other}",
+        4: prose(7, 300),
+        5: f"{prose(8, 9)} {' '.join(passage.split()[:49])}",
+        6: "a " * 130,
+        7: None,
+        8: "",
+        9: prose(7, 300),
+        10: f"{' '.join(passage.split()[5:])} {prose(9, 2000)}",
+        11: f"{prose(10, 1)} {' '.join(passage.split()[:52])} tail",
+    }
+    found = suffix_dedup.spans(docs(spark, *texts.items())).collect()
+    twice, later = covered(texts, 50)
+    assert {(r.doc_id, w) for r in found for w in range(r.begin_word, r.end_word)} == twice
+    assert {(r.doc_id, w) for r in found for x in r.later for w in range(x["begin"], x["end"])} == later
+    kept = {r.doc_id: r.text for r in suffix_dedup.without_later(docs(spark, *texts.items())).collect()}
+    assert kept[1] == texts[1] and kept[4] == texts[4] and 9 not in kept and kept[7] is None and kept[8] == ""
+    assert kept[2].split() == [] or passage.upper() not in kept[2]
+
+
+def test_suffix_dedup_repeats_and_empty(spark):
+    same = prose(1, 80)
+    rows = docs(spark, *[(i, same) for i in range(300)], (None, same), (5, same))
+    got = suffix_dedup.without_later(rows).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(None, same)]
+    assert suffix_dedup.spans(docs(spark)).count() == 0 and suffix_dedup.without_later(docs(spark)).count() == 0
+    hot = [(i, f"{prose(100 + i, 20)} {same} {prose(900 + i, 20)}") for i in range(60)]
+    assert Counter(r.doc_id for r in suffix_dedup.spans(docs(spark, *hot)).collect()) == {i: 1 for i in range(60)}
+
+
+# ---- 2: n-gram Jaccard -----------------------------------------------------------------------------------------------
+
+
+def grams(text, n):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def brute_groups(texts, n, num, den):
+    sets, root = {i: grams(t, n) for i, t in texts.items()}, {i: i for i in texts}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if v == old else v for k, v in root.items()}
+    return {i: (len(sets[i]), root[i]) for i in texts}
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
+def test_jaccard_is_brute_force(spark, n, num):
+    rng = np.random.default_rng(n)
+    texts = {1: "One two", 2: "one TWO", 3: "one", 4: None, 5: "", 6: " \t\n", 7: "a b c", 8: "a b c d"}
+    base = [prose(20 + k, size) for k, size in enumerate((12, 40, 150, 700))]
+    for k in range(120):
+        words = base[k % 4].split()
+        for _ in range(rng.integers(0, 1 + len(words) // 12)):
+            words[rng.integers(0, len(words))] = f"new{rng.integers(1 << 30)}"
+        texts[100 + k] = " ".join(words[: len(words) - rng.integers(0, 1 + len(words) // 15)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.groups(docs(spark, *texts.items()), n, num, 100).collect()}
+    assert got == brute_groups(texts, n, num, 100)
+
+
+def test_jaccard_blocks_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", 4000)
+    words = prose(3, 60).split()
+    texts = {i: " ".join([*words[:i % 50], f"x{i}", *words[i % 50 + 1 :]]) for i in range(1, 90)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.groups(docs(spark, *texts.items()), 3, 90, 100).collect()}
+    assert got == brute_groups(texts, 3, 90, 100)
+    rows = docs(spark, *[(i, "a b c d") for i in range(50)], (None, "a b c d"), (7, "q r s t"), (7, "q r s t"))
+    kept = ngram_jaccard.first_of_group(rows, 3, 90, 100).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == [(False, 0, "a b c d"), (True, 0, "a b c d")]
+    assert ngram_jaccard.groups(docs(spark)).count() == 0
+
+
+# ---- 3: nearest neighbours -------------------------------------------------------------------------------------------
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], "x") for i in range(300)]
+    rows += [(1000 + i, rows[0][1], "x") for i in range(12)]
+    odd = [(2000, None, "x"), (2001, [0.0] * 8, "x"), (2002, [float("nan")] + [1.0] * 7, "x"), (2003, [1.0], "x"), (2004, [float("inf")] * 8, "x"), (None, [1.0] * 8, "x"), (2005, [], "x"), (2006, [None] + [1.0] * 7, "x")]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, list string")
+    got = ann.search(ann.usable(df), F.col("vec_id") % 100 == 0, probe=1.0).collect()
+    mine = [(r.rank, r.vec_id) for r in got if r.query_id == 0]
+    assert sorted(mine) == [(k + 1, 1000 + k) for k in range(10)]
+    assert {r.query_id for r in got} == {0, 100, 200, 1000} and all(r.vec_id < 2000 for r in got)
+    few = ann.search(ann.usable(df.filter("vec_id < 3")), F.col("vec_id") == 0).collect()
+    assert len(few) == 2
+    assert ann.search(ann.usable(df.filter("false")), F.col("vec_id") == 0).count() == 0
+
+
+# ---- 4: URL filters --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path", "rule", "verdict"),
+    [
+        ("http://a.net/x", "a.net", "/x", "net/", "block"),
+        ("http://a.net", "a.net", "", None, "allow"),
+        ("http://A.Example.NET/en/1?q#f", "a.example.net", "/en/1", "example.net/en/", "allow"),
+        ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
+        ("http://example.com/de/x", "example.com", "/de/x", "example.com/de/", "block"),
+        ("x://y.org/fr/", "y.org", "/fr/", "org/fr/", "allow"),
+        ("nothing", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("", "", "", None, "allow"),
+        ("http://", "", "", None, "allow"),
+        ("http://a.org?x=http://b.net/", "a.org", "", None, "allow"),
+        ("http://b.net/a//b/#/c", "b.net", "/a//b/", "net/", "block"),
+    ],
+)
+def test_urls(spark, url, host, path, rule, verdict):
+    rules = spark.createDataFrame([("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "block")], "key string, verdict string")
+    pages = spark.createDataFrame([(1, url, "mine"), (2, url, "mine")], "page_id long, url string, verdict string")
+    assert [tuple(r) for r in url_filter.judge(pages, rules).orderBy("page_id").collect()] == [(k, url, host, path, rule, verdict) for k in (1, 2)]
+
+
+def test_bloom_passes_all_listed_and_few_others(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("h/"), "id").alias("k"))
+    asked = spark.range(1000, 41000).select(F.concat(F.lit("h/"), "id").alias("k"))
+    passed = {r.k for r in url_filter.possible(asked, "k", keys, "k").collect()}
+    assert {f"h/{i}" for i in range(1000, 2000)} <= passed and len(passed) < 1000 + 39000 * 0.01
+    assert url_filter.possible(asked, "k", keys.filter("false"), "k").count() == 0
+
+
+# ---- 5 and 6: tokens -------------------------------------------------------------------------------------------------
+
+ODD = ["", None, " ", "\n", "a  b", " a", "a ", "don't  stop", "x \n y", "\u00a0x\u2003 y", "a\x1cb \x1c c", "\u0130stanbul Σας e\u0301 ẛ̣", "123 456a", "<|endoftext|> a<|startoftext|>b", "'s 'S", "日本語 テキスト", "🙂 🙂🙂", "w" * 5000, "a, b. c,d", "\0 x \0y", "\ufeffa", "a\r\nb\tc", "l'été, c'est."]
+
+
+def test_bpe_round_trip(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rows = docs(spark, *enumerate(ODD), (None, "null id"), (3, "again"))
+    got = bpe.encode(rows, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(ODD) + 2
+    want = Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t in [*enumerate(ODD), (None, "null id"), (3, "again")])
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want and all(r.n_tokens == len(r.ids) for r in got)
+    back = bpe.decode(bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in back) == Counter((i, t or "") for i, t in [*enumerate(ODD), (None, "null id"), (3, "again")])
+    assert bpe.digests(docs(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_files(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    rows = docs(spark, *enumerate(ODD), (None, "null id"), (3, "again"))
+    folder = token_files.new_folder(rows)
+    manifest = token_files.write(rows, folder, WORDS, 1)
+    got = token_files.read(manifest, folder).collect()
+    ids = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in [*enumerate(ODD), (None, "null id"), (3, "again")]]
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(x)) for i, x in ids)
+    order = sorted(got, key=lambda r: r.start)
+    assert order[0].doc_id is None and [r.doc_id for r in order[1:]] == sorted(i for i, _ in ids if i is not None)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(order, order[1:], strict=False))
+    empty = token_files.new_folder(rows)
+    assert token_files.read(token_files.write(docs(spark), empty, WORDS, 1), empty).count() == 0
+
+
+def test_token_file_frames():
+    out = io.BytesIO()
+    w = token_files.Writer(out, frame_tokens=100)
+    for i in range(50):
+        w.add(i * 2, np.arange(i + 1, dtype=np.uint32))
+    w.add(None, np.array([7], np.uint32))
+    w.close()
+    r = token_files.Reader(io.BytesIO(out.getvalue()))
+    assert len(r.index) > 5 and [d for d, _ in r] == [*range(0, 100, 2), None]
+    assert {d: len(x) for d, x in r.documents({4, 98, 5})} == {4: 3, 98: 50}
+    raw = bytearray(out.getvalue())
+    raw[int(r.offsets[1]) - 2] ^= 255
+    with pytest.raises(Exception):  # noqa: B017  zstandard's own check or ours
+        list(token_files.Reader(io.BytesIO(bytes(raw))))
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read()
+    assert len(whole) == int(r.entries["size"].sum())
+
+
+# ---- 7: chat ---------------------------------------------------------------------------------------------------------
+
+
+def test_chat(spark):
+    calls = [(1, "a", "f", '{"y": 1.5, "x": "t"}', None, 0), (1, "b", "f", '{"x": 3, "z": 1}', "a", 1), (1, "c", "g", "{}", "b", 2), (1, "d", "f", "{bad", "zz", 3), (1, "e", "f", None, "f", 4), (1, "f", "f", '{"x": "\\n"}', "e", 5), (1, "a", "f", '{"x": "later"}', None, 9), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, name string, arguments string, after string, turn long")
+    results = spark.createDataFrame([("a", "ok", 1), ("a", "again", 2), ("q", "lost", 3), ("b", None, 2)], "call_id string, content string, turn long")
+    schemas = spark.createDataFrame([("f", "x", "string", True), ("f", "y", "number", False), (None, "x", "string", True)], "name string, param string, kind string, required boolean")
+    got = {r.call_id: r for r in chat.linked(df, results, schemas).collect()}
+    assert {k: (r.level, r.status, list(r.errors)) for k, r in got.items()} == {
+        "a": (0, "answered", []),
+        "b": (1, "answered", ["unknown z"]),
+        "c": (2, "open", ["name"]),
+        "d": (0, "open", ["arguments"]),
+        "e": (None, "open", ["arguments"]),
+        "f": (None, "open", []),
+        "q": (None, "orphan", []),
+        None: (0, "open", ["name"]),
+    }
+    assert got["a"].json == '{"arguments":{"x":"t","y":1.5},"id":"a","name":"f","result":"ok"}'
+    assert json.loads(got["f"].json)["arguments"] == {"x": "\n"}
+    assert chat.linked(df.filter("false"), results.filter("false"), schemas).count() == 0
+    chain = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.lit("f").alias("name"), F.lit("{}").alias("arguments"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"), F.col("id").alias("turn"))
+    assert chat.levels(chain).agg(F.max("level"), F.countDistinct("level")).first() == (2999, 3000)
+
+
+# ---- 8: mixing -------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (1 + i % 60), f"s{i % 5}" if i % 11 else None) for i in range(1500)]
+    rows += [(5000 + i, "w " * 40, "hot") for i in range(1500)] + [(9000, None, "hot"), (9001, "", "s1"), (9002, "one", "tiny"), (None, "a b c", "s2"), (9003, "w " * 30000, "s3")]
+    rows += [(1, "w w", "s1"), (1, "w w", "s1")]
+    got = mixing.taken(mixing.sized(docs(spark, *rows))).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    total = sum(r.size for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.taken
+    assert abs(sum(x[0] for x in by.values()) - total) < 1e-6
+    for target, size, taken in by.values():
+        assert target <= 3 * size and abs(taken - target) <= max(64, 0.02 * target)
+    names = [*sorted(x for x in by if x is not None), None]
+    free = [by[n][0] / (1, 2, 3)[k % 3] for k, n in enumerate(names) if by[n][0] < 3 * by[n][1]]
+    assert max(free) - min(free) < 1e-6 * max(free)
+    again = mixing.taken(mixing.sized(docs(spark, *rows[::-1]))).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    assert mixing.taken(mixing.sized(docs(spark))).count() == 0
+    assert mixing.taken(mixing.sized(docs(spark, (1, None), (2, "")))).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_mix_is_the_schedule(spark):
+    sizes = mixing.sized(docs(spark, *[(i, "w " * 50, f"s{i % 3}") for i in range(200)]))
+    per = {r.doc_id: r.n for r in mixing.mix(sizes).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
+    assert {r.doc_id: r.taken for r in mixing.taken(sizes).filter("taken > 0").collect()} == per
+    out = mixing.mixed_documents(docs(spark, *[(i, "w " * 50, f"s{i % 3}") for i in range(200)], (900, None)))
+    assert out.columns == docs(spark).columns and out.filter("doc_id = 900").count() == 1
+
+
+# ---- 9: toxicity -----------------------------------------------------------------------------------------------------
+
+
+def brute_marginals(e, steps):
+    import itertools
+
+    weights = {}
+    for states in itertools.product((0, 1), repeat=len(e)):
+        s = sum(e[i] for i, x in enumerate(states) if x) + sum(steps[2 * a + b] for a, b in zip(states, states[1:], strict=False))
+        weights[states] = np.exp(s)
+    z = sum(weights.values())
+    return [sum(w for s, w in weights.items() if s[i]) / z for i in range(len(e))]
+
+
+def test_marginals_are_brute_force():
+    rng = np.random.default_rng(3)
+    steps = rng.normal(size=4)
+    es = [rng.normal(size=n) for n in (1, 5, 8, 0, 3)]
+    for e, p in zip(es, toxicity.marginals(es, steps), strict=True):
+        assert np.allclose(p, brute_marginals(e, steps) if len(e) else [])
+
+
+def test_toxicity_learns(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(i, 60).split()
+        toxic = int(i % 4 == 0)
+        if toxic:
+            for _ in range(4):
+                words[rng.integers(0, 60)] = rng.choice(["vilest", "nastyfoo", "nastybar"]) + ","
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic if i % 50 else None))
+    rows += [(1000, None), (1001, ""), (1002, "vilest " * 30000), (None, "vilest vilest vilest nastyfoo")]
+    df, l = docs(spark, *rows), spark.createDataFrame([*labels, (None, 1)], "doc_id long, toxic int")  # noqa: E741
+    model = toxicity.train(df.filter("doc_id < 400"), l)
+    got = {r.doc_id: r for r in toxicity.score(df, model, ("doc_id", "count")).collect()}
+    held = [(got[i].score >= 0.5) == (i % 4 == 0) for i in range(400, 600)]
+    assert np.mean(held) > 0.95 and all(0 <= r.score <= 1 for r in got.values())
+    assert got[1000].score == got[1001].score < 0.5 < got[1002].score and got[None].score > 0.5
+    text = dict(rows)[404]
+    assert got[404].spans and all("nasty" in text[s["begin"] : s["end"]] or "vilest" in text[s["begin"] : s["end"]] for s in got[404].spans)
+    none = toxicity.train(df, l.filter("false"))
+    assert toxicity.score(df, none).agg(F.max("score")).first()[0] < 0.01
+    assert toxicity.score(docs(spark), model).count() == 0
+
+
+# ---- 10: fingerprints ------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark):
+    a = prose(1, 400)
+    b = a[:1000] + "Z" + a[1001:]
+    shifted = a[:900] + "i" + a[900:]
+    digits = fingerprints.samples_of([a, b, a, prose(2, 400), "", "x", shifted])
+    like = lambda i, j: fingerprints.likeness(digits[i : i + 1], digits[j : j + 1])[0]
+    assert like(0, 2) == 1 and like(0, 1) > 0.9 and like(0, 6) > 0.75 and like(0, 3) < 0.15 and like(4, 4) == 1 and like(4, 0) == 0
+    names = fingerprints.to_text(digits)
+    assert np.array_equal(fingerprints.from_text(names)[:, :50], digits[:, :50])
+    alone = fingerprints.to_text(fingerprints.samples_of([b]))
+    assert alone[0] == names[1]
+
+
+def test_edited_order(spark):
+    rows = [(9, "abcdef"), (7, None), (5, "uvwxyz" * 200), (5, "aa"), (3, ""), (None, "null one"), (1, "é🙂é🙂é🙂")]
+    got = fingerprints.with_edited(docs(spark, *rows)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    import hashlib
+
+    edited = {r.doc_id: r.edited_sha256 for r in got if r.doc_id != 5}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert edited[9] == sha("abcdef"[:4]) and edited[None] == sha("null o" + "ab") and edited[1] == sha("é🙂é🙂" + "nu")
+    one = fingerprints.with_edited(docs(spark, (1, "abcabc"))).collect()
+    assert len(one) == 1 and one[0].near_next == 1 and fingerprints.with_edited(docs(spark)).count() == 0
+
+
+def test_near_duplicates(spark):
+    a = prose(1, 300)
+    rows = docs(spark, (1, a), (2, a[:700] + "!" + a[700:]), (3, prose(2, 300)), (4, None))
+    pairs = fingerprints.near_duplicates(fingerprints.fingerprints(rows)).collect()
+    assert [(p.doc_id, p.other_id) for p in pairs] == [(1, 2)]
