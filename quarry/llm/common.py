@@ -74,8 +74,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, ou
     return numbered.alias("l").join(bases.alias("r"), cond).select(*keep, (F.col(f"l.{out}") + F.col(f"r.{base}")).alias(out))
 
 
-#: Rows of narrow keys that may be broadcast, after they are counted; about 64 MB in a hash table.
-MOST_BROADCAST = 1_000_000
+#: Rows of narrow keys that may be broadcast, after they are counted; about 16 MB in a hash table.
+MOST_BROADCAST = 250_000
 
 
 def few(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:

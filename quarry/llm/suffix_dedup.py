@@ -240,7 +240,7 @@ def spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     known = classes.select("key", "kind", "count", F.struct("doc", "at").alias("own")).join(extended, ["key", "kind"], "left")
     known = common.materialise(known.filter("count > 1 or shared is not null"), "repeated-suffixes")
 
-    each = docs.mapInArrow(_retained(words, False), FIELDS).drop("count").join(common.few(known), ["key", "kind"])
+    each = docs.mapInArrow(_retained(words, False), FIELDS).drop("count").join(known, ["key", "kind"])
     place = F.struct("doc", "at")
     whole = F.when(F.col("count") > 1, F.array(F.struct(F.col("begin").alias("b"), (F.col("begin") + F.col("n") - 1 + words).alias("e"), (place > F.col("own")).alias("later"))))
     some = F.transform("shared", lambda x: F.struct((F.col("begin") + x["i"]).alias("b"), (F.col("begin") + x["i"] + words).alias("e"), (place > F.least(x["first"], F.col("own"))).alias("later")))
