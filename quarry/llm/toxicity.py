@@ -19,7 +19,7 @@ are toxic if one says so. Repeated rows score alike; columns other than doc_id a
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,31 +113,65 @@ def marginals(emissions: list[np.ndarray], steps: np.ndarray) -> list[np.ndarray
     return out
 
 
-def significant(documents: list[tuple[int, set[str]]]) -> set[str]:
-    """Lexical features that toxic documents hold more often: by the log-likelihood ratio and the lift."""
-    n = [sum(1 for y, _ in documents if y == k) for k in (0, 1)]
-    held: list[Counter] = [Counter(), Counter()]
-    for y, words in documents:
-        held[y].update({f for w in words for f in lexical(w)})
-    found = set()
-    for f, a in held[1].items():
-        if a < 4:
-            continue
-        b = held[0][f]
-        share = (a + b) / (n[0] + n[1])
-        g = 2 * (a * np.log(a / n[1] / share) + (b * np.log(b / n[0] / share) if b else 0))
-        if g >= SIGNIFICANT and a / n[1] >= LIFT * b / n[0]:
-            found.add(f)
-    return found
+class Words:
+    """The distinct words of texts by number, with hashes of their lexical features and numbers of their chain features.
+
+    Everything is in flat arrays, so that the driver's memory stays small.
+    """
+
+    def __init__(self):
+        self.of_token: dict[str, int] = {}
+        self.of_word: dict[str, int] = {}
+        self.hashes, self.hash_counts = array("Q"), array("i")
+        self.features, self.feature_counts = array("i"), array("i")
+
+    def number(self, token: str) -> int:
+        word = bare(token)
+        k = self.of_word.get(word)
+        if k is None:
+            k = self.of_word[word] = len(self.of_word)
+            h, f = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lexical(word)], features(word)
+            self.hashes.extend(h)
+            self.hash_counts.append(len(h))
+            self.features.extend(f)
+            self.feature_counts.append(len(f))
+        self.of_token[token] = k
+        return k
+
+    def numbers(self, text: str) -> np.ndarray:
+        known = self.of_token
+        return np.array([known[t] if t in known else self.number(t) for t in text.split()], np.int64)
+
+
+def significant(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Of the hashes of lexical features in documents, those that toxic ones hold more often: by likelihood ratio and lift."""
+    n = [int((toxic == k).sum()) for k in (0, 1)]
+    empty = np.zeros(0, np.uint64)
+    f, a = np.unique(np.concatenate([empty, *[d for d, y in zip(documents, toxic, strict=True) if y == 1]]), return_counts=True)
+    f, a = f[a >= 4], a[a >= 4]
+    g, c = np.unique(np.concatenate([empty, *[d for d, y in zip(documents, toxic, strict=True) if y == 0]]), return_counts=True)
+    b = np.zeros(len(f))
+    if len(g):
+        at = np.minimum(np.searchsorted(g, f), len(g) - 1)
+        b = np.where(g[at] == f, c[at], 0)
+    share = (a + b) / (n[0] + n[1])
+    ratio = 2 * (a * np.log(a / n[1] / share) + b * np.log(np.maximum(b, 1) / n[0] / share))
+    return f[(ratio >= SIGNIFICANT) & (a / n[1] >= LIFT * b / n[0])]
 
 
 def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and of the steps, by gradient ascent on the penalised likelihood of labelled segments."""
-    tokens = [[bare(t) for t in text.split()] for text in texts]
-    names = {w: i for i, w in enumerate(dict.fromkeys(w for ts in tokens for w in ts))}
-    marked = significant([(y, set(ts)) for y, ts in zip(toxic, tokens, strict=True)])
-    hot = np.array([any(f in marked for f in lexical(w)) for w in names], bool)
-    rows = [(np.array([names[w] for w in ts[k : k + SEGMENT]]), y) for ts, y in zip(tokens, toxic, strict=True) for k in range(0, len(ts), SEGMENT)]
+    names = Words()
+    tokens = [names.numbers(t) for t in texts]
+    hash_counts, hashes = np.frombuffer(names.hash_counts, np.int32), np.frombuffer(names.hashes, np.uint64)
+    begins = np.concatenate([[0], np.cumsum(hash_counts)])
+    held = []
+    for ts in tokens:
+        ids = np.unique(ts)
+        held.append(np.unique(np.concatenate([hashes[:0], *[hashes[begins[i] : begins[i + 1]] for i in ids.tolist()]])))
+    marked = significant(held, np.array(toxic))
+    hot = np.bincount(np.repeat(np.arange(len(hash_counts)), hash_counts), weights=np.isin(hashes, marked), minlength=len(hash_counts)) > 0
+    rows = [(ts[k : k + SEGMENT], y) for ts, y in zip(tokens, toxic, strict=True) for k in range(0, len(ts), SEGMENT)]
     # segments without a marked word are all alike to the chain: one in four of them, with four times the weight, will do
     keep = [(r, y, 1.0) if hot[r].any() else (r, y, 4.0) for i, (r, y) in enumerate(rows) if hot[r].any() or i % 4 == 0]
     if not keep:
@@ -150,19 +184,19 @@ def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndar
         words[: len(r), i] = r
         live[: len(r), i] = True
         state[: len(r), i] = hot[r] if y else 0
-    each = [features(w) for w in names]
-    of_word = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    of_feature = np.concatenate([np.array(x) for x in each])
+    n_words = len(names.of_word)
+    of_word = np.repeat(np.arange(n_words), np.frombuffer(names.feature_counts, np.int32))
+    of_feature = np.frombuffer(names.features, np.int32)
     step_live = live[1:] & live[:-1]
     step_kind = state[:-1] * 2 + state[1:]
     seen = np.array([((step_kind == k) & step_live).astype(float).sum(0) @ weight for k in range(4)])
-    seen_words = np.bincount(words[live & (state == 1)], weights=np.broadcast_to(weight, words.shape)[live & (state == 1)], minlength=len(each))
+    seen_words = np.bincount(words[live & (state == 1)], weights=np.broadcast_to(weight, words.shape)[live & (state == 1)], minlength=n_words)
     total = float(weight @ live.sum(0))
     w, t = np.zeros(FEATURES), np.zeros(4)
     w[0] = -4.0
     m, v = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
     for k in range(1, ROUNDS + 1):
-        score = np.bincount(of_word, weights=w[of_feature], minlength=len(each))
+        score = np.bincount(of_word, weights=w[of_feature], minlength=n_words)
         e = np.where(live, np.exp(np.clip(score[words], -30, 30)), 1.0)
         a, b, c, d = np.exp(t)
         r, s = np.empty_like(e), np.ones_like(e)
@@ -177,7 +211,7 @@ def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndar
         pair = np.stack([np.full_like(x, a), b * x, c * r[:-1], d * r[:-1] * x])
         pair /= pair.sum(0)
         expected = np.array([(q * step_live).sum(0) @ weight for q in pair])
-        expected_words = np.bincount(words[live], weights=(p * weight)[live], minlength=len(each))
+        expected_words = np.bincount(words[live], weights=(p * weight)[live], minlength=n_words)
         gw = np.bincount(of_feature, weights=(seen_words - expected_words)[of_word], minlength=FEATURES) - 0.5 * w
         g = np.concatenate([gw, seen - expected - 0.5 * t]) / total * 1000
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
