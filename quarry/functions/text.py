@@ -65,7 +65,7 @@ def value_unit(value: Column, unit: Column) -> Column:
 
 def items(c: Column) -> Column:
     """A comma-separated list as an array of its non-empty trimmed members."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def after_first_space(c: Column) -> Column:

@@ -15,10 +15,10 @@ from quarry.functions import dates, text
 
 def documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path, content of all files below path; whole texts."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def raw_reports(spark: SparkSession, path: str) -> DataFrame:
