@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import shared_folder
+
 #: A word is a run of characters other than space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,18 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark.sparkContext, "_quarry_scratch", None) or "file://" + tempfile.mkdtemp(prefix="quarry-scratch-")
-        spark.sparkContext._quarry_scratch = found
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage is cut, and lost executors cost nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common
+from quarry.session import shared_folder
 
 FRAME_TOKENS = 1 << 16
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -287,4 +288,4 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def new_folder(docs: DataFrame) -> str:
-    return f"{common.scratch_dir(docs.sparkSession)}/quarry/tokens-{uuid.uuid4().hex}"
+    return f"{shared_folder(docs.sparkSession)}/quarry/tokens-{uuid.uuid4().hex}"
