@@ -38,16 +38,21 @@ def _once(rows: DataFrame, order: list[str]) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """call_id, level of calls (call_id not null and unique, after)."""
     calls = calls.filter("call_id is not null").select("call_id", "after")
-    ids = calls.select(F.col("call_id").alias("after_id"))
-    state = calls.join(ids, F.col("after") == F.col("after_id"), "left").select("call_id", F.col("after_id").alias("to"), F.when(F.col("after_id").isNull(), 0).otherwise(1).cast("long").alias("level"))
+    # calls that wait for none stay out of the joins: their many nulls would all meet in one task
+    def joined(rows: DataFrame, key: str, other: DataFrame, found: list[Column], none: list[Column]) -> DataFrame:
+        on = rows.filter(F.col(key).isNotNull()).join(other, F.col(key) == F.col("_id"), "left").select(*found)
+        return on.unionByName(rows.filter(F.col(key).isNull()).select(*none))
+
+    one = F.when(F.col("_id").isNull(), 0).otherwise(1).cast("long")
+    state = joined(calls, "after", calls.select(F.col("call_id").alias("_id")), [F.col("call_id"), F.col("_id").alias("to"), one.alias("level")], [F.col("call_id"), F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("level")])
     state = common.materialise(state, "levels")
     rounds = max(1, state.count().bit_length()) + 1
     for _ in range(rounds):
         if state.filter("to is not null").limit(1).count() == 0:
             break
         ahead = state.select(F.col("call_id").alias("_id"), F.col("to").alias("_to"), F.col("level").alias("_level"))
-        state = state.join(ahead, F.col("to") == F.col("_id"), "left").select("call_id", F.col("_to").alias("to"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level"))
-        state = common.materialise(state, "levels")
+        step = [F.col("call_id"), F.col("_to").alias("to"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level")]
+        state = common.materialise(joined(state, "to", ahead, step, [F.col("call_id"), F.col("to"), F.col("level")]), "levels")
     return state.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
 
 
