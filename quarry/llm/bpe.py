@@ -67,7 +67,7 @@ def parts_of(text: str) -> list[str]:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Integers below 2^24 as three planes of bytes, compressed."""
+    """32-bit integers as four planes of bytes, compressed."""
     a = a.astype(np.uint32)
     return zstandard.ZstdCompressor(level=3).compress(np.concatenate([((a >> (8 * k)) & 255).astype(np.uint8) for k in range(4)]).tobytes())
 

@@ -12,9 +12,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node of each node's component, for every node in links (two columns of longs).
 
     Each round gives a node the smallest label among its own and its neighbours', then the label of that label, so labels
-    travel at least twice as far each round. Links between nodes that already agree are dropped once their label is settled:
-    a round stops the search when no label changed. Labels are written each round, so lineage stays short; only the count of
-    changes reaches the driver. Nulls have no links.
+    travel further each round; the search ends when a round changes none. Labels are written each round, so lineage stays
+    short; only whether there was a change reaches the driver. Links with a null are none.
     """
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null and a != b")
     both = common.materialise(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct(), "links")
