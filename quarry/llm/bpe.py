@@ -35,6 +35,7 @@ CHUNK_CHARS = 16_000_000
 BUCKETS_PER_PARTITION = 2
 
 _loaded: dict[str, object] = {}
+common.KEPT["bpe"] = _loaded.clear
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +45,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _encoder(path: str, pattern: str):
-    """tiktoken's encoder of a file, and the compiled pattern; loaded once in a worker."""
+    """tiktoken's encoder of a file, and its tokens' bytes by id; loaded once in a worker."""
+    common.claim("bpe")
     if path not in _loaded:
         import tiktoken
 
@@ -115,6 +117,7 @@ class _Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    common.claim("bpe")
     chunk = _Chunk()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

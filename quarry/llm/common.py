@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -75,10 +77,25 @@ def few(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+#: What empties the memory that an operator's functions keep in a worker, by a name of its own.
+KEPT: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def claim(name: str) -> None:
+    """Workers live on from one operator to the next: the first call of another empties what the others keep."""
+    if _owner[0] != name:
+        _owner[0] = name
+        for other, empty in KEPT.items():
+            if other != name:
+                empty()
+        gc.collect()
+
+
 class WordHashes:
     """64-bit hashes of words, remembered in the worker. The memory is bounded: it is emptied beyond `most` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -101,10 +118,14 @@ _hashes: list[WordHashes] = []
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if not _hashes:
+        claim("words")
         _hashes.append(WordHashes())
     return _hashes[0](words)
 
 
+KEPT["words"] = _hashes.clear
+
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

@@ -42,7 +42,8 @@ REMEMBERED = 700_000
 RUN = 2000  #: words of letters encoded in one call
 
 _odd_space = re.compile("[\x1c-\x1f]").search
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, _Encoder] = {}
+common.KEPT["token_files"] = _loaded.clear
 
 
 def _words(text: str) -> list[str]:
@@ -102,6 +103,7 @@ class _Encoder:
 
 
 def _encoder(path: str) -> _Encoder:
+    common.claim("token_files")
     if path not in _loaded:
         _loaded[path] = _Encoder(path)
     return _loaded[path]
