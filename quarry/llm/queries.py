@@ -49,7 +49,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents"))
-    return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(sizes, length_of=mixing.slot_length).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def held_out(doc_id: Column) -> Column:

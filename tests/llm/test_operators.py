@@ -313,6 +313,14 @@ def test_mix_is_the_schedule(spark):
     assert out.columns == docs(spark).columns and out.filter("doc_id = 900").count() == 1
 
 
+def test_small_sources_stay_in_a_large_mix(spark):
+    # 320 million words, and forty sources of a few dozen
+    rows = [(i, f"large{i % 2}", 3_200_000) for i in range(100)] + [(1000 + i, f"small{i:02}", 20 + i) for i in range(40)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = [r for r in mixing.taken(sizes).collect() if r.source.startswith("small")]
+    assert len(got) == 40 and all(r.taken > 0 and abs(r.taken - r.target) <= 64 for r in got)
+
+
 # ---- 9: toxicity -----------------------------------------------------------------------------------------------------
 
 
