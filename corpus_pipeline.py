@@ -29,9 +29,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8 or more: the one with the smallest id."""
+    """One row of each group that five-word shingles link at a similarity of 0.8 or more: the one with the smallest id, null last."""
     ship_package(spark)
-    return ngram_jaccard.first_of_group(docs, n=5, num=80, den=100)
+    return ngram_jaccard.one_of_group(docs, n=5, num=80, den=100)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,6 +145,18 @@ def test_jaccard_blocks_and_repeats(spark, monkeypatch):
     assert ngram_jaccard.groups(docs(spark)).count() == 0
 
 
+def test_one_row_of_each_group(spark, sf_dir):
+    import corpus_pipeline
+
+    copies = [(i, "a b c d") for i in range(20)] + [(None, "a b c d"), (0, "a b c d"), (0, "A B c d")]
+    alone = [(7, "q r s t"), (7, "q r s t"), (None, "e f g h"), (None, "e f g h"), (None, None), (7, ""), (30, "i j k l"), (0, "m n o p")]
+    kept = corpus_pipeline.without_near_duplicates(spark, docs(spark, *copies, *alone), sf_dir)
+    assert kept.columns == docs(spark).columns
+    want = [(0, "A B c d"), (7, "q r s t"), (None, "e f g h"), (None, None), (7, ""), (30, "i j k l"), (0, "m n o p")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    assert corpus_pipeline.without_near_duplicates(spark, docs(spark), sf_dir).count() == 0
+
+
 # ---- 3: nearest neighbours -------------------------------------------------------------------------------------------
 
 
