@@ -15,8 +15,10 @@ Equal stretches retain equal suffixes, so all repeats are found from about one s
 A class is compared once, however many documents have it. Hashes of 64 bits stand for words and stretches. Spans are in words
 of a document; for each, the parts that stand earlier in the corpus too (by doc_id, then position) are listed as later parts.
 
-Nulls and empty texts, and texts of fewer words, have no spans. A null doc_id comes first in the order. doc_id names a
-document: rows that share it have their spans merged. Columns other than doc_id and text are not read by spans().
+Nulls and empty texts, and texts of fewer words, have no spans. A null doc_id comes first in the order. Each row is a document:
+rows without an id, and those whose id others have too, are told apart and ordered by a hash of their text (`row`, 0 for all
+others); rows equal in both are copies, numbered from 1, and all of a copy but the first stands earlier. Columns other than
+doc_id and text are not read by spans().
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from quarry.llm import common
 
@@ -91,13 +94,13 @@ class Suffixes:
         return _mix(self.hashes(np.arange(self.begin[k], self.begin[k] + self.n[k]), self.length)).view(np.int64)
 
 
-def _docs(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-        yield (NO_ID if doc is None else doc), common.words_of(text.as_py())
+def _docs(b: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+    for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        yield doc, row, common.words_of(text.as_py())
 
 
-FIELDS = "key long, kind long, count long, doc long, at long, begin long, n long"
-NAMES = ["key", "kind", "count", "doc", "at", "begin", "n"]
+FIELDS = "key long, kind long, count long, doc long, row long, at long, begin long, n long"
+NAMES = ["key", "kind", "count", "doc", "row", "at", "begin", "n"]
 
 
 def _retained(length: int, combine: bool, most: int = 400_000):
@@ -106,7 +109,7 @@ def _retained(length: int, combine: bool, most: int = 400_000):
     def out(parts: list[np.ndarray]) -> pa.RecordBatch:
         a = np.concatenate(parts, axis=1)
         if combine:
-            a = a[:, np.lexsort((a[4], a[3], a[1], a[0]))]
+            a = a[:, np.lexsort((a[5], a[4], a[3], a[1], a[0]))]
             first = np.flatnonzero(np.concatenate([[True], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])]))
             count = np.diff(np.concatenate([first, [a.shape[1]]]))
             a = a[:, first]
@@ -116,11 +119,11 @@ def _retained(length: int, combine: bool, most: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in batches:
-            for doc, words in _docs(b):
+            for doc, row, words in _docs(b):
                 s = Suffixes(words, length)
                 m = len(s.at)
                 if m:
-                    parts.append(np.stack([s.key, s.kind, np.ones(m, np.int64), np.full(m, doc, np.int64), s.at, s.begin, s.n]))
+                    parts.append(np.stack([s.key, s.kind, np.ones(m, np.int64), np.full(m, doc, np.int64), np.full(m, row, np.int64), s.at, s.begin, s.n]))
                     held += m
             if held > most:
                 yield out(parts)
@@ -132,7 +135,7 @@ def _retained(length: int, combine: bool, most: int = 400_000):
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by key, kind, doc, at: merges rows of a class; drops classes alone with their key; mixed: not the key's only class."""
+    """Sorted by key, kind, doc, row, at: merges rows of a class; drops classes alone with their key; mixed: not the key's only class."""
     run: list[list] = []  # the rows of a key that aren't out yet: at most the last class, once the key is known to be mixed
     mixed, key = False, None
     out: list[list] = []
@@ -144,10 +147,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
         out.clear()
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]], pa.array(columns[7], pa.bool_())], names=[*NAMES, "mixed"])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:8]], pa.array(columns[8], pa.bool_())], names=[*NAMES, "mixed"])
 
     for b in batches:
-        a = np.stack([b.column(i).to_numpy() for i in range(7)], axis=1)
+        a = np.stack([b.column(i).to_numpy() for i in range(8)], axis=1)
         # most rows are one suffix alone with its key and can't matter; of the last one in a batch, that isn't known yet
         same = a[1:, 0] == a[:-1, 0]
         alone = ~np.concatenate([[key is not None and a[0, 0] == key], same]) & np.concatenate([~same, [False]]) & (a[:, 2] == 1)
@@ -169,34 +172,34 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(length: int):
-    """Of (doc, ats, text): key, kind, i, hash, doc, at for the stretches of the suffixes at ats."""
+    """Of (doc, row, ats, text): key, kind, i, hash, doc, row, at for the stretches of the suffixes at ats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, row, wanted, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 s = Suffixes(common.words_of(text.as_py()), length)
                 want = set(wanted)
-                rows = [np.stack([np.full(s.n[k], s.key[k]), np.full(s.n[k], s.kind[k]), np.arange(s.n[k]), s.stretches(k), np.full(s.n[k], doc), np.full(s.n[k], s.at[k])]) for k in range(len(s.at)) if int(s.at[k]) in want]
+                rows = [np.stack([np.full(s.n[k], s.key[k]), np.full(s.n[k], s.kind[k]), np.arange(s.n[k]), s.stretches(k), np.full(s.n[k], doc), np.full(s.n[k], row), np.full(s.n[k], s.at[k])]) for k in range(len(s.at)) if int(s.at[k]) in want]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(rows, axis=1).astype(np.int64)], names=["key", "kind", "i", "hash", "doc", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(rows, axis=1).astype(np.int64)], names=["key", "kind", "i", "hash", "doc", "row", "at"])
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc, begin, end, later, sorted by doc and begin, to spans with their later parts."""
+    """Rows doc, row, begin, end, later, sorted by doc, row and begin, to spans with their later parts."""
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     doc, span, later, out = None, None, [], []
 
     def end() -> None:
         if span:
-            out.append((None if doc == NO_ID else doc, span[0], span[1], [{"begin": x, "end": y} for x, y in later]))
+            out.append((*doc, span[0], span[1], [{"begin": x, "end": y} for x, y in later]))
 
     for b in batches:
-        for d, x, y, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if d != doc or x > span[1]:
+        for d, r, x, y, z in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if (d, r) != doc or x > span[1]:
                 end()
-                doc, span, later = d, [x, y], []
+                doc, span, later = (d, r), [x, y], []
             span[1] = max(span[1], y)
             if z:
                 if later and x <= later[-1][1]:
@@ -213,40 +216,69 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _span_batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     c = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], kind)], names=["doc_id", "begin_word", "end_word", "later"])
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4], kind)], names=["doc", "row", "begin_word", "end_word", "later"])
+
+
+def _keyed(docs: DataFrame, doc: str, row: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with its documents' keys (doc, row); and doc, row, copies of those keys that several rows have, if there are any."""
+    id_ = docs["doc_id"].cast("long")
+    shared = docs.filter(id_.isNotNull()).groupBy(id_.alias("_shared")).count().filter("count > 1").select("_shared")
+    shared = common.materialise(shared, "shared-ids")
+    told, alone = id_.isNull(), shared.limit(1).count() == 0
+    if not alone:
+        docs = docs.join(common.few(shared), id_ == F.col("_shared"), "left")
+        told = told | F.col("_shared").isNotNull()
+    docs = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(row, F.when(told, F.xxhash64("text")).otherwise(F.lit(0)).cast("long"))
+    if alone and docs.filter("doc_id is null").limit(2).count() < 2:
+        return docs, None
+    several = docs.filter(told).groupBy(F.col(doc).alias("doc"), F.col(row).alias("row")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    several = common.materialise(several, "copies")
+    return docs.drop("_shared"), several if several.limit(1).count() else None
 
 
 def spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, begin_word, end_word (behind the last), later (parts that stand earlier in the corpus): the repeated passages."""
+    """doc_id, begin_word, end_word (behind the last), later (parts that stand earlier in the corpus): the repeated passages of each row."""
+    keyed, copies = _keyed(docs.select("doc_id", "text"), "doc", "row")
+    return _spans(keyed, copies, words).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "begin_word", "end_word", "later")
+
+
+def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
+    """doc, row, copy, begin_word, end_word, later of docs (doc, row, text)."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sorted_ = docs.mapInArrow(_retained(words, True), FIELDS).repartition(parts, "key").sortWithinPartitions("key", "kind", "doc", "at")
+    docs = docs.select("doc", "row", "text")
+    sorted_ = docs.mapInArrow(_retained(words, True), FIELDS).repartition(parts, "key").sortWithinPartitions("key", "kind", "doc", "row", "at")
     classes = common.materialise(sorted_.mapInArrow(_compared, FIELDS + ", mixed boolean"), "suffix-classes")
 
     # extension of classes that share K words with others
     mixed = classes.filter("mixed")
-    wanted = mixed.groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    wanted = mixed.groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
     if mixed.limit(common.MOST_BROADCAST + 1).count() <= common.MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "doc").select("doc", "ats", "text")
-    found = texts.mapInArrow(_stretches(words), "key long, kind long, i long, hash long, doc long, at long")
-    # a repeated doc_id may bring suffixes that aren't the class's first
-    found = common.materialise(found.join(mixed.select("key", "kind", "doc", "at"), ["key", "kind", "doc", "at"], "left_semi").distinct(), "stretches")
-    shared = found.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "at")).alias("first")).filter("c > 1")
+    texts = docs.join(wanted, ["doc", "row"]).select("doc", "row", "ats", "text")
+    found = texts.mapInArrow(_stretches(words), "key long, kind long, i long, hash long, doc long, row long, at long")
+    # copies bring the same suffixes again
+    found = common.materialise(found.join(mixed.select("key", "kind", "doc", "row", "at"), ["key", "kind", "doc", "row", "at"], "left_semi").distinct(), "stretches")
+    place = F.struct("doc", "row", "at")
+    shared = found.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).filter("c > 1")
     extended = found.join(shared, ["key", "hash"]).groupBy("key", "kind").agg(F.collect_list(F.struct("i", "first")).alias("shared"))
 
-    known = classes.select("key", "kind", "count", F.struct("doc", "at").alias("own")).join(extended, ["key", "kind"], "left")
+    known = classes.select("key", "kind", "count", place.alias("own")).join(extended, ["key", "kind"], "left")
     known = common.materialise(known.filter("count > 1 or shared is not null"), "repeated-suffixes")
 
     each = docs.mapInArrow(_retained(words, False), FIELDS).drop("count").join(known, ["key", "kind"])
-    place = F.struct("doc", "at")
     whole = F.when(F.col("count") > 1, F.array(F.struct(F.col("begin").alias("b"), (F.col("begin") + F.col("n") - 1 + words).alias("e"), (place > F.col("own")).alias("later"))))
     some = F.transform("shared", lambda x: F.struct((F.col("begin") + x["i"]).alias("b"), (F.col("begin") + x["i"] + words).alias("e"), (place > F.least(x["first"], F.col("own"))).alias("later")))
     none = F.array().cast("array<struct<b:bigint,e:bigint,later:boolean>>")
-    pieces = each.select("doc", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(some, none))).alias("p")).select("doc", "p.b", "p.e", "p.later")
-    return pieces.repartition(parts, "doc").sortWithinPartitions("doc", "b", "e").mapInArrow(_merged, "doc_id long, begin_word long, end_word long, later array<struct<begin:bigint,end:bigint>>")
+    pieces = each.select("doc", "row", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(some, none))).alias("p")).select("doc", "row", "p.b", "p.e", "p.later")
+    merged = pieces.repartition(parts, "doc", "row").sortWithinPartitions("doc", "row", "b", "e").mapInArrow(_merged, "doc long, row long, begin_word long, end_word long, later array<struct<begin:bigint,end:bigint>>")
+    if copies is None:
+        return merged.withColumn("copy", F.lit(1).cast("long"))
+    each_copy = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)).cast("long"))).alias("copy")
+    merged = merged.join(common.few(copies), ["doc", "row"], "left").select("doc", "row", each_copy, "begin_word", "end_word", "later")
+    all_of_it = F.array(F.struct(F.col("begin_word").alias("begin"), F.col("end_word").alias("end")))
+    return merged.withColumn("later", F.when(F.col("copy") > 1, all_of_it).otherwise(F.col("later")))
 
 
 def without_later(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -254,8 +286,18 @@ def without_later(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     All columns stay; n_chars, if there, is counted anew for the texts that change.
     """
-    cut = spans(docs, words).filter(F.size("later") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("later")).alias("_cut"))
-    cut = common.materialise(cut.withColumnRenamed("doc_id", "_cut_id"), "cuts")
+    doc, row, copy = (common.fresh(docs, x) for x in ("_doc", "_row", "_copy"))
+    keyed, copies = _keyed(docs, doc, row)
+    cut = _spans(keyed.select(F.col(doc).alias("doc"), F.col(row).alias("row"), "text"), copies, words).filter(F.size("later") > 0)
+    cut = cut.groupBy(F.col("doc").alias("_cut_doc"), F.col("row").alias("_cut_row"), F.col("copy").alias("_cut_copy")).agg(F.flatten(F.collect_list("later")).alias("_cut"))
+    cut = common.materialise(cut, "cuts")
+    numbered = keyed.withColumn(copy, F.lit(1).cast("long"))
+    if copies is not None:
+        ids = common.few(copies.select(F.col("doc").alias("_copy_doc"), F.col("row").alias("_copy_row")))
+        same = (F.col(doc) == F.col("_copy_doc")) & (F.col(row) == F.col("_copy_row"))
+        plain = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+        again = keyed.join(ids, same, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(doc, row).orderBy(*plain)).cast("long"))
+        numbered = numbered.join(ids, same, "left_anti").unionByName(again)
 
     @F.pandas_udf("string")
     def left(texts, cuts):
@@ -263,7 +305,8 @@ def without_later(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         return pd.Series([_without(t, c) for t, c in zip(texts, cuts, strict=True)])
 
-    joined = docs.join(common.few(cut), docs["doc_id"].eqNullSafe(cut["_cut_id"]), "left")
+    mine = (F.col(doc) == F.col("_cut_doc")) & (F.col(row) == F.col("_cut_row")) & (F.col(copy) == F.col("_cut_copy"))
+    joined = numbered.join(common.few(cut), mine, "left")
     changed = joined.filter("_cut is not null").withColumn("text", left("text", "_cut")).filter(F.col("text").rlike(common.WORD))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -100,6 +100,23 @@ def test_suffix_dedup_repeats_and_empty(spark):
     assert Counter(r.doc_id for r in suffix_dedup.spans(docs(spark, *hot)).collect()) == {i: 1 for i in range(60)}
 
 
+def test_suffix_dedup_tells_rows_apart(spark):
+    passage, unique, short = prose(1, 50), prose(2, 200), prose(3, 20)
+    for i in (None, 4):
+        a, b = f"{prose(4, 10)} {passage} {unique}", f"{prose(5, 100)} {passage} {prose(6, 5)}"
+        rows = docs(spark, (i, a), (i, b), (i, short), (i, short), (9, prose(7, 60)))
+        found = suffix_dedup.spans(rows).collect()
+        assert sorted((r.doc_id, r.begin_word, r.end_word) for r in found) == [(i, 10, 60), (i, 100, 150)]
+        assert sum(len(r.later) for r in found) == 1
+        kept = [r.text for r in suffix_dedup.without_later(rows).collect()]
+        text = " ".join(kept)
+        assert len(kept) == 5 and kept.count(short) == 2 and text.count(passage) == 1 and unique in text and prose(5, 100) in text
+        same = docs(spark, (i, a), (i, a), (i, f"{prose(8, 10)} {passage} {prose(9, 5)}"), (i, a))
+        kept = " ".join(r.text for r in suffix_dedup.without_later(same).collect())
+        assert kept.count(passage) == 1 and kept.count(unique) == 1 and prose(9, 5) in kept
+        assert len(suffix_dedup.spans(same).collect()) == 4
+
+
 # ---- 2: n-gram Jaccard -----------------------------------------------------------------------------------------------
 
 
