@@ -57,12 +57,12 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def kind_of(v: Column) -> Column:
-    """The JSON kind of a variant."""
+    """The JSON kind of a variant; a number without a fraction, as 5.0, is an integer."""
     said = F.schema_of_variant(v)
     return (
         F.when(said.startswith("OBJECT"), "object")
         .when(said.startswith("ARRAY"), "array")
-        .when(said == "BIGINT", "integer")
+        .when((said == "BIGINT") | said.rlike(r"^DECIMAL\([0-9]+,0\)$"), "integer")
         .when(said.startswith("DECIMAL") | (said == "DOUBLE"), "number")
         .when(said == "BOOLEAN", "boolean")
         .when(said == "STRING", "string")
@@ -70,20 +70,24 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls with errors, an array of text in order: empty for a valid call; and the parsed arguments as a variant."""
+def validated(calls: DataFrame, schemas: DataFrame, numbers_as_text: bool = True) -> DataFrame:
+    """calls with errors, an array of text in order: empty for a valid call; and the parsed arguments as a variant.
+
+    A member must have exactly the kind its schema asks for; a number may be an integer and, with numbers_as_text, a string a number.
+    """
     schemas = schemas.filter("name is not null and param is not null").groupBy(F.col("name").alias("_name")).agg(F.sort_array(F.collect_set(F.struct("param", "kind", "required"))).alias("_params"))
     parsed = F.try_parse_json("arguments")
     calls = calls.withColumn("_args", F.when(kind_of(parsed) == "object", parsed))
-    # the values of an object as texts of JSON, to tell which parameters there are
-    members = F.from_json(F.to_json("_args"), "map<string,string>")
+    members = F.col("_args").cast("map<string,variant>")
     calls = calls.join(schemas, F.col("name") == F.col("_name"), "left").withColumn("_members", members)
 
     def wrong(p: Column) -> Column:
         there = F.coalesce(F.map_contains_key("_members", p["param"]), F.lit(False))
         value = F.get(F.map_values(F.map_filter("_members", lambda k, _: k == p["param"])), F.lit(0))
-        kind = F.when(value.isNull(), F.lit("null")).otherwise(_kind_of_text(value))
-        fits = (kind == p["kind"]) | ((p["kind"] == "number") & (kind == "integer")) | ((p["kind"] == "string") & ~kind.isin("null"))
+        kind = F.when(value.isNull(), F.lit("null")).otherwise(kind_of(value))
+        fits = (kind == p["kind"]) | ((p["kind"] == "number") & (kind == "integer"))
+        if numbers_as_text:
+            fits = fits | ((p["kind"] == "string") & kind.isin("integer", "number"))
         return F.when(~there & p["required"], F.concat(F.lit("missing "), p["param"])).when(there & ~fits, F.concat(F.lit("kind of "), p["param"]))
 
     found = F.filter(F.transform("_params", wrong), lambda x: x.isNotNull())
@@ -93,24 +97,12 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return calls.withColumn("errors", errors).drop("_name", "_params", "_members")
 
 
-def _kind_of_text(value: Column) -> Column:
-    """The kind of a member's text, as from_json gives it: texts come without their quotes."""
-    return (
-        F.when(value.rlike(r"^-?[0-9]+$"), "integer")
-        .when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), "number")
-        .when(value.isin("true", "false"), "boolean")
-        .when(value.startswith("{") & value.endswith("}"), "object")
-        .when(value.startswith("[") & value.endswith("]"), "array")
-        .otherwise("string")
-    )
-
-
-def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame, numbers_as_text: bool = True) -> DataFrame:
     """conv_id, turn, call_id, name, level, status (answered, open or orphan), errors, json: a row of each call, and of each
     result without one. In (conv_id, level, turn, call_id) order the calls of a conversation come after those they use."""
     calls = _once(calls.select("conv_id", "call_id", "name", "arguments", "after", "turn"), ["turn", "arguments"])
     results = _once(results.select("call_id", "content", "turn"), ["turn", "content"]).select(F.col("call_id").alias("_of"), "content", F.col("turn").alias("_answered"))
-    checked = validated(calls, schemas)
+    checked = validated(calls, schemas, numbers_as_text)
     level = levels(calls).withColumnRenamed("call_id", "_lid")
     rows = checked.join(results, F.col("call_id") == F.col("_of"), "full").join(level, F.col("call_id") == F.col("_lid"), "left")
     is_call = F.col("errors").isNotNull()

@@ -43,7 +43,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.linked(*chat.from_turns(table(spark, sf_dir, "conversations")))
+    rows = chat.linked(*chat.from_turns(table(spark, sf_dir, "conversations")), numbers_as_text=False)
     return rows.withColumn("errors", F.array_join("errors", ";"))
 
 

@@ -308,6 +308,19 @@ def test_chat(spark):
     assert chat.levels(chain).agg(F.max("level"), F.countDistinct("level")).first() == (2999, 3000)
 
 
+def test_chat_kinds(spark):
+    values = {"string": '"5"', "integer": "5", "number": "5.5", "boolean": "true", "object": '{"a": 1}', "array": "[1]", "null": "null"}
+    values |= {"string2": '"true"', "string3": '"{}"', "string4": '"[1]"', "string5": '""', "number2": "1e3", "integer2": "-12345678901", "integer3": "12345678901234567890", "integer4": "5.0"}
+    schemas = spark.createDataFrame([(k, "x", k, True) for k in chat.KINDS], "name string, param string, kind string, required boolean")
+    rows = [(1, f"{k} {v}", k, f'{{"x": {text}}}', None, 0) for k in chat.KINDS for v, text in values.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, name string, arguments string, after string, turn long")
+    for loose in (False, True):
+        for r in chat.validated(calls, schemas, loose).collect():
+            want, kind = r.call_id.rstrip("2345").split()
+            fits = kind == want or (want, kind) == ("number", "integer") or (loose and want == "string" and kind in ("integer", "number"))
+            assert list(r.errors) == ([] if fits else ["kind of x"]), r
+
+
 # ---- 8: mixing -------------------------------------------------------------------------------------------------------
 
 
