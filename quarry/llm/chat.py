@@ -139,13 +139,17 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A system or user turn is a call, of `configure` or `reply`, with its place and text as arguments; it uses the result of the
     call two turns before, or the turn just before if that is the first. An assistant turn is the result for the turn before.
+
+    Every turn stays. One of a null role is a call like a user's. A null conv_id or turn leaves a call, or result, without
+    call_id: the call is open at level 0 and misses that argument, the result is an orphan. Turns of one place that are both
+    calls, or both results, count once, as in linked().
     """
-    name = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    placed = turns.filter("conv_id is not null and turn is not null")
-    own = placed.filter("role != 'assistant'")
+    name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    said = F.col("role").eqNullSafe("assistant")
+    own = turns.filter(~said)
     arguments = F.to_json(F.struct("conv_id", "text", "turn"))
     after = F.when(F.col("turn") >= 2, name(2)).when(F.col("turn") == 1, name(1))
     calls = own.select("conv_id", name(0).alias("call_id"), F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"), arguments.alias("arguments"), after.alias("after"), "turn")
-    results = placed.filter("role = 'assistant'").select(name(1).alias("call_id"), F.col("text").alias("content"), "turn")
+    results = turns.filter(said).select(name(1).alias("call_id"), F.col("text").alias("content"), "turn")
     params = [(n, p, k, True) for n in ("configure", "reply") for p, k in (("conv_id", "integer"), ("turn", "integer"), ("text", "string"))]
     return calls, results, turns.sparkSession.createDataFrame(params, "name string, param string, kind string, required boolean")

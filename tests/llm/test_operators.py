@@ -321,6 +321,22 @@ def test_chat_kinds(spark):
             assert list(r.errors) == ([] if fits else ["kind of x"]), r
 
 
+def test_chat_keeps_turns_with_nulls(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, None, "c"), (None, 3, "user", "d"), (2, None, "user", "e"), (None, None, None, "f"), (None, 0, "assistant", "g"), (3, None, "assistant", "h")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.linked(*chat.from_turns(turns), numbers_as_text=False).collect()
+    seen = sorted((r.call_id or "", r.level if r.level is not None else -1, r.status, ";".join(r.errors)) for r in got)
+    assert seen == [
+        ("", -1, "orphan", ""),
+        ("", -1, "orphan", ""),
+        ("", 0, "open", "missing conv_id"),
+        ("", 0, "open", "missing conv_id;missing turn"),
+        ("", 0, "open", "missing turn"),
+        ("1-0", 0, "answered", ""),
+        ("1-2", 1, "open", ""),
+    ]
+
+
 # ---- 8: mixing -------------------------------------------------------------------------------------------------------
 
 
