@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common
@@ -134,34 +134,112 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     return docs.withColumn(out, of(F.col(text)))
 
 
+#: Numbers of samples that bands are drawn from.
+CUTS = [1, 2, 4, 8, 12, 16, 24, *range(FIRST, FIRST + SAMPLES * LEVELS + 1, 16)]
+#: Fingerprints in a block of those that did not match their band's hub.
+BLOCK = 512
+
+
+def _share(least: float) -> float:
+    """The share of weight that must be equal for a likeness of least."""
+    return least * (14 / 15) + 1 / 15
+
+
+def _cuts_of(n: int, least: float) -> list[int]:
+    """The cuts of a fingerprint of n samples: all that the shorter one of a pair of likeness least can have as its last."""
+    sums = np.concatenate([[0.0], np.cumsum(_shared()[2])])
+    return [c for c, after in zip(CUTS, [*CUTS[1:], len(sums)], strict=True) if c <= n and sums[min(after, len(sums)) - 1] >= _share(least) * sums[n] - 1e-9]
+
+
 def near_duplicates(prints: DataFrame, least: float = 0.8, bands: int = 24, width: int = 8, seed: int = SEED) -> DataFrame:
-    """Pairs (doc_id, other_id, likeness) of doc_id and fingerprint: each document with the smallest id of each band it shares.
+    """Pairs (doc_id, other_id, likeness) of doc_id and fingerprint that join all documents of likeness `least` or more in a band.
 
-    A band is `width` sampled digits of the first samples of each level; documents that agree in a band are compared with the
-    band's smallest id, and pairs of likeness `least` or more stay. A band of many documents gives a pair for each, not for each two.
+    A band is `width` digits at fixed samples, drawn by their weight below a cut; a fingerprint is in the bands of its last cut
+    and of those that shorter fingerprints still like it can have. All in a band are compared with its first; bands where some
+    do not match it are compared in blocks, but for pairs that both match it. Equal fingerprints are joined to the smallest id.
     """
+    common.arrow_batches(prints.sparkSession)
+    drawn: dict[int, np.ndarray] = {}
+    cuts: dict[int, list[int]] = {}
+
+    def picks(c: int) -> np.ndarray:
+        if c not in drawn:
+            w = _shared()[2][:c]
+            drawn[c] = np.random.default_rng([seed, c]).choice(c, (bands, width), p=w / w.sum())
+        return drawn[c]
+
+    def bands_of(f: str) -> list[int]:
+        if len(f) not in cuts:
+            cuts[len(f)] = _cuts_of(len(f), least)
+        raw = np.frombuffer(f.encode(), np.uint8)
+        return [int.from_bytes(hashlib.blake2b(b"%d:%d:" % (c, k) + d.tobytes(), digest_size=8).digest(), "little", signed=True) for c in cuts[len(f)] for k, d in enumerate(raw[picks(c)])]
 
     @F.pandas_udf("array<long>")
     def keys(s: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(seed)
-        picks = [rng.random(width) for _ in range(bands)]
-        return pd.Series([[hash_of(k, "".join([f[int(x * len(f))] for x in p])) for k, p in enumerate(picks)] if f else [] for f in s])
-
-    def hash_of(k: int, s: str) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{k}:{s}".encode(), digest_size=8).digest(), "little", signed=True)
+        return pd.Series([bands_of(f) for f in s])
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         both = from_text([*a, *b])
         return pd.Series(likeness(both[: len(a)], both[len(a) :]))
 
-    prints = prints.select("doc_id", "fingerprint").filter("doc_id is not null and fingerprint is not null")
-    banded = prints.select("doc_id", F.explode(keys("fingerprint")).alias("band"))
-    hub = F.min("doc_id").over(Window.partitionBy("band").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = banded.withColumn("hub", hub).filter("hub < doc_id").select("hub", "doc_id").distinct()
-    left = prints.select(F.col("doc_id").alias("hub"), F.col("fingerprint").alias("f"))
-    joined = pairs.join(prints, "doc_id").join(left, "hub").withColumn("likeness", alike("fingerprint", "f"))
-    return joined.filter(F.col("likeness") >= least).select(F.col("hub").alias("doc_id"), F.col("doc_id").alias("other_id"), "likeness")
+    def matches(rows: list[tuple[int, bool, int, str]], i: int, j: int) -> Iterator[tuple[int, int, float]]:
+        """Of (node, matches the hub, block, fingerprint): a forest of the pairs of blocks i and j that are alike."""
+        digits, nodes = from_text([r[3] for r in rows]), [r[0] for r in rows]
+        block = np.array([r[2] for r in rows])
+        root = np.where(np.array([r[1] for r in rows]), -1, np.arange(len(rows)))
+        for x in range(len(rows)):
+            other = (np.arange(len(rows)) > x) if i == j else (block != block[x]) & (block[x] == i)
+            to = np.flatnonzero(other & (root != root[x]))
+            like = likeness(np.repeat(digits[x : x + 1], len(to), 0), digits[to])
+            for y, v in zip(to[like >= least].tolist(), like[like >= least].tolist(), strict=True):
+                if root[x] != root[y]:
+                    yield nodes[x], nodes[y], v
+                    low, high = sorted((root[x], root[y]))
+                    root[root == high] = low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            for band, i, j, block, node, linked, f in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (band, i, j) != key:
+                    yield from out(held, key)
+                    key, held = (band, i, j), []
+                held.append((node, linked, block, f))
+        yield from out(held, key)
+
+    def out(held: list, key: tuple | None) -> Iterator[pa.RecordBatch]:
+        if held and (found := list(matches(held, key[1], key[2]))):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b", "likeness"])
+
+    prints = prints.select("doc_id", "fingerprint").filter("doc_id is not null and fingerprint != ''")
+    prints = common.materialise(prints.withColumn("node", F.xxhash64("fingerprint")), "prints")
+    each = common.materialise(prints.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("fingerprint").alias("f")), "distinct-prints")
+    equal = prints.join(each, "node").filter("id < doc_id").select(F.col("id").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("likeness"))
+
+    banded = common.materialise(each.select("id", "node", F.explode(keys("f")).alias("band")), "bands")
+    hubs = banded.groupBy("band").agg(F.min(F.struct("id", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    near = common.materialise(banded.join(hubs, "band").filter("node != hub.node").select("band", "node", F.col("hub.node").alias("hub")), "hubs")
+    one, two = each.select(F.col("node").alias("hub"), F.col("f").alias("g")), each.select("node", "f")
+    verified = near.select("hub", "node").distinct().join(one, "hub").join(two, "node").withColumn("likeness", alike("g", "f"))
+    verified = common.materialise(verified.select("hub", "node", "likeness").filter(F.col("likeness") >= least), "verified")
+
+    # what does not match its hub meets all others of the band
+    members = near.join(verified.withColumn("linked", F.lit(True)), ["hub", "node"], "left").select("band", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
+    open_ = members.groupBy("band").agg(F.min("linked").alias("all"), F.count(F.lit(1)).alias("n")).filter("not all and n > 1").select("band")
+    placed = common.ranked(members.join(open_, "band"), ["band"], [F.col("linked").cast("int"), F.col("node")], F.col("linked").cast("long") * 256 + F.shiftright("node", 56) + 128, "before")
+    placed = common.materialise(placed.select("band", "node", "linked", F.floor(F.col("before") / BLOCK).alias("block")), "print-blocks")
+    blocks = placed.groupBy("band", "block").agg(F.min("linked").alias("all"))
+    other = blocks.select("band", F.col("block").alias("j"), F.col("all").alias("all_j"))
+    tasks = blocks.join(other, "band").filter("block <= j and not (all and all_j)").select("band", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
+    work = tasks.join(placed, ["band", "block"]).join(two, "node").select("band", "i", "j", "block", "node", "linked", "f")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = work.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node").mapInArrow(run, "a long, b long, likeness double")
+
+    found = verified.select(F.col("hub").alias("a"), F.col("node").alias("b"), "likeness").unionByName(more)
+    ids = found.join(each.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(each.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
+    pairs = ids.filter("x != y").select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_id"), "likeness")
+    return pairs.unionByName(equal).groupBy("doc_id", "other_id").agg(F.max("likeness").alias("likeness"))
 
 
 def _ranges(docs: DataFrame, spark: SparkSession) -> tuple[list[int], int]:

@@ -460,3 +460,31 @@ def test_near_duplicates(spark):
     rows = docs(spark, (1, a), (2, a[:700] + "!" + a[700:]), (3, prose(2, 300)), (4, None))
     pairs = fingerprints.near_duplicates(fingerprints.fingerprints(rows)).collect()
     assert [(p.doc_id, p.other_id) for p in pairs] == [(1, 2)]
+
+
+def test_near_duplicates_of_other_lengths(spark):
+    rows = []
+    for i in range(12):
+        a = prose(50 + i, 300 + 20 * i)
+        rows += [(10 * i, a), (10 * i + 1, a[: -40 - 12 * i]), (10 * i + 2, a + prose(80 + i, 12)), (10 * i + 3, a)]
+    texts = dict(rows)
+    digits = fingerprints.samples_of(list(texts.values()))
+    found = {(p.doc_id, p.other_id) for p in fingerprints.near_duplicates(fingerprints.fingerprints(docs(spark, *rows))).collect()}
+    assert all(a // 10 == b // 10 for a, b in found)
+    near = 0
+    for x, i in enumerate(texts):
+        for y, j in enumerate(texts):
+            if i < j and fingerprints.likeness(digits[x : x + 1], digits[y : y + 1])[0] >= 0.8:
+                near += 1
+                seen = {i}
+                while more := {b for p in found for a, b in (p, p[::-1]) if a in seen} - seen:
+                    seen |= more
+                assert j in seen, (i, j)
+    assert near >= 60
+
+
+def test_near_duplicates_behind_other_hubs(spark):
+    a = prose(1, 300)
+    rows = docs(spark, *[(i, prose(1000 + i, 60)) for i in range(200)], *[(300 + i, prose(2000 + i, 300)) for i in range(100)], (900, a), (901, a[:700] + "!" + a[700:]))
+    pairs = fingerprints.near_duplicates(fingerprints.fingerprints(rows), bands=4, width=1).collect()
+    assert [(p.doc_id, p.other_id) for p in pairs] == [(900, 901)]
