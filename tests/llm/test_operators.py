@@ -162,6 +162,15 @@ def test_jaccard_blocks_and_repeats(spark, monkeypatch):
     assert ngram_jaccard.groups(docs(spark)).count() == 0
 
 
+def test_jaccard_links_through_null_ids(spark):
+    words = prose(5, 100).split()
+    # each text is 0.9 like the next, but not the one after
+    first, between, last = (" ".join(words[k : k + 90]) for k in (0, 4, 8))
+    got = ngram_jaccard.groups(docs(spark, (1, first), (None, between), (None, between), (2, last), (None, prose(6, 9))), 3, 90, 100).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(1, 1): 1, (2, 1): 1, (None, 1): 2, (None, None): 1})
+    assert ngram_jaccard.one_of_group(docs(spark, (None, first), (None, between), (None, last)), 3, 90, 100).count() == 1
+
+
 def test_one_row_of_each_group(spark, sf_dir):
     import corpus_pipeline
 
