@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quarry.session import shared_folder
 
@@ -21,10 +25,40 @@ ARROW_ROWS = 1000
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage is cut, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, read back: its lineage is cut, and lost executors cost nothing.
+
+    Tables of a context stand in one folder, which goes when the driver's Python ends; discard() takes a table earlier.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+_folders: dict[str, str] = {}
+
+
+def _scratch(spark: SparkSession) -> str:
+    name = spark.sparkContext.applicationId
+    if name not in _folders:
+        _folders[name] = f"{shared_folder(spark)}/quarry/{name}"
+        atexit.register(_delete, spark, _folders[name])
+    return _folders[name]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialise() made and that nothing reads any more."""
+    if path := getattr(df, "_scratch", None):
+        _delete(df.sparkSession, path)
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -35,9 +69,9 @@ def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame | list[str] | tuple[str, ...], stem: str) -> str:
+    """A column name that df, or a list of names, doesn't have."""
+    taken = {c.lower() for c in getattr(df, "columns", df)}
     while stem.lower() in taken:
         stem += "_"
     return stem
@@ -68,12 +102,17 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, ou
     return numbered.alias("l").join(bases.alias("r"), cond).select(*keep, (F.col(f"l.{out}") + F.col(f"r.{base}")).alias(out))
 
 
-#: Rows of narrow keys that may be broadcast, after they are counted; about 16 MB in a hash table.
+#: Rows of numbers that may be broadcast, after they are counted; about 16 MB in a hash table.
 MOST_BROADCAST = 250_000
 
 
 def few(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """keys, a narrow written table, marked for broadcast if its counted rows are at most `most`; else joins shuffle it."""
+    """keys, a written table, marked for broadcast if it has numbers alone and its counted rows are at most `most`.
+
+    So what is broadcast has a size known beforehand. Else Spark decides by the size of its files.
+    """
+    if not all(isinstance(f.dataType, NumericType) for f in keys.schema.fields):
+        return keys
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
@@ -90,12 +129,50 @@ def claim(name: str) -> None:
             if other != name:
                 empty()
         gc.collect()
+        # what is free goes back to the system: the next operator's workers share the executor's memory
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def bloom_bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The bits of a Bloom filter of size bits (a power of two) that 64-bit hashes have."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [((h + step * np.uint64(i)) & np.uint64(size - 1)) for i in range(BLOOM_PROBES)]
+
+
+def bloom_has(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter, of 64-bit words, lets pass: all that are in it and few others."""
+    out = np.ones(len(h), bool)
+    for bit in bloom_bits(h, len(words) * 64):
+        out &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+    return out
+
+
+#: Bits of a Bloom filter that goes to workers, at least and at most (16 MB); probes of a key.
+LEAST_BLOOM, MOST_BLOOM, BLOOM_PROBES = 1 << 16, 1 << 27, 4
+
+
+def bloom(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of longs: about 16 bits a key, MOST_BLOOM at most. Beyond 8 million keys it lets more others pass."""
+    size = min(MOST_BLOOM, max(LEAST_BLOOM, 1 << (16 * max(1, hashes.count()) - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            bits = np.concatenate([np.zeros(0, np.uint64), *bloom_bits(b.column(0).to_numpy().view(np.uint64), size)])
+            at = (bits >> np.uint64(6)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+
+    found = hashes.select(column).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size // 64, np.uint64)
+    words[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return words
 
 
 class WordHashes:
     """64-bit hashes of words, remembered in the worker. The memory is bounded: it is emptied beyond `most` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 

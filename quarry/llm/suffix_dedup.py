@@ -12,7 +12,8 @@ Equal stretches retain equal suffixes, so all repeats are found from about one s
    their reach, by hash, are matched against those of the other classes of the run.
 4. collect: the document's own suffixes meet their classes, and the stretches found repeated are merged into spans.
 
-A class is compared once, however many documents have it. Hashes of 64 bits stand for words and stretches. Spans are in words
+A class is compared once, however many documents have it. What steps 3 and 4 need of the texts and suffixes is chosen by a Bloom
+filter of the keys wanted (16 MB at most), before any shuffle; an exact join then takes off what it passed wrongly. Hashes of 64 bits stand for words and stretches. Spans are in words
 of a document; for each, the parts that stand earlier in the corpus too (by doc_id, then position) are listed as later parts.
 
 Nulls and empty texts, and texts of fewer words, have no spans. A null doc_id comes first in the order. Each row is a document:
@@ -101,20 +102,11 @@ def _docs(b: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
 
 FIELDS = "key long, kind long, count long, doc long, row long, at long, begin long, n long"
 NAMES = ["key", "kind", "count", "doc", "row", "at", "begin", "n"]
+PLACED = [x for x in NAMES if x != "count"]
 
 
-def _retained(length: int, combine: bool, most: int = 400_000):
-    """Suffixes of all documents; with combine, one row for each class among them."""
-
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        a = np.concatenate(parts, axis=1)
-        if combine:
-            a = a[:, np.lexsort((a[5], a[4], a[3], a[1], a[0]))]
-            first = np.flatnonzero(np.concatenate([[True], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])]))
-            count = np.diff(np.concatenate([first, [a.shape[1]]]))
-            a = a[:, first]
-            a[2] = count
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in a], names=NAMES)
+def _retained(length: int, most: int = 200_000):
+    """Suffixes of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -123,17 +115,69 @@ def _retained(length: int, combine: bool, most: int = 400_000):
                 s = Suffixes(words, length)
                 m = len(s.at)
                 if m:
-                    parts.append(np.stack([s.key, s.kind, np.ones(m, np.int64), np.full(m, doc, np.int64), np.full(m, row, np.int64), s.at, s.begin, s.n]))
+                    parts.append(np.stack([s.key, s.kind, np.full(m, doc, np.int64), np.full(m, row, np.int64), s.at, s.begin, s.n]))
                     held += m
-            if held > most:
-                yield out(parts)
-                parts, held = [], 0
+                if held > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], names=PLACED)
+                    parts, held = [], 0
         if parts:
-            yield out(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], names=PLACED)
 
     return run
 
 
+def _merged_classes(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """One row for each class among the suffixes of a stretch of rows, with their count and the first's place."""
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        a = np.concatenate(parts, axis=1)
+        a = a[:, np.lexsort((a[4], a[3], a[2], a[1], a[0]))]
+        first = np.flatnonzero(np.concatenate([[True], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])]))
+        count = np.diff(np.concatenate([first, [a.shape[1]]]))
+        a = a[:, first]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[0], a[1], count, *a[2:])], names=NAMES)
+
+    parts, held = [], 0
+    for b in batches:
+        parts.append(np.stack([c.to_numpy() for c in b.columns]))
+        held += b.num_rows
+        if held > most:
+            yield out(parts)
+            parts, held = [], 0
+    if held:
+        yield out(parts)
+
+
+def _name(*columns: np.ndarray) -> np.ndarray:
+    """A hash of rows of longs, for Bloom filters."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = _mix((h ^ c.view(np.uint64)) * BASE + np.uint64(1))
+    return h
+
+
+def _named(columns: list[str]):
+    """Rows of the columns to their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_name(*(c.to_numpy() for c in b.columns)).view(np.int64))], names=["h"])
+
+    return lambda df: df.select(*columns).mapInArrow(run, "h long")
+
+
+def _passing(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of df (of longs) that the Bloom filter of keys by the columns lets pass, as do few others."""
+    words = df.sparkSession.sparkContext.broadcast(common.bloom(_named(columns)(keys), "h"))
+    where = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(common.bloom_has(words.value, _name(*(b.column(i).to_numpy() for i in where)))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by key, kind, doc, row, at: merges rows of a class; drops classes alone with their key; mixed: not the key's only class."""
     run: list[list] = []  # the rows of a key that aren't out yet: at most the last class, once the key is known to be mixed
@@ -171,17 +215,25 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _stretches(length: int):
-    """Of (doc, row, ats, text): key, kind, i, hash, doc, row, at for the stretches of the suffixes at ats."""
+def _stretches(length: int, wanted):
+    """Of (doc, row, text): key, kind, doc, row, at and hashes (of its stretches, in order) for the suffixes that the filter passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, row, wanted, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                s = Suffixes(common.words_of(text.as_py()), length)
-                want = set(wanted)
-                rows = [np.stack([np.full(s.n[k], s.key[k]), np.full(s.n[k], s.kind[k]), np.arange(s.n[k]), s.stretches(k), np.full(s.n[k], doc), np.full(s.n[k], row), np.full(s.n[k], s.at[k])]) for k in range(len(s.at)) if int(s.at[k]) in want]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(rows, axis=1).astype(np.int64)], names=["key", "kind", "i", "hash", "doc", "row", "at"])
+            rows, hashes = [], []
+            for doc, row, words in _docs(b):
+                s = Suffixes(words, length)
+                m = len(s.at)
+                if not m:
+                    continue
+                places = np.stack([s.key, s.kind, np.full(m, doc, np.int64), np.full(m, row, np.int64), s.at])
+                chosen = np.flatnonzero(common.bloom_has(wanted.value, _name(*places)))
+                rows.append(places[:, chosen])
+                hashes += [s.stretches(k) for k in chosen.tolist()]
+            if hashes:
+                offsets = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
+                a = np.concatenate(rows, axis=1)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in a], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes)))], names=["key", "kind", "doc", "row", "at", "hashes"])
 
     return run
 
@@ -221,19 +273,19 @@ def _span_batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def _keyed(docs: DataFrame, doc: str, row: str) -> tuple[DataFrame, DataFrame | None]:
     """docs with its documents' keys (doc, row); and doc, row, copies of those keys that several rows have, if there are any."""
-    id_ = docs["doc_id"].cast("long")
-    shared = docs.filter(id_.isNotNull()).groupBy(id_.alias("_shared")).count().filter("count > 1").select("_shared")
+    id_, mark = docs["doc_id"].cast("long"), common.fresh(docs, "_shared")
+    shared = docs.filter(id_.isNotNull()).groupBy(id_.alias(mark)).count().filter("count > 1").select(mark)
     shared = common.materialise(shared, "shared-ids")
     told, alone = id_.isNull(), shared.limit(1).count() == 0
     if not alone:
-        docs = docs.join(common.few(shared), id_ == F.col("_shared"), "left")
-        told = told | F.col("_shared").isNotNull()
+        docs = docs.join(common.few(shared), id_ == F.col(mark), "left")
+        told = told | F.col(mark).isNotNull()
     docs = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(row, F.when(told, F.xxhash64("text")).otherwise(F.lit(0)).cast("long"))
     if alone and docs.filter("doc_id is null").limit(2).count() < 2:
         return docs, None
     several = docs.filter(told).groupBy(F.col(doc).alias("doc"), F.col(row).alias("row")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     several = common.materialise(several, "copies")
-    return docs.drop("_shared"), several if several.limit(1).count() else None
+    return docs.drop(mark), several if several.limit(1).count() else None
 
 
 def spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -248,26 +300,26 @@ def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
     common.arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc", "row", "text")
-    sorted_ = docs.mapInArrow(_retained(words, True), FIELDS).repartition(parts, "key").sortWithinPartitions("key", "kind", "doc", "row", "at")
+    suffixes = common.materialise(docs.mapInArrow(_retained(words), ", ".join(f"{x} long" for x in PLACED)), "suffixes")
+    sorted_ = suffixes.mapInArrow(_merged_classes, FIELDS).repartition(parts, "key").sortWithinPartitions("key", "kind", "doc", "row", "at")
     classes = common.materialise(sorted_.mapInArrow(_compared, FIELDS + ", mixed boolean"), "suffix-classes")
 
-    # extension of classes that share K words with others
-    mixed = classes.filter("mixed")
-    wanted = mixed.groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
-    if mixed.limit(common.MOST_BROADCAST + 1).count() <= common.MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, ["doc", "row"]).select("doc", "row", "ats", "text")
-    found = texts.mapInArrow(_stretches(words), "key long, kind long, i long, hash long, doc long, row long, at long")
-    # copies bring the same suffixes again
-    found = common.materialise(found.join(mixed.select("key", "kind", "doc", "row", "at"), ["key", "kind", "doc", "row", "at"], "left_semi").distinct(), "stretches")
+    # extension of classes that share K words with others: their stretches, taken from the texts once more
+    one = ["key", "kind", "doc", "row", "at"]
+    mixed = classes.filter("mixed").select(one)
+    wanted = spark.sparkContext.broadcast(common.bloom(_named(one)(mixed), "h"))
+    found = docs.mapInArrow(_stretches(words, wanted), ", ".join(f"{x} long" for x in one) + ", hashes array<long>")
+    # false ones go; copies bring the same suffixes again
+    found = common.materialise(found.join(mixed, one, "left_semi").dropDuplicates(one), "stretches")
+    each_hash = found.select("key", "kind", F.struct("doc", "row", "at").alias("place"), F.posexplode("hashes").alias("i", "hash"))
     place = F.struct("doc", "row", "at")
-    shared = found.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).filter("c > 1")
-    extended = found.join(shared, ["key", "hash"]).groupBy("key", "kind").agg(F.collect_list(F.struct("i", "first")).alias("shared"))
+    shared = each_hash.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("first")).filter("c > 1")
+    extended = each_hash.drop("place").join(shared, ["key", "hash"]).groupBy("key", "kind").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "first")).alias("shared"))
 
     known = classes.select("key", "kind", "count", place.alias("own")).join(extended, ["key", "kind"], "left")
     known = common.materialise(known.filter("count > 1 or shared is not null"), "repeated-suffixes")
 
-    each = docs.mapInArrow(_retained(words, False), FIELDS).drop("count").join(known, ["key", "kind"])
+    each = _passing(suffixes, known, ["key", "kind"]).join(known, ["key", "kind"])
     whole = F.when(F.col("count") > 1, F.array(F.struct(F.col("begin").alias("b"), (F.col("begin") + F.col("n") - 1 + words).alias("e"), (place > F.col("own")).alias("later"))))
     some = F.transform("shared", lambda x: F.struct((F.col("begin") + x["i"]).alias("b"), (F.col("begin") + x["i"] + words).alias("e"), (place > F.least(x["first"], F.col("own"))).alias("later")))
     none = F.array().cast("array<struct<b:bigint,e:bigint,later:boolean>>")
@@ -284,17 +336,18 @@ def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
 def without_later(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs without the passages that stand earlier in the corpus; documents of which nothing is left go.
 
-    All columns stay; n_chars, if there, is counted anew for the texts that change.
+    All columns stay, whatever their names; n_chars, if there, is counted anew for the texts that change. Null and empty texts
+    stay, as an empty table does; of equal rows the first stays.
     """
-    doc, row, copy = (common.fresh(docs, x) for x in ("_doc", "_row", "_copy"))
+    doc, row, copy, cut_doc, cut_row, cut_copy, cuts = (common.fresh(docs, x) for x in ("_doc", "_row", "_copy", "_cut_doc", "_cut_row", "_cut_copy", "_cut"))
     keyed, copies = _keyed(docs, doc, row)
     cut = _spans(keyed.select(F.col(doc).alias("doc"), F.col(row).alias("row"), "text"), copies, words).filter(F.size("later") > 0)
-    cut = cut.groupBy(F.col("doc").alias("_cut_doc"), F.col("row").alias("_cut_row"), F.col("copy").alias("_cut_copy")).agg(F.flatten(F.collect_list("later")).alias("_cut"))
+    cut = cut.groupBy(F.col("doc").alias(cut_doc), F.col("row").alias(cut_row), F.col("copy").alias(cut_copy)).agg(F.flatten(F.collect_list("later")).alias(cuts))
     cut = common.materialise(cut, "cuts")
     numbered = keyed.withColumn(copy, F.lit(1).cast("long"))
     if copies is not None:
-        ids = common.few(copies.select(F.col("doc").alias("_copy_doc"), F.col("row").alias("_copy_row")))
-        same = (F.col(doc) == F.col("_copy_doc")) & (F.col(row) == F.col("_copy_row"))
+        ids = common.few(copies.select(F.col("doc").alias(cut_doc), F.col("row").alias(cut_row)))
+        same = (F.col(doc) == F.col(cut_doc)) & (F.col(row) == F.col(cut_row))
         plain = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
         again = keyed.join(ids, same, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(doc, row).orderBy(*plain)).cast("long"))
         numbered = numbered.join(ids, same, "left_anti").unionByName(again)
@@ -305,12 +358,13 @@ def without_later(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         return pd.Series([_without(t, c) for t, c in zip(texts, cuts, strict=True)])
 
-    mine = (F.col(doc) == F.col("_cut_doc")) & (F.col(row) == F.col("_cut_row")) & (F.col(copy) == F.col("_cut_copy"))
-    joined = numbered.join(common.few(cut), mine, "left")
-    changed = joined.filter("_cut is not null").withColumn("text", left("text", "_cut")).filter(F.col("text").rlike(common.WORD))
+    mine = (F.col(doc) == F.col(cut_doc)) & (F.col(row) == F.col(cut_row)) & (F.col(copy) == F.col(cut_copy))
+    keys = common.few(cut.select(cut_doc, cut_row, cut_copy))  # texts without cuts need not move
+    whole = numbered.join(keys, mine, "left_anti")
+    changed = numbered.join(keys, mine, "left_semi").join(cut, mine).withColumn("text", left("text", cuts)).filter(F.col("text").rlike(common.WORD))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.filter("_cut is null").select(docs.columns).unionByName(changed.select(docs.columns))
+    return whole.select(docs.columns).unionByName(changed.select(docs.columns))
 
 
 def _without(text: str | None, cuts) -> str | None:
