@@ -13,7 +13,7 @@ length. Learning is deterministic.
 
 Nulls: null labels don't teach; a null or empty text has no tokens, no spans and the score of a document without toxic
 tokens. Without labels of both kinds, the score is the share of toxic labels (0 without labels). Documents with several labels
-are toxic if one says so. Repeated rows score alike; columns other than doc_id and text aren't read.
+are toxic if one says so. Repeated rows score alike; an empty table gives none. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-MOST_LABELLED, MOST_BYTES = 1500, 65_536
+MOST_LABELLED, MOST_BYTES, PLAIN = 1500, 65_536, 4
 FEATURES, SEGMENT, ROUNDS = 1 << 16, 64, 60
 SIGNIFICANT, LIFT = 20.0, 3.0
-REMEMBERED = 400_000
-GROUP_TOKENS = 1_500_000
+REMEMBERED = 150_000
+GROUP_TOKENS, BLOCK = 150_000, 64
 
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 _token = re.compile(r"\S+")
@@ -76,41 +76,91 @@ class Emissions:
 
 
 def marginals(emissions: list[np.ndarray], steps: np.ndarray) -> list[np.ndarray]:
-    """Probability of the toxic state at each token of each sequence.
+    """Probability of the toxic state at each token of each sequence; steps: the log weights 0-0, 0-1, 1-0, 1-1."""
+    lengths = np.fromiter(map(len, emissions), np.int64, len(emissions))
+    flat = np.concatenate([np.zeros(0), *emissions])
+    return np.split(marginals_of(flat, lengths, steps), np.cumsum(lengths)[:-1]) if len(lengths) else []
+
 
-    steps: the log weights 0-0, 0-1, 1-0, 1-1. All sequences advance together, longest first, so that those at their end drop
-    off the tail. Messages are kept as the ratio of state 1 to state 0, which needs no rescaling.
+def marginals_of(flat: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """marginals() of sequences laid end to end.
+
+    Sequences are cut into blocks of BLOCK tokens, which advance together. What a block does to a message that passes through
+    it is a 2 x 2 matrix: these are found for all blocks first, then messages pass from block to block of a sequence, then
+    through the tokens of all blocks. So the number of steps is 4 blocks' tokens and twice the blocks of the longest sequence.
     """
-    lengths = np.fromiter(map(len, emissions), np.int64, len(emissions))
-    order = np.argsort(-lengths, kind="stable")
-    longest = int(lengths.max()) if len(lengths) else 0
-    counts = (lengths[order][None, :] > np.arange(longest)[:, None]).sum(1) if longest * max(1, len(lengths)) < 1 << 22 else np.searchsorted(-lengths[order], -np.arange(longest), side="left")
+    some = np.flatnonzero(lengths)
+    if not len(some):
+        return np.zeros(0)
+    order = some[np.argsort(-lengths[some], kind="stable")]
+    n = lengths[order]
+    blocks = -(-n // BLOCK)
+    # by number in their sequence, then by sequence: those with the most blocks come first, so each number is one slice
+    counts = np.searchsorted(-blocks, -np.arange(1, blocks[0] + 1), side="right")
     begins = np.concatenate([[0], np.cumsum(counts)])
-    flat = np.empty(int(begins[-1]))  # by step, then by sequence
-    for k, i in enumerate(order.tolist()):
-        flat[begins[: lengths[i]] + k] = emissions[i]
-    e = np.exp(np.clip(flat, -30, 30))
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = np.cumsum(lengths)
+    at = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+    place = at % BLOCK, begins[at // BLOCK] + np.repeat(rank, lengths)
+    e = np.ones((BLOCK, int(begins[-1])))
+    e[place] = np.exp(np.clip(flat, -30, 30))
     a, b, c, d = np.exp(steps)
-    forward = np.empty_like(e)
-    r = np.ones(len(order))
-    for t in range(longest):
-        n = counts[t]
-        lo = begins[t]
-        r = e[lo : lo + n] * ((b + d * r[:n]) / (a + c * r[:n]) if t else 1.0)
-        forward[lo : lo + n] = r
-    s = np.ones(len(order))
-    for t in range(longest - 1, -1, -1):
-        n, lo = counts[t], begins[t]
-        if t + 1 < longest:
-            m = counts[t + 1]
-            x = e[begins[t + 1] : begins[t + 1] + m] * s[:m]
-            s[:m] = (c + d * x) / (a + b * x)
-        forward[lo : lo + n] *= s[:n]
-    p = forward / (1 + forward)
-    out: list = [None] * len(emissions)
-    for k, i in enumerate(order.tolist()):
-        out[i] = p[begins[: lengths[i]] + k]
-    return out
+    width, first = e.shape[1], counts[0]
+    last = begins[blocks - 1] + np.arange(len(order))  # of each sequence
+    over = n - 1 - (blocks - 1) * BLOCK  # where the sequence ends in it
+
+    def through(u: np.ndarray, v: np.ndarray) -> None:
+        big = np.maximum(u.max(0), v.max(0))
+        u /= big
+        v /= big
+
+    # a row of u and v for either message that can come in, (1, 0) and (0, 1)
+    u, v = np.array([[a], [c]]).repeat(width, 1), np.array([[b], [d]]) * e[0]
+    u[:, :first], v[:, :first] = 1.0, e[0, :first]
+    for t in range(1, BLOCK):
+        u, v = a * u + c * v, e[t] * (b * u + d * v)
+        if t % 8 == 7:
+            through(u, v)
+    ratio = np.empty(width)  # of the message that comes in from the block before
+    x, y = u[0, :first], v[0, :first]
+    for i in range(1, len(counts)):
+        k, m = begins[i], counts[i]
+        ratio[k : k + m] = y[:m] / x[:m]
+        x, y = x[:m] * u[0, k : k + m] + y[:m] * u[1, k : k + m], x[:m] * v[0, k : k + m] + y[:m] * v[1, k : k + m]
+        x, y = x / (x + y), y / (x + y)
+    p = np.empty_like(e)
+    p[0] = e[0]
+    p[0, first:] *= (b + d * ratio[first:]) / (a + c * ratio[first:])
+    for t in range(1, BLOCK):
+        p[t] = e[t] * ((b + d * p[t - 1]) / (a + c * p[t - 1]))
+
+    # and back: a message is (state 0, state 1 and the emission) of the token behind
+    closing = [np.flatnonzero(over == t) for t in range(BLOCK)]
+    u, v = np.array([[1.0], [0.0]]).repeat(width, 1), np.array([[0.0], [1.0]]).repeat(width, 1)
+    for t in range(BLOCK - 1, -1, -1):
+        u, v = a * u + b * v, e[t] * (c * u + d * v)
+        own = last[closing[t]]
+        u[:, own], v[:, own] = 1.0, e[t, own]
+        if t % 8 == 0:
+            through(u, v)
+    ratio[last] = 1.0
+    x, y = u[0, begins[-2] :].copy(), v[0, begins[-2] :].copy()
+    for i in range(len(counts) - 2, -1, -1):
+        k, m = begins[i], counts[i + 1]
+        ratio[k : k + m] = y / x
+        x, y = x * u[0, k : k + m] + y * u[1, k : k + m], x * v[0, k : k + m] + y * v[1, k : k + m]
+        # sequences that end in this block begin here
+        x, y = np.concatenate([x, u[0, k + m : begins[i + 1]]]), np.concatenate([y, v[0, k + m : begins[i + 1]]])
+        x, y = x / (x + y), y / (x + y)
+    s = (c + d * ratio) / (a + b * ratio)
+    for t in range(BLOCK - 1, -1, -1):
+        s[last[closing[t]]] = 1.0
+        p[t] *= s
+        x = e[t] * s
+        s = (c + d * x) / (a + b * x)
+    out = p[place]
+    return out / (1 + out)
 
 
 class Words:
@@ -159,8 +209,11 @@ def significant(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return f[(ratio >= SIGNIFICANT) & (a / n[1] >= LIFT * b / n[0])]
 
 
-def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features and of the steps, by gradient ascent on the penalised likelihood of labelled segments."""
+def learn_chain(texts: list[str], toxic: list[int], plain: int = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features and of the steps, by gradient ascent on the penalised likelihood of labelled segments.
+
+    Segments without a marked word teach that their words are not toxic: one in `plain` of them does, with `plain` times the weight.
+    """
     names = Words()
     tokens = [names.numbers(t) for t in texts]
     hash_counts, hashes = np.frombuffer(names.hash_counts, np.int32), np.frombuffer(names.hashes, np.uint64)
@@ -172,8 +225,7 @@ def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndar
     marked = significant(held, np.array(toxic))
     hot = np.bincount(np.repeat(np.arange(len(hash_counts)), hash_counts), weights=np.isin(hashes, marked), minlength=len(hash_counts)) > 0
     rows = [(ts[k : k + SEGMENT], y) for ts, y in zip(tokens, toxic, strict=True) for k in range(0, len(ts), SEGMENT)]
-    # segments without a marked word are all alike to the chain: one in four of them, with four times the weight, will do
-    keep = [(r, y, 1.0) if hot[r].any() else (r, y, 4.0) for i, (r, y) in enumerate(rows) if hot[r].any() or i % 4 == 0]
+    keep = [(r, y, 1.0) if hot[r].any() else (r, y, float(plain)) for i, (r, y) in enumerate(rows) if hot[r].any() or i % plain == 0]
     if not keep:
         return np.zeros(FEATURES), np.zeros(4)
     n = len(keep)
@@ -220,11 +272,17 @@ def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndar
     return w, t
 
 
-def summary(p: np.ndarray) -> list[float]:
-    """What a document's score is made of."""
-    if not len(p):
-        return [1.0, 0.0, 0.0, 0.0]
-    return [1.0, float(np.log1p(p.sum())), float(p.max()), float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-9)).sum()))]
+def summaries(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What the scores of documents are made of: a row for each, of marginals laid end to end."""
+    out = np.zeros((len(lengths), 4))
+    out[:, 0] = 1.0
+    some = np.flatnonzero(lengths)
+    if len(some):
+        begins = (np.cumsum(lengths) - lengths)[some]
+        out[some, 1] = np.log1p(np.add.reduceat(p, begins))
+        out[some, 2] = np.maximum.reduceat(p, begins)
+        out[some, 3] = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), begins))
+    return out
 
 
 def learn_score(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -241,11 +299,11 @@ class Model:
     def __init__(self, weights: np.ndarray, steps: np.ndarray, score: np.ndarray):
         self.weights, self.steps, self.score = weights.astype(np.float32), steps, score
 
-    def scores(self, rows: list[list[float]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.array(rows) @ self.score, -30, 30)))
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(rows @ self.score, -30, 30)))
 
 
-def learn(rows: list[tuple[str, int]], shares: tuple[int, int]) -> Model:
+def learn(rows: list[tuple[str, int]], shares: tuple[int, int], plain: int = PLAIN) -> Model:
     """rows: text and label, in a fixed order; shares: how many labelled rows of either label the sample stands for."""
     y = np.array([r[1] for r in rows], int)
     if len(set(y.tolist())) < 2:
@@ -254,25 +312,30 @@ def learn(rows: list[tuple[str, int]], shares: tuple[int, int]) -> Model:
     third = np.zeros(len(rows), bool)
     for k in (0, 1):
         third[np.flatnonzero(y == k)[::3]] = True
-    w, t = learn_chain([r[0] for r, z in zip(rows, third, strict=True) if not z], y[~third].tolist())
+    w, t = learn_chain([r[0] for r, z in zip(rows, third, strict=True) if not z], y[~third].tolist(), plain)
     emit = Emissions(w)
     fit = third if 0 < y[third].sum() < third.sum() else ~third
-    p = marginals([emit(r[0].split()) for r, z in zip(rows, fit, strict=True) if z], t)
+    es = [emit(r[0].split()) for r, z in zip(rows, fit, strict=True) if z]
+    lengths = np.fromiter(map(len, es), np.int64, len(es))
     each = np.array([shares[k] / max(1, (y == k).sum()) for k in (0, 1)])
     weight = each[y[fit]]
-    return Model(w, t, learn_score(np.array([summary(x) for x in p]), y[fit], weight / weight.mean()))
+    return Model(w, t, learn_score(summaries(marginals_of(np.concatenate(es), lengths, t), lengths), y[fit], weight / weight.mean()))
+
 
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES, plain: int = PLAIN) -> Model:
+    """Learns from labelled documents: docs has doc_id, text; labels has doc_id, toxic (0 or 1).
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Model:
-    """Learns from labelled documents: docs has doc_id, text; labels has doc_id, toxic (0 or 1)."""
+    The sample is bounded by most (rows of either label) and most_bytes (of a text); plain as in learn_chain(). An id that
+    stands on several rows teaches by its least text alone.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     ids = known.filter("toxic = 0").orderBy(F.xxhash64("l_id"), "l_id").limit(most).unionAll(known.filter("toxic = 1").orderBy(F.xxhash64("l_id"), "l_id").limit(most))
-    chosen = docs.filter(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))
-    rows = chosen.select("l_id", "text", "toxic").collect()
-    rows = sorted({(r["l_id"], r["text"], r["toxic"]) for r in rows})
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0]).encode()), r))
-    return learn([(r[1], r[2]) for r in rows], (counts.get(0, 0), counts.get(1, 0)))
+    texts = docs.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text")).filter(F.octet_length("d_text") <= most_bytes)
+    chosen = texts.join(F.broadcast(ids), F.col("d_id") == F.col("l_id"))  # at most 2 * most ids
+    rows = chosen.groupBy("l_id", "toxic").agg(F.min("d_text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["l_id"]).encode()), r["l_id"]))
+    return learn([(r["text"], r["toxic"]) for r in rows], (counts.get(0, 0), counts.get(1, 0)), plain)
 
 
 _ready: dict[bytes, Emissions] = {}
@@ -305,33 +368,50 @@ def spans_of(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, in
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, then score and spans (begin, end), of every document."""
-    spark = docs.sparkSession
-    common.arrow_batches(spark)
-    weights, steps, doc_score = model.weights.tobytes(), model.steps, model.score
+    """The columns keep of every document, then score and spans (begin, end): names that keep has get an underscore behind."""
+    found = common.fresh(docs, "_found")
+    scored = docs.withColumn(found, _udf(docs, model, True)("text"))
+    return scored.select(*keep, F.col(f"{found}.score").alias(common.fresh(keep, "score")), F.col(f"{found}.spans").alias(common.fresh(keep, "spans")))
 
-    def of(held: list[tuple[pa.RecordBatch, list[str | None], list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        p = iter(marginals([e for _, _, es in held for e in es], steps))
-        for batch, texts, _ in held:
-            mine = [next(p) for _ in texts]
-            values = Model(np.zeros(1), steps, doc_score).scores([summary(x) for x in mine]) if mine else []
-            spans = [spans_of(t, x) if len(x) and x.max() >= 0.5 else [] for t, x in zip(texts, mine, strict=True)]
-            kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.float64()), pa.array([[{"begin": b, "end": e} for b, e in s] for s in spans], kind)], names=[*batch.schema.names[1:], "score", "spans"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def below(docs: DataFrame, model: Model, most: float) -> DataFrame:
+    """The rows of docs whose score is below most, with all their columns. A null or empty text has the score of no toxic tokens."""
+    found = common.fresh(docs, "_found")
+    return docs.withColumn(found, _udf(docs, model, False)("text")).filter(F.col(found) < most).select(docs.columns)
+
+
+def _udf(docs: DataFrame, model: Model, with_spans: bool):
+    """Scores, or structs of score and spans, of texts; a worker holds one Arrow batch, and tokens of GROUP_TOKENS or one longer text."""
+    common.arrow_batches(docs.sparkSession)
+    weights, steps, doc_score = model.weights.tobytes(), model.steps, model.score
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def of(texts: list[str | None], es: list[np.ndarray]) -> tuple[np.ndarray, list]:
+        lengths = np.fromiter(map(len, es), np.int64, len(es))
+        p = marginals_of(np.concatenate(es), lengths, steps)
+        scores = Model(np.zeros(1), steps, doc_score).scores(summaries(p, lengths))
+        spans = []
+        if with_spans:
+            for t, x in zip(texts, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
+                spans.append([{"begin": b, "end": e} for b, e in spans_of(t, x)] if len(x) and x.max() >= 0.5 else [])
+        return scores, spans
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         emit = _emissions(weights)
-        held, tokens = [], 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            es = [emit(t.split()) if t else np.zeros(0) for t in texts]
-            held.append((b, texts, es))
-            tokens += sum(map(len, es))
-            if tokens >= GROUP_TOKENS:
-                yield from of(held)
-                held, tokens = [], 0
-        if held:
-            yield from of(held)
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, score double, spans array<struct<begin:int,end:int>>")
+            scores, spans, texts, es, tokens = [np.zeros(0)], [], [], [], 0
+            for i, value in enumerate(b, 1):
+                t = value.as_py()
+                es.append(emit(t.split()) if t else np.zeros(0))
+                texts.append(t if with_spans else None)
+                tokens += len(es[-1])
+                if tokens >= GROUP_TOKENS or i == len(b):
+                    x, y = of(texts, es)
+                    scores.append(x)
+                    spans += y
+                    texts, es, tokens = [], [], 0
+            value = pa.array(np.concatenate(scores))
+            yield pa.StructArray.from_arrays([value, pa.array(spans, span)], names=["score", "spans"]) if with_spans else value
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<score:double,spans:array<struct<begin:int,end:int>>>" if with_spans else "double")
