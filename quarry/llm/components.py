@@ -18,6 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null and a != b")
     both = common.materialise(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = common.materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    past = labels
     while True:
         # the smallest label next to each node
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -26,6 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         above = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
         step = step.join(above, F.col("low") == F.col("n2"), "left").select("node", "old", F.least("low", F.coalesce("l2", "low")).alias("label"))
         step = common.materialise(step, "labels")
-        labels = step.select("node", "label")
+        common.discard(past)
+        labels, past = step.select("node", "label"), step
         if step.filter("old != label").limit(1).count() == 0:
+            common.discard(both)
             return labels.select("node", F.col("label").alias("component"))
