@@ -25,7 +25,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents whose score is below TOXIC. The chain learns from labelled documents of the stage's own input."""
     ship_package(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model, tuple(docs.columns)).filter(F.col("score") < TOXIC).select(docs.columns)
+    return toxicity.below(docs, model, TOXIC)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
