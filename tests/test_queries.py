@@ -2,7 +2,7 @@
 
 import pytest
 
-from quarry.plans import queries as plans
+from quarry import plans
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
