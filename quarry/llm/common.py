@@ -153,51 +153,58 @@ def bloom_has(words: np.ndarray, h: np.ndarray) -> np.ndarray:
 LEAST_BLOOM, MOST_BLOOM, BLOOM_PROBES = 1 << 16, 1 << 27, 4
 
 
-def bloom(hashes: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of a column of longs: about 16 bits a key, MOST_BLOOM at most. Beyond 8 million keys it lets more others pass."""
-    size = min(MOST_BLOOM, max(LEAST_BLOOM, 1 << (16 * max(1, hashes.count()) - 1).bit_length()))
+def bloom(rows: DataFrame, columns: list[str], name: Callable[..., np.ndarray]) -> np.ndarray:
+    """A Bloom filter of rows by columns (of longs), which name() hashes: about 16 bits a row, MOST_BLOOM at most.
+
+    Beyond 8 million rows it lets more others pass, so what it is for must be right without it.
+    """
+    size = min(MOST_BLOOM, max(LEAST_BLOOM, 1 << (16 * max(1, rows.count()) - 1).bit_length()))
 
     def run(batches):
         for b in batches:
-            bits = np.concatenate([np.zeros(0, np.uint64), *bloom_bits(b.column(0).to_numpy().view(np.uint64), size)])
+            bits = np.concatenate([np.zeros(0, np.uint64), *bloom_bits(name(*(c.to_numpy() for c in b.columns)), size)])
             at = (bits >> np.uint64(6)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
-    found = hashes.select(column).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = rows.select(*columns).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size // 64, np.uint64)
     words[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return words
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered in the worker. The memory is bounded: it is emptied beyond `most` words."""
+class Remembered:
+    """Values of words, made once while they are remembered: the most recent ones, `most` to twice as many."""
 
-    def __init__(self, most: int = 150_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
+    def __call__(self, words: list, kind) -> np.ndarray:
+        young = self.young
         try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            return np.fromiter(map(young.__getitem__, words), kind, len(words))
         except KeyError:
             pass
-        if len(known) > self.most:
-            known.clear()
-        h = xxhash.xxh3_64_intdigest
-        for w in set(words).difference(known):
-            known[w] = h(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+            young = self.young
+        old, make = self.old, self.make
+        for w in set(words).difference(young):
+            known = old.get(w)
+            young[w] = make(w) if known is None else known
+        return np.fromiter(map(young.__getitem__, words), kind, len(words))
 
 
-_hashes: list[WordHashes] = []
+_hashes: list[Remembered] = []
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
     if not _hashes:
         claim("words")
-        _hashes.append(WordHashes())
-    return _hashes[0](words)
+        _hashes.append(Remembered(xxhash.xxh3_64_intdigest, 100_000))
+    return _hashes[0](words, np.uint64)
 
 
 KEPT["words"] = _hashes.clear

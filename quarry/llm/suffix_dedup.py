@@ -156,19 +156,9 @@ def _name(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def _named(columns: list[str]):
-    """Rows of the columns to their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_name(*(c.to_numpy() for c in b.columns)).view(np.int64))], names=["h"])
-
-    return lambda df: df.select(*columns).mapInArrow(run, "h long")
-
-
 def _passing(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of df (of longs) that the Bloom filter of keys by the columns lets pass, as do few others."""
-    words = df.sparkSession.sparkContext.broadcast(common.bloom(_named(columns)(keys), "h"))
+    words = df.sparkSession.sparkContext.broadcast(common.bloom(keys, columns, _name))
     where = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +297,7 @@ def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
     # extension of classes that share K words with others: their stretches, taken from the texts once more
     one = ["key", "kind", "doc", "row", "at"]
     mixed = classes.filter("mixed").select(one)
-    wanted = spark.sparkContext.broadcast(common.bloom(_named(one)(mixed), "h"))
+    wanted = spark.sparkContext.broadcast(common.bloom(mixed, one, _name))
     found = docs.mapInArrow(_stretches(words, wanted), ", ".join(f"{x} long" for x in one) + ", hashes array<long>")
     # false ones go; copies bring the same suffixes again
     found = common.materialise(found.join(mixed, one, "left_semi").dropDuplicates(one), "stretches")
@@ -352,11 +342,11 @@ def without_later(docs: DataFrame, words: int = WORDS) -> DataFrame:
         again = keyed.join(ids, same, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(doc, row).orderBy(*plain)).cast("long"))
         numbered = numbered.join(ids, same, "left_anti").unionByName(again)
 
-    @F.pandas_udf("string")
-    def left(texts, cuts):
-        import pandas as pd
+    def left(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        return pa.array((_without(t.as_py(), c.as_py()) for t, c in zip(texts, cuts, strict=True)), pa.string())
 
-        return pd.Series([_without(t, c) for t, c in zip(texts, cuts, strict=True)])
+    left.__annotations__ = {"texts": pa.Array, "cuts": pa.Array, "return": pa.Array}
+    left = F.arrow_udf(left, "string")
 
     mine = (F.col(doc) == F.col(cut_doc)) & (F.col(row) == F.col(cut_row)) & (F.col(copy) == F.col(cut_copy))
     keys = common.few(cut.select(cut_doc, cut_row, cut_copy))  # texts without cuts need not move

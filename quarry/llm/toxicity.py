@@ -33,7 +33,7 @@ from quarry.llm import common
 MOST_LABELLED, MOST_BYTES, PLAIN = 1500, 65_536, 4
 FEATURES, SEGMENT, ROUNDS = 1 << 16, 64, 60
 SIGNIFICANT, LIFT = 20.0, 3.0
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 GROUP_TOKENS, BLOCK = 150_000, 64
 
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -59,20 +59,10 @@ class Emissions:
     """Scores of tokens for the toxic state, remembered in bounded memory."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.known = weights, {}
+        self.known = common.Remembered(lambda t: float(weights[features(bare(t))].sum()), REMEMBERED)
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        w = self.weights
-        for t in set(tokens).difference(known):
-            known[t] = float(w[features(bare(t))].sum())
-        return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
+        return self.known(tokens, np.float64)
 
 
 def marginals(emissions: list[np.ndarray], steps: np.ndarray) -> list[np.ndarray]:
