@@ -119,7 +119,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = 0.6, rerank
             codes = index.codes_of(x, lists)
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary())], names=["list", "vec_id", "code", "vector"])
 
-    lists = vectors.mapInArrow(indexed, "list long, vec_id long, code binary, vector binary")
+    lists = vectors.mapInArrow(common.tidy(indexed), "list long, vec_id long, code binary, vector binary")
     many = common.materialise(lists.groupBy("list").count(), "lists")
     # as many lists as hold more than k vectors, whichever they are; a row for each of at most MOST_LISTS lists
     sizes = np.zeros(len(index.coarse), np.int64)
@@ -136,7 +136,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = 0.6, rerank
             raw = [v.tobytes() for v in x.astype("<f8")]
             yield pa.RecordBatch.from_arrays([pa.array(p.ravel(), pa.int64()), pa.array(ids), pa.array([r for r in raw for _ in range(p.shape[1])], pa.binary())], names=["list", "query_id", "query"])
 
-    asked = vectors.filter(is_query).mapInArrow(probing, "list long, query_id long, query binary")
+    asked = vectors.filter(is_query).mapInArrow(common.tidy(probing), "list long, query_id long, query binary")
     # both sides in blocks: a list's rows by id, and its queries, each block of queries with each block of rows
     many = many.select("list", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"))
     rows = lists.join(common.few(many), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))).drop("blocks")

@@ -7,7 +7,7 @@
    once: each match of the pattern separately, by merge ranks. The ids go back to the chunks.
 3. reassemble: ids are joined to the positions of the chunk's documents. Decoding joins ids with the table of token bytes.
 
-Tasks hold one chunk (CHUNK_CHARS of text, or one longer document), or the distinct parts of one hash bucket. Nothing is
+Tasks hold one chunk (CHUNK_CHARS of text unless told otherwise, or one longer document), or the distinct parts of one hash bucket. Nothing is
 broadcast; the rank file is read from its path by each worker. The first step runs for both the parts and the positions,
 which costs less than keeping its output; chunks are named by their content, so both runs agree.
 
@@ -116,28 +116,31 @@ class _Chunk:
         self.sequences.append(np.fromiter(map(known.__getitem__, parts), np.uint32, len(parts)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[_Chunk]:
     common.claim("bpe")
     chunk = _Chunk()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             chunk.add(doc_id, text.as_py())
-            if chunk.chars >= CHUNK_CHARS:
+            if chunk.chars >= chars:
                 yield chunk
                 chunk = _Chunk()
     if chunk.docs:
         yield chunk
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for c in _chunks(batches):
-        lengths = np.fromiter(map(len, c.sequences), np.uint32, len(c.sequences))
-        yield pa.RecordBatch.from_pydict({"chunk": [c.name.digest()], "docs": pa.array([c.docs], pa.list_(pa.int64())), "lengths": [_pack(lengths)], "sequence": [_pack(np.concatenate(c.sequences))]})
+def _positions(chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _chunks(batches, chars):
+            lengths = np.fromiter(map(len, c.sequences), np.uint32, len(c.sequences))
+            yield pa.RecordBatch.from_pydict({"chunk": [c.name.digest()], "docs": pa.array([c.docs], pa.list_(pa.int64())), "lengths": [_pack(lengths)], "sequence": [_pack(np.concatenate(c.sequences))]})
+
+    return run
 
 
-def _words_of(buckets: int):
+def _words_of(buckets: int, chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches):
+        for c in _chunks(batches, chars):
             words = [p.encode("utf-8", "surrogatepass") for p in c.known]
             if not words:
                 continue
@@ -214,15 +217,15 @@ def _documents(positions: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
             begin = end
 
 
-def _joined(docs: DataFrame, path: str, pattern: str, build, schema: str) -> DataFrame:
+def _joined(docs: DataFrame, path: str, pattern: str, build, schema: str, chars: int) -> DataFrame:
     """docs (doc_id, text) through the three steps; build makes the result from a chunk's documents and dictionary."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    words = docs.mapInArrow(_words_of(buckets), "chunk binary, bucket long, slots binary, words binary")
-    replies = words.repartition(buckets, "bucket").mapInArrow(_encoded(path, pattern), "chunk binary, slots binary, counts binary, ids binary")
-    positions = docs.mapInArrow(_positions, "chunk binary, docs array<long>, lengths binary, sequence binary")
+    words = docs.mapInArrow(common.tidy(_words_of(buckets, chars)), "chunk binary, bucket long, slots binary, words binary")
+    replies = words.repartition(buckets, "bucket").mapInArrow(common.tidy(_encoded(path, pattern)), "chunk binary, slots binary, counts binary, ids binary")
+    positions = docs.mapInArrow(common.tidy(_positions(chars)), "chunk binary, docs array<long>, lengths binary, sequence binary")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return build(left, Dictionary(right, _encoder(path, pattern)[1]))
@@ -230,7 +233,7 @@ def _joined(docs: DataFrame, path: str, pattern: str, build, schema: str) -> Dat
     return positions.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes decoded from the ids)."""
 
     def build(positions: pa.Table, words: Dictionary) -> pa.Table:
@@ -244,11 +247,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             b.append(hashlib.sha256(b"".join([decoded[i] for i in slots])).hexdigest())
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
-    return _joined(docs, path, pattern, build, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _joined(docs, path, pattern, build, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", chars)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids: the ids of every whole text."""
+def encode(docs: DataFrame, path: str, pattern: str, chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids: the ids of every whole text. Chunks of fewer chars take less memory and more of the shuffle."""
 
     def build(positions: pa.Table, words: Dictionary) -> pa.Table:
         ids, n, values = [], [], []
@@ -260,7 +263,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         flat = np.frombuffer(b"".join(values), np.uint32).astype(np.int32)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
 
-    return _joined(docs, path, pattern, build, "doc_id long, n_tokens long, ids array<int>")
+    return _joined(docs, path, pattern, build, "doc_id long, n_tokens long, ids array<int>", chars)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -274,4 +277,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "decoded": pa.array([b"".join([t[i] for i in x or ()]) for x in b.column(1).to_pylist()], pa.binary())})
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(common.tidy(run), "doc_id long, decoded binary")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from quarry.session import shared_folder
 #: A word is a run of characters other than space and the five ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch; with long texts the default of 10,000 takes too much memory in a worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch; with long texts the default of 10,000 rows takes too much memory in a worker and its executor.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -61,12 +62,12 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Bound Arrow batches, unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.match(r"(\d+)b?$", str(spark.conf.get(key)))
+        if not now or int(now[1]) == 0 or int(now[1]) > most:
+            spark.conf.set(key, str(most))
 
 
 def fresh(df: DataFrame | list[str] | tuple[str, ...], stem: str) -> str:
@@ -128,11 +129,27 @@ def claim(name: str) -> None:
         for other, empty in KEPT.items():
             if other != name:
                 empty()
-        gc.collect()
-        # what is free goes back to the system: the next operator's workers share the executor's memory
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system: workers share the executor's with the JVM, and live on when their task is over."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function for mapInArrow, that gives back free memory at the end of its partition."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def bloom_bits(h: np.ndarray, size: int) -> list[np.ndarray]:
@@ -166,7 +183,7 @@ def bloom(rows: DataFrame, columns: list[str], name: Callable[..., np.ndarray])
             at = (bits >> np.uint64(6)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array((np.uint64(1) << (bits & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
-    found = rows.select(*columns).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = rows.select(*columns).mapInArrow(tidy(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size // 64, np.uint64)
     words[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return words
@@ -203,7 +220,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
     if not _hashes:
         claim("words")
-        _hashes.append(Remembered(xxhash.xxh3_64_intdigest, 100_000))
+        _hashes.append(Remembered(xxhash.xxh3_64_intdigest, 60_000))
     return _hashes[0](words, np.uint64)
 
 

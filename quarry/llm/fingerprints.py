@@ -234,7 +234,7 @@ def near_duplicates(prints: DataFrame, least: float = 0.8, bands: int = 24, widt
     tasks = blocks.join(other, "band").filter("block <= j and not (all and all_j)").select("band", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
     work = tasks.join(placed, ["band", "block"]).join(two, "node").select("band", "i", "j", "block", "node", "linked", "f")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = work.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node").mapInArrow(run, "a long, b long, likeness double")
+    more = work.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node").mapInArrow(common.tidy(run), "a long, b long, likeness double")
 
     found = verified.select(F.col("hub").alias("a"), F.col("node").alias("b"), "likeness").unionByName(more)
     ids = found.join(each.select(F.col("node").alias("a"), F.col("id").alias("x")), "a").join(each.select(F.col("node").alias("b"), F.col("id").alias("y")), "b")
@@ -316,4 +316,4 @@ def with_edited(docs: DataFrame) -> DataFrame:
                     held = held[-1:]
                     chars = len(held[0][1])
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -165,7 +165,7 @@ def _passing(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(common.bloom_has(words.value, _name(*(b.column(i).to_numpy() for i in where)))))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.tidy(run), df.schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +290,15 @@ def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
     common.arrow_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc", "row", "text")
-    suffixes = common.materialise(docs.mapInArrow(_retained(words), ", ".join(f"{x} long" for x in PLACED)), "suffixes")
-    sorted_ = suffixes.mapInArrow(_merged_classes, FIELDS).repartition(parts, "key").sortWithinPartitions("key", "kind", "doc", "row", "at")
-    classes = common.materialise(sorted_.mapInArrow(_compared, FIELDS + ", mixed boolean"), "suffix-classes")
+    suffixes = common.materialise(docs.mapInArrow(common.tidy(_retained(words)), ", ".join(f"{x} long" for x in PLACED)), "suffixes")
+    sorted_ = suffixes.mapInArrow(common.tidy(_merged_classes), FIELDS).repartition(parts, "key").sortWithinPartitions("key", "kind", "doc", "row", "at")
+    classes = common.materialise(sorted_.mapInArrow(common.tidy(_compared), FIELDS + ", mixed boolean"), "suffix-classes")
 
     # extension of classes that share K words with others: their stretches, taken from the texts once more
     one = ["key", "kind", "doc", "row", "at"]
     mixed = classes.filter("mixed").select(one)
     wanted = spark.sparkContext.broadcast(common.bloom(mixed, one, _name))
-    found = docs.mapInArrow(_stretches(words, wanted), ", ".join(f"{x} long" for x in one) + ", hashes array<long>")
+    found = docs.mapInArrow(common.tidy(_stretches(words, wanted)), ", ".join(f"{x} long" for x in one) + ", hashes array<long>")
     # false ones go; copies bring the same suffixes again
     found = common.materialise(found.join(mixed, one, "left_semi").dropDuplicates(one), "stretches")
     each_hash = found.select("key", "kind", F.struct("doc", "row", "at").alias("place"), F.posexplode("hashes").alias("i", "hash"))
@@ -314,7 +314,7 @@ def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
     some = F.transform("shared", lambda x: F.struct((F.col("begin") + x["i"]).alias("b"), (F.col("begin") + x["i"] + words).alias("e"), (place > F.least(x["first"], F.col("own"))).alias("later")))
     none = F.array().cast("array<struct<b:bigint,e:bigint,later:boolean>>")
     pieces = each.select("doc", "row", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(some, none))).alias("p")).select("doc", "row", "p.b", "p.e", "p.later")
-    merged = pieces.repartition(parts, "doc", "row").sortWithinPartitions("doc", "row", "b", "e").mapInArrow(_merged, "doc long, row long, begin_word long, end_word long, later array<struct<begin:bigint,end:bigint>>")
+    merged = pieces.repartition(parts, "doc", "row").sortWithinPartitions("doc", "row", "b", "e").mapInArrow(common.tidy(_merged), "doc long, row long, begin_word long, end_word long, later array<struct<begin:bigint,end:bigint>>")
     if copies is None:
         return merged.withColumn("copy", F.lit(1).cast("long"))
     each_copy = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)).cast("long"))).alias("copy")

@@ -123,8 +123,8 @@ def encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataF
             bucket = [0 if i is None else int(np.searchsorted(edges, i, side="left")) for i in ids]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
-    common.arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, doc_id long, ids binary")
+    common.arrow_batches(docs.sparkSession, 1000)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidy(run), "bucket long, doc_id long, ids binary")
 
 
 def _ids(packed: bytes) -> np.ndarray:
@@ -264,7 +264,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         if made:
             yield pa.RecordBatch.from_pydict(dict(zip(("file", "bucket", "n_docs", "n_tokens"), map(list, zip(*made, strict=True)), strict=True)))
 
-    files = common.materialise(rows.mapInArrow(run, "file string, bucket long, n_docs long, n_tokens long"), "token-files")
+    files = common.materialise(rows.mapInArrow(common.tidy(run), "file string, bucket long, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -286,7 +286,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "start").repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(n, "file").mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(docs: DataFrame) -> str:

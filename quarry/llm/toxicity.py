@@ -33,7 +33,7 @@ from quarry.llm import common
 MOST_LABELLED, MOST_BYTES, PLAIN = 1500, 65_536, 4
 FEATURES, SEGMENT, ROUNDS = 1 << 16, 64, 60
 SIGNIFICANT, LIFT = 20.0, 3.0
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 GROUP_TOKENS, BLOCK = 150_000, 64
 
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -402,6 +402,7 @@ def _udf(docs: DataFrame, model: Model, with_spans: bool):
                     texts, es, tokens = [], [], 0
             value = pa.array(np.concatenate(scores))
             yield pa.StructArray.from_arrays([value, pa.array(spans, span)], names=["score", "spans"]) if with_spans else value
+        common.give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "struct<score:double,spans:array<struct<begin:int,end:int>>>" if with_spans else "double")
