@@ -10,6 +10,11 @@ def counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def summary(rows: DataFrame, key: str) -> DataFrame:
+    """Counts in order of the key, with their place: a row for each of a few names, such as forms."""
+    return counts(rows, key).withColumn("place", F.row_number().over(Window.orderBy(key)).cast("long")).orderBy(key)
+
+
 def unseen(known: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Known names that the data doesn't have."""
     return known.join(seen.select(key).distinct(), key, "left_anti")
@@ -31,7 +36,8 @@ def first_seen(rows: DataFrame, key: str, year: Column, quarter: Column, back: i
     at = rows.select(key, (year * 4 + quarter - 1).alias("_q"))
     per = at.groupBy(key).agg(F.max("_q").alias("_q"))
     if back is not None:
-        per = per.withColumn("_newest", F.max("_q").over(Window.partitionBy())).filter(F.col("_q") > F.col("_newest") - back)
+        newest = at.agg(F.max("_q").alias("_newest"))  # one row
+        per = per.join(F.broadcast(newest), F.col("_q") > F.col("_newest") - back)
     return per.select(key, F.floor(F.col("_q") / 4).cast("int").alias("year"), (F.pmod("_q", F.lit(4)) + 1).cast("int").alias("quarter"))
 
 
@@ -48,11 +54,18 @@ def header_stats(files: DataFrame, header: str = "value", path: str = "path") ->
 
 
 def first_values(rows: DataFrame, keys: list[str], value: str, n: int, order: list[Column]) -> DataFrame:
-    """The first n non-empty values of each key, and how many more it has."""
+    """The first n non-empty values of each key, and how many more it has.
+
+    Rows are cut to n a key before the shuffle (by the window's rank limit) and counted by an aggregation of their own.
+    """
     rows = rows.filter(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "")
-    w = Window.partitionBy(*keys)
-    rows = rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("_all", F.count(F.lit(1)).over(w))
-    return rows.filter(F.col("rank") <= n).select(*keys, "rank", value, F.greatest(F.col("_all") - n, F.lit(0)).alias("more"))
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+    total = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_all"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return first.join(total, on).select(*keys, "rank", value, F.greatest(F.col("_all") - n, F.lit(0)).alias("more"))
 
 
 def errors(rows: DataFrame, error: str) -> DataFrame:

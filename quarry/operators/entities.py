@@ -26,10 +26,13 @@ def backfilled(rows: DataFrame, names: DataFrame, key: str, name: str, order: st
 
 
 def looked_up(asked: DataFrame, sources: list[DataFrame], key: str, value: str, out: str) -> DataFrame:
-    """asked with the value of the first source (key, value) that has its key; rows of null value don't count."""
+    """asked with the value of the first source (key, value) that has its key; rows of null value don't count.
+
+    Of several rows of a key in a source, the first by its column `order` counts, if it has one, else that of the least value.
+    """
     found = asked
     for i, s in enumerate(sources):
-        known = s.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias(f"_k{i}")).agg(F.min(value).alias(f"_v{i}"))
+        known = s.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias(f"_k{i}")).agg((F.min_by(value, "order") if "order" in s.columns else F.min(value)).alias(f"_v{i}"))
         found = found.join(known, F.col(key) == F.col(f"_k{i}"), "left")
     return found.withColumn(out, F.coalesce(*[F.col(f"_v{i}") for i in range(len(sources))])).drop(*[f"_{x}{i}" for i in range(len(sources)) for x in "kv"])
 
@@ -67,14 +70,15 @@ def name_tokens(name: Column) -> Column:
     """Tokens of a company name: upper case, split at all but letters and digits, with runs of single characters joined."""
     for a, b in REPLACED:
         name = F.replace(name, F.lit(a), F.lit(b))
-    plain = F.regexp_replace(F.upper(F.replace(name, F.lit("'"))), r"[^A-Z0-9]", " ")
+    upper = F.translate(F.replace(name, F.lit("'")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")  # no other letter becomes one of A-Z
+    plain = F.regexp_replace(upper, r"[^A-Z0-9]", " ")
     # a space between two single characters goes
     joined = F.regexp_replace(plain, r"(?<=(?:^|\s)[A-Z0-9])\s+(?=[A-Z0-9](?:\s|$))", "\u0001")
     return F.filter(F.split(F.replace(joined, F.lit("\u0001")), r"\s+"), lambda t: t != "")
 
 
-def fuzzy_matched(queries: DataFrame, query: str, registry: DataFrame, symbol: str, name: str, entity: str) -> DataFrame:
-    """query, symbol, entity, score: the best entry of the registry for each distinct name that has one.
+def fuzzy_matched(queries: DataFrame, query: str, registry: DataFrame, symbol: str, name: str, entity: str, with_name: bool = False) -> DataFrame:
+    """query, symbol, entity, score (and name, if asked for): the best entry of the registry for each distinct name that has one.
 
     An entry's score is the share of common tokens (at least THRESHOLD of the longer name) in percent, more for equal token lists,
     for the symbol among the tokens, for plain symbols, for other candidates of the same entity, and less for long symbols.
@@ -98,7 +102,29 @@ def fuzzy_matched(queries: DataFrame, query: str, registry: DataFrame, symbol: s
         + SHARED * F.count(F.lit(1)).over(Window.partitionBy("query", "entity"))
     )
     rows = rows.withColumn("score", score)
-    return history.first_rows(rows, ["query"], [F.desc("score"), F.desc("symbol"), F.desc("r_name")]).select("query", "symbol", "entity", "score")
+    return history.first_rows(rows, ["query"], [F.desc("score"), F.desc("symbol"), F.desc("r_name")]).select("query", "symbol", *([F.col("r_name").alias("name")] if with_name else []), "entity", "score")
+
+
+def company_search(asked: DataFrame, query: str, registry: DataFrame, symbol: str, name: str, entity: str) -> DataFrame:
+    """query, symbol, entity, score of each distinct text asked for. One that is a symbol or a name, in any case, stands for
+    the name of the first such entry by symbol, then name."""
+    a = asked.select(F.col(query).alias(query)).filter(F.col(query).isNotNull()).distinct()
+    entry = F.struct(F.col(symbol).alias("s"), F.col(name).alias("n"))
+    keys = registry.select(F.explode(F.array(F.lower(symbol), F.lower(name))).alias("_key"), entry.alias("_e")).groupBy("_key").agg(F.min("_e").alias("_e"))
+    named = a.join(keys, F.lower(query) == F.col("_key"), "left").select(query, F.coalesce("_e.n", query).alias("_name"))
+    found = fuzzy_matched(named, "_name", registry, symbol, name, entity)
+    return named.join(found, F.col("_name") == F.col("query")).select(F.col(f"{query}"), "symbol", "entity", "score")
+
+
+def with_tickers(rows: DataFrame, registry: DataFrame, title: str = "title", name: str = "name", symbol: str = "symbol", company: str = "company_name", cik: str = "cik") -> DataFrame:
+    """rows with mapped_symbol, mapped_name, mapped_cik: of the registrant whose name fits the title, else the name."""
+    asked = rows.select(F.explode(F.array(title, name)).alias("q"))
+    found = fuzzy_matched(asked, "q", registry, symbol, company, cik, True)
+    best = F.struct("symbol", "name", "entity").alias("_b")
+    t, n = (found.select(F.col("query").alias(f"_{k}"), best.alias(f"_by_{k}")) for k in ("title", "name"))
+    out = rows.join(t, F.col(title) == F.col("_title"), "left").join(n, F.col(name) == F.col("_name"), "left")
+    b = F.coalesce("_by_title", "_by_name")
+    return out.select(*[rows[c] for c in rows.columns], b["symbol"].alias("mapped_symbol"), b["name"].alias("mapped_name"), b["entity"].alias("mapped_cik"))
 
 
 def by_range(rows: DataFrame, value: str, ranges: list[tuple[int, int, str]], out: str = "sector") -> DataFrame:

@@ -24,10 +24,15 @@ def with_fiscal_year(facts: DataFrame, fy: str = "fy", end: str = "end") -> Data
     return facts.withColumn(fy, F.coalesce(F.col(fy), dates.end_year(F.col(end))))
 
 
-def latest_values(facts: DataFrame, keys: list[str], name: str, value: str, names: list[str], order: list[str]) -> DataFrame:
-    """One row for each key with a column for each of names: the value of the greatest `order`. One hash aggregation, no sort."""
+def latest_values(facts: DataFrame, keys: list[str], name: str, value: str, names: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row for each key with a column for each of names: the value of the greatest `order`. One hash aggregation, no sort.
+
+    columns, if given, are those of the key's row of the greatest order, whatever its name, from the same aggregation.
+    """
     when = lambda n: F.max_by(F.when(F.col(name) == n, F.col(value)), F.when((F.col(name) == n) & F.col(value).isNotNull(), F.struct(*order)))
-    return facts.groupBy(*keys).agg(*[when(n).alias(n) for n in names])
+    best = [F.max_by(F.struct(*columns), F.struct(*order)).alias("_best")] if columns else []
+    out = facts.groupBy(*keys).agg(*[when(n).alias(n) for n in names], *best)
+    return out.select(*keys, *names, *[F.col(f"_best.{c}").alias(c) for c in columns]) if columns else out
 
 
 def latest_rows(facts: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
@@ -50,8 +55,7 @@ def wide_facts(facts: DataFrame, names: list[str]) -> DataFrame:
     f = f.withColumn("value", text.value_unit(F.col("value"), F.col("unit")))
     order = ["filed", "end", "accn", "unit", "value"]
     keys = ["cik", "fy", "fp"]
-    meta = latest_rows(f, keys, ["end", "filed", "form", "accn"], order)
-    out = latest_values(f, keys, "fact_name", "value", names, order).join(meta, keys, "left")
+    out = latest_values(f, keys, "fact_name", "value", names, order, ["end", "filed", "form", "accn"])
     out = out.withColumn("is_amendment", text.is_amendment(F.col("form"))).withColumn("form", text.base_form(F.col("form")))
     out = numbered(out, ["cik"], [F.desc("fy"), F.desc(dates.period_rank(F.col("fp"))), F.col("fp")])
     first = ["cik", "canonical_order", "fy", "fp", F.col("end").alias("period_end"), "filed", "form", "is_amendment", "accn"]

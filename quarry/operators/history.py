@@ -46,12 +46,14 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_b")).select(*keys, "_b.*")
 
 
-def from_end(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The n-th row of each key from the front (0 is the first) or, below zero, from the end (-1 is the last)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    at = F.row_number().over(w) - 1
-    return rows.withColumn("_at", at - (total if n < 0 else F.lit(0))).filter(F.col("_at") == n).drop("_at")
+def from_end(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The n-th row of each key by rising order: from the front (0 is the first) or, below zero, from the end (-1 is the last).
+
+    From the end, it is the order turned round, so no more than the first rows of each key are kept in a task.
+    """
+    way, at = (F.desc, -n) if n < 0 else (F.asc, n + 1)
+    w = Window.partitionBy(*keys).orderBy(*[way(c) for c in order])
+    return rows.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= at).filter(F.col("_at") == at).drop("_at")
 
 
 def of_entities(rows: DataFrame, related: DataFrame, key: str, entity: str, member: str) -> DataFrame:
@@ -96,3 +98,13 @@ def browse(rows: DataFrame, columns: list[str], needle: str, order: list[Column]
 
 def head(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return rows.orderBy(*order).limit(n)
+
+
+def tail(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The last n rows by rising order; the last comes first."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def spanned(rows: DataFrame, group: list[str], member: str, out: str = "members") -> DataFrame:
+    """The distinct members of each group, for instance the registrants that a history spans, as a sorted list."""
+    return rows.groupBy(*group).agg(F.array_sort(F.collect_set(member)).alias(out))

@@ -59,6 +59,11 @@ def by_value(rows: DataFrame, value: str, *ties: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(value), *ties)
 
 
+def by_date(rows: DataFrame, date: str, *ties: str) -> DataFrame:
+    """Newest first, undated last."""
+    return rows.orderBy(F.desc_nulls_last(date), *ties)
+
+
 def largest_changes(changes: DataFrame) -> DataFrame:
     order: list[Column] = [F.desc_nulls_last(F.abs("delta"))]
     return changes.orderBy("change_type", *order, *[c for c in changes.columns if c not in ("change_type", "delta")])

@@ -50,7 +50,7 @@ def period_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT p.*, m.event_id, m.event_type, row_number() OVER (PARTITION BY p.user_id ORDER BY p.week DESC) - 1 AS canonical_order FROM ({_PIVOTED}) p LEFT JOIN ({_LATEST}) m ON p.user_id = m.user_id AND p.week = m.week")
 def fundamentals_wide(spark: SparkSession, d: str) -> DataFrame:
-    rows = latest_value_pivot(spark, d).join(period_metadata(spark, d), ["user_id", "week"], "left")
+    rows = facts.latest_values(_weeks(spark, d), ["user_id", "week"], "event_type", "value", EVENTS, ["ts", "event_id"], ["event_id", "event_type"])
     return facts.numbered(rows, ["user_id"], [F.desc("week")])
 
 
@@ -143,11 +143,11 @@ def dedup_history(spark: SparkSession, d: str) -> DataFrame:
     return history.first_rows(rows, ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-@query("""SELECT n, id, name FROM (SELECT s_nationkey AS n, s_suppkey AS id, s_name AS name, 0 AS p FROM supplier UNION ALL SELECT c_nationkey, c_custkey, c_name, 1 FROM customer WHERE c_nationkey % 2 = 0)
+@query("""SELECT n, id, name FROM (SELECT s_nationkey AS n, s_suppkey AS id, s_name AS name, 0 AS p FROM supplier UNION ALL SELECT c_nationkey + c_nationkey % 2 * 100, c_custkey, c_name, 1 FROM customer)
 QUALIFY row_number() OVER (PARTITION BY n ORDER BY p DESC, id DESC) = 1""")
 def registry_merge(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").selectExpr("s_nationkey AS n", "s_suppkey AS id", "s_name AS name")
-    c = table(spark, d, "customer").filter("c_nationkey % 2 = 0").selectExpr("c_nationkey AS n", "c_custkey AS id", "c_name AS name")
+    c = table(spark, d, "customer").selectExpr("c_nationkey + c_nationkey % 2 * 100 AS n", "c_custkey AS id", "c_name AS name")
     return entities.merged([s, c], "n", "id")
 
 
@@ -271,7 +271,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
 def feed_delta(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return feed.delta(e, "ts", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id")
+    return feed.delta(e, "ts", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), ("event_id",)).select("event_id")
 
 
 @query("SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS high_water FROM events GROUP BY 1")
@@ -284,11 +284,12 @@ def feed_pages(spark: SparkSession, d: str) -> DataFrame:
     return feed.pages(table(spark, d, "events"), "ts", "event_id", F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")).select("event_id")
 
 
-@query("SELECT DISTINCT event_id, user_id, event_type FROM events WHERE event_type IN ('signup', 'purchase')")
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def feed_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Two overlapping feeds as one stream, each entry once, into a table of the shared folder."""
     schema = table(spark, d, "events").schema
-    feeds = [feed.stream(spark, f"{d}/events.parquet*", schema).filter(F.col("event_type").isin(*kinds)) for kinds in (["signup", "purchase"], ["purchase"])]
+    every, again = (feed.stream(spark, f"{d}/events.parquet*", schema) for _ in range(2))
+    feeds = [every, again.filter(F.col("event_type").isin("purchase", "view"))]  # two kinds of entries come by both
     out = f"{shared_folder(spark)}/quarry/feed-{uuid.uuid4().hex}"
     rows = feed.unique(feed.union_of(feeds), ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type")
     feed.run_available(rows, f"{out}/rows", f"{out}/checkpoint")
@@ -332,7 +333,7 @@ def previous_quarter(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 2")
 def second_newest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return history.from_end(rows, ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")], -2).drop("o_orderdate")
+    return history.from_end(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], -2).drop("o_orderdate")
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")

@@ -37,10 +37,10 @@ def run_available(entries: DataFrame, sink: Callable[[DataFrame, int], None] | s
         raise q.exception()
 
 
-def delta(entries: DataFrame, at: str, since=None) -> DataFrame:
-    """Entries strictly newer than the mark, newest first."""
+def delta(entries: DataFrame, at: str, since=None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Entries strictly newer than the mark, newest first, then by the columns ties."""
     out = entries if since is None else entries.filter(F.col(at) > F.lit(since))
-    return out.orderBy(F.desc(at))
+    return out.orderBy(F.desc(at), *ties)
 
 
 def high_water(entries: DataFrame, *keys: str, at: str) -> DataFrame:
