@@ -6,11 +6,12 @@ path that ends in "/" and with the whole path. Each key is tested against the Bl
 the list itself, so false positives don't stay, and the longest listed key of a URL wins.
 
 The filter is a table of blocks of 256 bits: a key's hash chooses one block and `BITS` bits of it. It has 16 bits a listed
-key at least. Its table is joined by block number: Spark broadcasts it below the session's size limit and else shuffles.
+key and MOST_BLOCKS blocks at most (2 MB), so it is broadcast whatever the list; a longer list lets more others pass, which the
+exact join takes off. Keys are made and tested where a page is read: only possible hits are shuffled.
 
 Nulls: a null URL, or one without "://", has an empty host and path, no key and no rule. A null in the list is left out.
 Repeated URLs are judged each; repeated list entries count once (block wins if both verdicts are listed for one key).
-Columns of the pages other than url pass through unchanged, whatever their names.
+Columns of the pages pass through unchanged, but for those named host, path, rule or verdict, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BITS, BITS, BITS_PER_KEY = 256, 8, 16
+from quarry.llm import common
+
+BLOCK_BITS, BITS, BITS_PER_KEY, MOST_BLOCKS = 256, 8, 16, 1 << 16
 
 
 def host_of(url: Column) -> Column:
@@ -73,8 +76,8 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def block_count(keys: DataFrame) -> int:
-    """Blocks for BITS_PER_KEY bits a key: a power of two."""
-    return 1 << max(0, (keys.count() * BITS_PER_KEY // BLOCK_BITS)).bit_length()
+    """Blocks for BITS_PER_KEY bits a key, MOST_BLOCKS at most: a power of two."""
+    return min(MOST_BLOCKS, 1 << max(0, (keys.count() * BITS_PER_KEY // BLOCK_BITS)).bit_length())
 
 
 def possible(rows: DataFrame, key: str, keys: DataFrame, listed_key: str) -> DataFrame:
@@ -85,31 +88,30 @@ def possible(rows: DataFrame, key: str, keys: DataFrame, listed_key: str) -> Dat
     hit = F.lit(True)
     for i in range(len(words)):
         hit = hit & (F.col(f"b_w{i}").bitwiseAND(F.col(f"p_w{i}")) == F.col(f"p_w{i}"))
-    return test.join(bloom(keys, listed_key, blocks), F.col("b_probe") == F.col("b_block")).filter(hit).select(rows.columns)
+    filter_ = F.broadcast(bloom(keys, listed_key, blocks))  # MOST_BLOCKS rows of five longs
+    return test.join(filter_, F.col("b_probe") == F.col("b_block")).filter(hit).select(rows.columns)
 
 
 def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule, verdict.
+    """pages with host, path, rule, verdict behind their own columns; columns of those names make way for them.
 
     listed: columns key (host + path) and verdict. rule is the longest listed key that fits the URL (ties can't be: keys of
     equal length that fit one URL differ in host and path, and the longer host wins), verdict its verdict, or default.
     """
     listed = listed.filter(F.col("key").isNotNull() & F.col("verdict").isNotNull()).groupBy("key").agg(F.max("verdict").alias("rule_verdict"))
-    urls = pages.select(F.col(url).alias("u")).filter(F.col("u").contains("://")).distinct()
+    urls = pages.select(F.col(url).alias("u")).filter(F.col("u").contains("://"))
     asked = urls.select("u", F.explode(F.array_distinct(keys_of(host_of(F.col("u")), path_of(F.col("u"))))).alias("k"))
-    passed = possible(asked, "k", listed, "key")
-    fits = passed.join(listed, F.col("k") == F.col("key"))
+    fits = possible(asked, "k", listed, "key").join(listed, F.col("k") == F.col("key"))
     order = F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "/", 1)).alias("h"), F.col("key"), F.col("rule_verdict"))
-    best = fits.groupBy("u").agg(F.max(order).alias("best"))
-    taken = {c.lower() for c in pages.columns}
-    for c in ("host", "path", "rule", "verdict"):
-        if c in taken:
-            pages = pages.drop(c)
-    out = pages.join(best, pages[url] == best["u"], "left")
-    return out.select(
-        *[pages[c] for c in pages.columns],
-        host_of(pages[url]).alias("host"),
-        path_of(pages[url]).alias("path"),
-        F.col("best.key").alias("rule"),
-        F.coalesce(F.col("best.rule_verdict"), F.lit(default)).alias("verdict"),
-    )
+    of, best = common.fresh(pages, "_url"), common.fresh(pages, "_best")
+    found = fits.groupBy(F.col("u").alias(of)).agg(F.max(order).alias(best))
+    own = [F.col(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+
+    def judged(rows: DataFrame, key: Column, verdict: Column) -> DataFrame:
+        return rows.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), key.alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
+
+    # pages without a host, however many, stay out of the join
+    hosted = F.coalesce(F.col(url).contains("://"), F.lit(False))
+    joined = pages.filter(hosted).join(found, F.col(url) == F.col(of), "left")
+    none = F.lit(None).cast("string")
+    return judged(joined, F.col(f"{best}.key"), F.col(f"{best}.rule_verdict")).unionByName(judged(pages.filter(~hosted), none, none))
