@@ -12,7 +12,7 @@ of a call's arguments with the schema of its name: unknown names, missing requir
 kinds are told apart. Canonical JSON has sorted keys, no spaces and no null members; members are after, arguments, id, name, result.
 
 Nulls: a call without call_id stands alone: no result, level 0, and its `after` counts. A null name is unknown; null or malformed
-arguments are errors ("arguments"). Null content is a result without content. Calls with the same id, and results with the same
+arguments are errors ("arguments"). Null content is a result without content, a result without a turn answers like others. Calls with the same id, and results with the same
 id, count once: the one of the smallest turn, then of the smallest text. `after` of an unknown id counts as none; calls on a
 cycle have a null level, as do those that wait for one. Results without a call come as rows of status orphan.
 """
@@ -101,12 +101,15 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame, numbers_as_
     """conv_id, turn, call_id, name, level, status (answered, open or orphan), errors, json: a row of each call, and of each
     result without one. In (conv_id, level, turn, call_id) order the calls of a conversation come after those they use."""
     calls = _once(calls.select("conv_id", "call_id", "name", "arguments", "after", "turn"), ["turn", "arguments"])
-    results = _once(results.select("call_id", "content", "turn"), ["turn", "content"]).select(F.col("call_id").alias("_of"), "content", F.col("turn").alias("_answered"))
+    results = _once(results.select("call_id", "content", "turn"), ["turn", "content"]).select(F.col("call_id").alias("_of"), "content", F.col("turn").alias("_answered"), F.lit(True).alias("_result"))
     checked = validated(calls, schemas, numbers_as_text)
     level = levels(calls).withColumnRenamed("call_id", "_lid")
-    rows = checked.join(results, F.col("call_id") == F.col("_of"), "full").join(level, F.col("call_id") == F.col("_lid"), "left")
+    # calls and results without an id, however many, stay out of the joins
+    ordered = checked.filter("call_id is not null").join(level, F.col("call_id") == F.col("_lid"), "left")
+    rows = ordered.join(results.filter("_of is not null"), F.col("call_id") == F.col("_of"), "full")
+    rows = rows.unionByName(checked.filter("call_id is null"), allowMissingColumns=True).unionByName(results.filter("_of is null"), allowMissingColumns=True)
     is_call = F.col("errors").isNotNull()
-    status = F.when(~is_call, "orphan").when(F.col("_answered").isNotNull(), "answered").otherwise("open")
+    status = F.when(~is_call, "orphan").when(F.col("_result"), "answered").otherwise("open")
     body = F.struct(
         F.col("after"),
         F.coalesce(F.to_json("_args"), F.when(is_call, F.to_json(F.struct(F.col("arguments").alias("x"))))).alias("arguments"),
