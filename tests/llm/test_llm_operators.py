@@ -227,6 +227,35 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert [tuple(r) for r in url_filter.judge(pages, rules).orderBy("page_id").collect()] == [(k, url, host, path, rule, verdict) for k in (1, 2)]
 
 
+def test_urls_beside_columns_of_any_name(spark):
+    rules = spark.createDataFrame([("net/", "block")], "key string, verdict string")
+    pages = spark.createDataFrame([("http://a.net/", 1, 2, 3, 4), (None, 1, 2, 3, 4)], "url string, best int, _best int, k int, host int")
+    got = url_filter.judge(pages, rules)
+    assert got.columns == ["url", "best", "_best", "k", "host", "path", "rule", "verdict"]
+    assert {tuple(r) for r in got.collect()} == {("http://a.net/", 1, 2, 3, "a.net", "/", "net/", "block"), (None, 1, 2, 3, "", "", None, "allow")}
+    assert url_filter.judge(pages.filter("false"), rules).count() == 0
+
+
+def test_result_without_a_turn_answers(spark):
+    calls = spark.createDataFrame([(1, "a", "f", "{}", None, 1), (1, None, "f", "{}", None, 2)], "conv_id long, call_id string, name string, arguments string, after string, turn long")
+    results = spark.createDataFrame([("a", "said", None), (None, "lost", 5)], "call_id string, content string, turn long")
+    schemas = spark.createDataFrame([("f", "x", "string", False)], "name string, param string, kind string, required boolean")
+    got = Counter((r.call_id, r.status, r.level) for r in chat.linked(calls, results, schemas).collect())
+    assert got == Counter([("a", "answered", 0), (None, "open", 0), (None, "orphan", None)])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_doc", "_row", "_copy", "_cut", "_cut_doc", "_shared", "_size", "_node", "_at", "score", "spans", "_found", "key", "component"]
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = spark.createDataFrame([(i, t, "s", *range(len(names))) for i, t in ((1, text), (2, text + " x"), (2, "other words"), (None, text), (None, None), (3, ""))], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    model = toxicity.train(rows.select("doc_id", "text"), spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    stages = [lambda d: toxicity.below(d, model, 0.7), ngram_jaccard.one_of_group, suffix_dedup.without_later, mixing.mixed_documents]
+    for stage in stages:
+        got = stage(rows)
+        assert got.columns == rows.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in got.collect())
+        assert stage(rows.filter("false")).count() == 0
+
+
 def test_bloom_passes_all_listed_and_few_others(spark):
     keys = spark.range(2000).select(F.concat(F.lit("h/"), "id").alias("k"))
     asked = spark.range(1000, 41000).select(F.concat(F.lit("h/"), "id").alias("k"))
