@@ -49,7 +49,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents"))
-    return mixing.taken(sizes, length_of=mixing.slot_length).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,10 +127,10 @@ p4 AS (SELECT *, total - CAST(sum(CASE WHEN isfull THEN most ELSE 0 END) OVER ()
 p5 AS (SELECT *, CASE WHEN isfull THEN CAST(most AS DOUBLE) ELSE weight * rest / heavy END AS target,
        CASE WHEN num = max(num) OVER () THEN 4294967296 ELSE least(4294967296, CAST(floor((CAST(sum(CASE WHEN isfull THEN most ELSE 0 END) OVER (ORDER BY num) AS BIGINT)
          + CAST(sum(CASE WHEN isfull THEN 0 ELSE weight END) OVER (ORDER BY num) AS BIGINT) * rest / heavy) / greatest(total, 1) * 4294967296.0::DOUBLE) AS BIGINT)) END AS hi FROM p4),
-p AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY num), 0) AS lo, greatest(16, least(2048, total // 1048576)) AS length FROM p5),
+p AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY num), 0) AS lo, 16 AS length FROM p5),
 slots AS (SELECT slot, (slot * 2654435769) % 4294967296 AS point FROM (SELECT unnest(range(0, (SELECT (max(total) + max(length) - 1) // max(length) FROM p))) AS slot)),
 got AS (SELECT num, count(*) AS n FROM slots JOIN p ON point >= lo AND point < hi GROUP BY num),
-x AS (SELECT d.*, p.num, p.source_size, p.target, p.length, coalesce(n, 0) * p.length AS reach,
+x AS (SELECT d.*, p.num, p.source_size, p.target, p.length, least(coalesce(n, 0) * p.length, CAST(ceil(p.target) AS BIGINT)) AS reach,
       coalesce(CAST(sum(size) OVER (PARTITION BY p.num ORDER BY md5('7:' || doc_id::VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS b
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN got ON p.num = got.num)
 SELECT doc_id, size, source_size, target,
