@@ -227,35 +227,34 @@ def _filesystem(uri: str):
 def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
     """Writes docs as token files below folder; gives the manifest: path, bucket, n_docs, n_tokens, start.
 
-    Ranges of doc_id come from approximate quantiles of that column alone, one for each shuffle partition.
+    A file's name is that of its task's attempt, so no attempt touches another's file: the manifest has one file for each
+    bucket, and what other attempts left is deleted at the end. Ranges of doc_id come from approximate quantiles of that column alone, one for each shuffle partition.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     rows = encoded(docs, path, end_id, sorted(set(cuts))).repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
 
+    call = uuid.uuid4().hex[:12]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        bucket = writer = stream = draft = None
+        bucket = writer = stream = file = None
         count, made = 0, []
 
         def done():
             writer.close()
             stream.close()
-            final = f"{base}/part-{bucket:06d}.tok"
-            if fs.get_file_info(final).type.name != "NotFound":
-                fs.delete_file(final)
-            fs.move(draft, final)
-            made.append((f"part-{bucket:06d}.tok", bucket, count, writer.tokens))
+            made.append((file, bucket, count, writer.tokens))
 
         for b in batches:
             for at, doc_id, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if at != bucket:
                     if writer:
                         done()
-                    bucket, count, draft = at, 0, f"{base}/.draft-{uuid.uuid4().hex}"
-                    stream = fs.open_output_stream(draft)
+                    bucket, count, file = at, 0, f"part-{at:06d}-{call}-{uuid.uuid4().hex}.tok"
+                    stream = fs.open_output_stream(f"{base}/{file}")
                     writer = Writer(stream)
                 writer.add(doc_id, _ids(ids))
                 count += 1
@@ -265,10 +264,21 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(("file", "bucket", "n_docs", "n_tokens"), map(list, zip(*made, strict=True)), strict=True)))
 
     files = common.materialise(rows.mapInArrow(common.tidy(run), "file string, bucket long, n_docs long, n_tokens long"), "token-files")
+    _without_leftovers(folder, call, {r.file for r in files.select("file").collect()})
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def _without_leftovers(folder: str, call: str, kept: set[str]) -> None:
+    """Deletes the files of this call of write() that the manifest doesn't name. There is a file for each shuffle partition."""
+    fs, base = _filesystem(folder)
+    from pyarrow.fs import FileSelector
+
+    for f in fs.get_file_info(FileSelector(base, allow_not_found=True)):
+        if f"-{call}-" in f.base_name and f.base_name not in kept:
+            fs.delete_file(f.path)
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, and ids (binary, 32-bit) is kept out of it."""
 
