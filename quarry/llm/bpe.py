@@ -221,7 +221,8 @@ def _joined(docs: DataFrame, path: str, pattern: str, build, schema: str, chars:
     """docs (doc_id, text) through the three steps; build makes the result from a chunk's documents and dictionary."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # both passes over docs must cut the same chunks
+    docs = common.settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "bpe-docs")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
     words = docs.mapInArrow(common.tidy(_words_of(buckets, chars)), "chunk binary, bucket long, slots binary, words binary")
     replies = words.repartition(buckets, "bucket").mapInArrow(common.tidy(_encoded(path, pattern)), "chunk binary, slots binary, counts binary, ids binary")

@@ -62,6 +62,15 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df for an operator that reads it more than once and needs the same rows in the same partitions and order each time.
+
+    A scan of files gives that, a shuffle doesn't (an executor's loss or another order of fetching changes it): such a df is written.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialise(df, name) if re.search("Exchange|Sample", plan) else df
+
+
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Bound Arrow batches, unless the session already asks for smaller ones."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
