@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 from collections import Counter
 
 import numpy as np
@@ -375,6 +376,36 @@ def test_chat_keeps_turns_with_nulls(spark):
     ]
 
 
+def test_token_files_keep_to_their_call(spark):
+    folder = token_files.new_folder(docs(spark))
+    one, two = docs(spark, (1, "a b"), (2, "c")), docs(spark, (1, "other words"), (3, None))
+    first, second = token_files.write(one, folder, WORDS, 1), token_files.write(two, folder, WORDS, 1)
+    assert sorted(r.doc_id for r in token_files.read(first, folder).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in token_files.read(second, folder).collect()) == [1, 3]
+    name = first.first().file
+    call = name.split("-")[2]
+    fs, base = token_files._filesystem(folder)
+    fs.open_output_stream(f"{base}/part-000000-{call}-lost.tok").close()
+    token_files._without_leftovers(folder, call, {r.file for r in first.collect()})
+    left = {f.base_name for f in fs.get_file_info(token_files_selector(base))}
+    assert left == {r.file for r in first.collect()} | {r.file for r in second.collect()}
+
+
+def token_files_selector(base):
+    from pyarrow.fs import FileSelector
+
+    return FileSelector(base)
+
+
+def test_settled(spark):
+    read = common.materialise(docs(spark, *[(i, f"w{i} x") for i in range(50)]), "t")
+    assert common.settled(read, "t") is read
+    dealt = read.repartition(5, "text")
+    assert common.settled(dealt, "t") is not dealt
+    a, b = (sorted(tuple(r) for r in bpe.digests(d, RANKS, public_tokenizers.PATTERN).collect()) for d in (read, dealt))
+    assert a == b and len(a) == 50
+
+
 # ---- 8: mixing -------------------------------------------------------------------------------------------------------
 
 
@@ -415,6 +446,18 @@ def test_small_sources_stay_in_a_large_mix(spark):
     sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
     got = [r for r in mixing.taken(sizes).collect() if r.source.startswith("small")]
     assert len(got) == 40 and all(r.taken > 0 and abs(r.taken - r.target) <= 64 for r in got)
+    assert all(r.taken <= math.ceil(r.target) for r in got)
+
+
+def test_a_last_block_ends_at_the_target(spark):
+    rows = [(i, "w " * 500, f"s{i % 4}") for i in range(40)] + [(900, "one two", "a"), (901, "w " * 7, "b")]
+    sizes = mixing.sized(docs(spark, *rows))
+    by = {}
+    for r in mixing.taken(sizes).collect():
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(got <= math.ceil(target) for target, got in by.values())
+    per = {r.doc_id: r.n for r in mixing.mix(sizes).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
+    assert {r.doc_id: r.taken for r in mixing.taken(sizes).filter("taken > 0").collect()} == per
 
 
 # ---- 9: toxicity -----------------------------------------------------------------------------------------------------
