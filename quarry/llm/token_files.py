@@ -18,6 +18,8 @@ their ids. An empty table gives no file. Other columns are not read.
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -51,6 +53,22 @@ def _words(text: str) -> list[str]:
     return re.split(r"[ \n]+", text) if _odd_space(text) else text.split()
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is of letters, also once the normaliser has composed it and made it lower case."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def _kind(c: int) -> str:
+    """Of a Latin-1 character: odd space, comma or full stop, white space, letter or number, other."""
+    ch = chr(c)
+    return "?" if 0x1C <= c <= 0x1F else "," if ch in ",." else " " if ch.isspace() else "a" if ch.isalnum() else "."
+
+
+#: Latin-1 characters in lower case, ASCII white space as blanks; and their kinds.
+LOWER = bytes(32 if chr(c) in "\t\n\v\f\r" else ord(chr(c).lower()) for c in range(256))
+KINDS = "".join(map(_kind, range(256))).encode()
+
+
 class _Encoder:
     def __init__(self, path: str):
         import os
@@ -60,23 +78,41 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def parts(self, text: str) -> list[str]:
+        """Words of a text, fewer distinct ones if it is of Latin-1 characters: in lower case, commas and full stops apart.
+
+        The normaliser changes such a text by nothing but lower case. A comma or full stop before a blank is a match of its own
+        unless it ends a run of punctuation. Texts with one of these runs, odd spaces or added tokens aren't changed that way.
+        """
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _words(text)
+        kinds, raw = raw.translate(KINDS), raw.translate(LOWER)
+        if b"?" in kinds or any(t in raw for t in self.added):
+            return _words(text)
+        if b"., " not in kinds and b",, " not in kinds:
+            raw = raw.replace(b", ", b" , ").replace(b". ", b" . ")
+        return raw.decode("latin-1").split()
+
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         todo = words.difference(self.known)
-        # letters, then one "," or ".": two matches of the pre-tokeniser
-        ends = {w: w[:-1] for w in todo if w[-1:] in (",", ".") and w[:-1].isalpha()}
-        plain = (todo.difference(ends) | ({*ends.values(), ",", "."} if ends else set())).difference(self.known)
-        letters = sorted(w for w in plain if w.isalpha())
-        self._one_by_one([w for w in plain if not w.isalpha()])
+        # letters, then a run of punctuation: two matches of the pre-tokeniser
+        ends = {w: base for w in todo if (base := w.rstrip(string.punctuation)) != w and _letters(base)}
+        plain = todo.difference(ends).union(ends.values(), [w[len(base) :] for w, base in ends.items()]).difference(self.known)
+        letters = [w for w in plain if _letters(w)]
+        self._one_by_one(list(plain.difference(letters)))
         for k in range(0, len(letters), RUN):
             self._as_text(letters[k : k + RUN])
         for w, base in ends.items():
-            self.known[w] = self.known[base] + self.known[w[-1]]
+            self.known[w] = self.known[base] + self.known[w[len(base) :]]
 
     def _one_by_one(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -94,7 +130,7 @@ class _Encoder:
             begin = end
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parted = [_words(t) if t else [] for t in texts]
+        parted = [self.parts(t) if t else [] for t in texts]
         try:
             return [b"".join(map(self.known.__getitem__, words)) for words in parted]
         except KeyError:

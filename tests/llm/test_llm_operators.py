@@ -301,6 +301,20 @@ def test_token_files(spark):
     assert token_files.read(token_files.write(docs(spark), empty, WORDS, 1), empty).count() == 0
 
 
+def test_words_of_odd_texts_are_those_of_the_tokenizer():
+    import random
+
+    encode = token_files._encoder(WORDS)
+    pool = [*"aAbBzZÀéßµªº²½'’.,,..!?#-_ \n\t\x85\xa0\x1c\x1f\0Σσςİı\u0301ǰJ\u030cﬁ한中ñ", "\u0958", "\u0958,", ", ", ". ", "'s", "'S ", "'LL,", "..."]
+    pool += ["<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>", " word, ", "Word. ", "), ", "3.14", "abc###", "abc.%%%"]
+    rng = random.Random(4)
+    for latin in (False, True):
+        some = [x for x in pool if not latin or max(map(ord, x)) < 256]
+        texts = ["".join(rng.choices(some, k=rng.randint(0, 14))) for _ in range(4000)]
+        want = [e.ids for e in encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, np.uint32).tolist() for x in encode(texts)] == want
+
+
 def test_token_file_frames():
     out = io.BytesIO()
     w = token_files.Writer(out, frame_tokens=100)
@@ -523,6 +537,38 @@ def test_fingerprints(spark):
     assert alone[0] == names[1]
 
 
+def walked(text):
+    """The fingerprint of one text by a plain walk, a step at a time, sampled at the shared steps."""
+    moves, steps, _ = fingerprints._shared()
+    points = [*map(ord, text), 0, 0, 0]
+    kind = [((c * 2654435761 % 2**32) >> 16) % 255 + 1 for c in points[:-3]] + [0, 0, 0]
+    out, at, step = [], 0, 0
+    for stop in steps.tolist():
+        while step < stop and at < len(text):
+            at += int(moves[step % fingerprints.PERIOD, kind[at]])
+            step += 1
+        if at >= len(text):
+            break
+        mixed = (kind[at] * 40503 + kind[at + 1] * 60493 + kind[at + 2] * 37813) * 2246822519 % 2**32
+        out.append((mixed >> 13) % 15 + 1)
+    return "".join(f"{d:x}" for d in out)
+
+
+def test_fingerprint_is_a_plain_walk():
+    texts = ["", "x", "ab", "é🙂" * 40, "\0a\0", "\n" * 500, "a" * 3000, *[prose(i, n) for i, n in enumerate([1, 3, 10, 60, 333, 1500])]]
+    assert fingerprints.to_text(fingerprints.samples_of(texts)) == [walked(t) for t in texts]
+
+
+def test_likeness_is_the_weighted_share():
+    texts = [prose(1, 40), prose(1, 39), prose(1, 40).replace("a", "b"), prose(2, 300), "", "x"]
+    digits, weights = fingerprints.samples_of(texts), fingerprints._shared()[2]
+    for a in digits:
+        for b in digits:
+            some = [(x == y, w) for x, y, w in zip(a.tolist(), b.tolist(), weights.tolist(), strict=False) if x or y]
+            share = sum(w for same, w in some if same) / sum(w for _, w in some) if some else 1.0
+            assert abs(fingerprints.likeness(a[None], b[None])[0] - min(1.0, max(0.0, (share - 1 / 15) / (14 / 15)))) < 1e-9
+
+
 def test_edited_order(spark):
     rows = [(9, "abcdef"), (7, None), (5, "uvwxyz" * 200), (5, "aa"), (3, ""), (None, "null one"), (1, "é🙂é🙂é🙂")]
     got = fingerprints.with_edited(docs(spark, *rows)).collect()
