@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions import patterns as P
+
 
 def ticker_symbol(c: Column) -> Column:
     """Trimmed and upper case, with "." and "/" as "-"."""
@@ -99,13 +101,14 @@ def symbol_variants(c: Column) -> Column:
 
 
 def no_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)<[^>]*>", "")
+    return F.regexp_replace(c, P.TAG, "")
 
 
 def no_hidden_markup(c: Column) -> Column:
     """Without inline-XBRL headers and hidden blocks."""
-    c = F.regexp_replace(c, r"(?is)<ix:header\b.*?</ix:header>", "")
-    return F.regexp_replace(c, r'(?is)<div[^>]*style="[^"]*display:\s*none[^"]*"[^>]*>.*?</div>', "")
+    for p in P.HIDDEN:
+        c = F.regexp_replace(c, p, "")
+    return c
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -121,9 +124,9 @@ def item_key(c: Column) -> Column:
 
 def cleaned_report(c: Column) -> Column:
     """Report text with spaced-out item headings joined, lines of a page number gone and newlines collapsed."""
-    c = F.regexp_replace(c, r"(?im)^([ \t]*)I[ \t]*T[ \t]*E[ \t]*M[ \t]+([0-9]{1,2})[ \t]*([A-C]?)", "$1ITEM $2$3")
-    c = F.regexp_replace(c, r"(?m)^[ \t]*-{0,5}[ \t]*[0-9]{1,4}[ \t]*-{0,5}[ \t]*$", "")
-    return F.regexp_replace(c, r"\n{3,}", "\n\n")
+    for pattern, by in ((P.SPACED_ITEM, "$1ITEM $2$3"), (P.PAGE_NUMBER, ""), (P.BLANK_LINES, "\n\n")):
+        c = F.regexp_replace(c, pattern, by)
+    return c
 
 
 TRANSACTIONS = {  # fixed values: codes of insider transactions
@@ -228,16 +231,16 @@ def route(items_: Column, form: Column) -> Column:
 
 
 def feed_cik(href: Column) -> Column:
-    return F.regexp_extract(href, r"/edgar/data/([0-9]+)/", 1).try_cast("long")
+    return F.regexp_extract(href, P.FEED_CIK, 1).try_cast("long")
 
 
 def feed_company(title: Column) -> Column:
-    return F.nullif(F.regexp_extract(title, r"^.*? - (.+?)\s*\([0-9]+\)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(title, P.FEED_COMPANY, 1), F.lit(""))
 
 
 def feed_filed(summary: Column) -> Column:
-    return F.try_to_date(F.regexp_extract(no_tags(summary), r"Filed:\s*([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd")
+    return F.try_to_date(F.regexp_extract(no_tags(summary), P.FEED_FILED, 1), "yyyy-MM-dd")
 
 
 def feed_items(summary: Column) -> Column:
-    return F.regexp_extract_all(no_tags(summary), F.lit(r"Item ([0-9]+(?:\.[0-9]+)?):"), F.lit(1))
+    return F.regexp_extract_all(no_tags(summary), F.lit(P.FEED_ITEM), F.lit(1))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, text, urls
+from quarry.operators import documents
 
 
 def value(spark, column, **row):
@@ -54,6 +55,8 @@ def test_text_repair(spark):
     assert value(spark, text.collapse_blank_lines(F.lit("\n\na  \n\n\n\nb \n"))) == "a\n\nb"
     assert value(spark, text.snippet(F.lit(" a\n\n b\t c "), 3)) == "a b"
     assert value(spark, text.cleaned_report(F.lit("I T E M  7 A. x\n 12 \ny"))) == "ITEM 7A. x\n\ny"
+    for report in ("I T E M  7 A. x\n 12 \ny", "i t e m 1 Abc", "I T E M 7 a. b", "ITEM 10\n--- 3 ---\n\n\n\nz", "Item\t9 B: x\n12345\n"):  # as whole documents
+        assert value(spark, text.cleaned_report(F.lit(report))) == documents.report_text(report)
     assert value(spark, text.no_hidden_markup(F.lit('<ix:header>x</ix:header>a<div style="display:none">b</div>c'))) == "ac"
     assert value(spark, text.item_key(F.lit("Item 1 A"))) == "item_1a"
     assert value(spark, text.path_name(F.lit("a b/c"))) == "a_b_c"
