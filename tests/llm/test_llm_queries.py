@@ -68,6 +68,19 @@ def test_op9_scores(spark, sf_dir, texts):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_op9_held_out_errors(spark):
+    """Of labelled documents that taught nothing, on the largest tables: few toxic ones missed, few others taken for toxic."""
+    from quarry.session import table
+
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
+    held = [(labels[r.doc_id], r.predicted, r.score) for r in llm.op9_toxicity(spark, sf_dir).collect() if r.held_out and r.doc_id in labels]
+    score = {k: np.array([s for y, _, s in held if y == k]) for k in (0, 1)}
+    assert min(map(len, score.values())) >= 100
+    assert np.mean([p == 1 for y, p, _ in held if y == 1]) >= 0.9 and np.mean([p == 0 for y, p, _ in held if y == 0]) >= 0.99
+    assert np.mean([(score[0] < s).mean() for s in score[1]]) >= 0.95
+
+
 def test_op10_edits(spark, sf_dir, texts):
     got = {r.doc_id: r for r in llm.op10_fingerprints(spark, sf_dir).collect()}
     order = sorted(texts, reverse=True)
