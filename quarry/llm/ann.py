@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Fitting takes at most SAMPLE vectors, chosen by hash: k-means finds the coarse centroids, about the square root of the number
-of vectors and at most MOST_LISTS, and, in each of PARTS parts of the dimensions, CODES centroids of the residuals. Every vector
-is then indexed: its list is its nearest centroid, its code the nearest part centroids of its residual. Lists are cut into
+of vectors and at most MOST_LISTS, and, in each of PARTS parts of the dimensions, CODES centroids of the residuals of the
+first FITTED vectors of the sample. Every vector is then indexed: its list is its nearest centroid, its code the nearest part centroids of its residual. Lists are cut into
 blocks of about BLOCK_ROWS vectors by hash of the id, so a hot list is many tasks.
 
 A query visits the lists of its nearest centroids, `probe` of them as a share of all. In each block, tables of distances from
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-SAMPLE, MOST_LISTS, PARTS, CODES = 16_384, 4096, 16, 256
+SAMPLE, FITTED, MOST_LISTS, PARTS, CODES = 16_384, 8192, 4096, 16, 256
 BLOCK_ROWS, QUERY_ROWS, RERANK = 4096, 512, 200
 
 
@@ -67,7 +67,7 @@ class Index:
         self.coarse = k_means(sample, lists, 10, seed)
         rest = sample - self.coarse[_nearest(sample, self.coarse)]
         self.cuts = np.linspace(0, self.dim, min(PARTS, self.dim) + 1).astype(int)
-        self.books = [k_means(np.ascontiguousarray(rest[:8192, a:b]), CODES, 8, seed + i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))]
+        self.books = [k_means(np.ascontiguousarray(rest[:FITTED, a:b]), CODES, 8, seed + i) for i, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))]
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x, self.coarse)
