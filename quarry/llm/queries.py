@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import ann, bpe, chat, fingerprints, mixing, ngram_jaccard, suffix_dedup, token_files, toxicity, url_filter
+from quarry.llm import ann, bpe, chat, filter_audit, fingerprints, mixing, ngram_jaccard, packing, repair, suffix_dedup, token_files, toxicity, url_filter
 from quarry.session import table
 
 #: host + path of the rules, and the verdict of each.
@@ -67,6 +67,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), F.col("copies"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, room=2048)
+
+
 SQL = {
     "op1_suffix_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -135,7 +147,24 @@ x AS (SELECT d.*, p.num, p.source_size, p.target, p.length, least(coalesce(n, 0)
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN got ON p.num = got.num)
 SELECT doc_id, size, source_size, target,
        greatest(0, least(size, reach - b)) + greatest(0, least(size, reach - b - source_size)) + greatest(0, least(size, reach - b - 2 * source_size)) AS taken FROM x
+""",
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(t.doc_id > first, false)] AS fails
+      FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, o, i AS step, n, good, toxic, fails[o[i]] AS failing, len(list_filter(o[1:i - 1], x -> fails[x])) > 0 AS gone, len(list_filter(fails, x -> x)) = 1 AS alone FROM m, o, f),
+g AS (SELECT part, o, step, coalesce(sum(n) FILTER (WHERE NOT failing AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE failing AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE failing AND gone), 0) AS redundant,
+      coalesce(sum(n) FILTER (WHERE failing AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE failing AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE failing AND NOT gone), 0) AS toxic_lost
+      FROM s GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, x -> chr(CAST(64 + x AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM g
 """,
 }
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_nearest": op3_nearest, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op7_chat": op7_chat, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_nearest": op3_nearest, "op4_url_filters": op4_url_filters, "op5_byte_bpe": op5_byte_bpe, "op6_token_files": op6_token_files, "op7_chat": op7_chat, "op8_mix_sources": op8_mix_sources, "op9_toxicity": op9_toxicity, "op10_fingerprints": op10_fingerprints, "op11_conversation_repair": op11_conversation_repair, "op12_filter_audit": op12_filter_audit, "op13_best_fit_packing": op13_best_fit_packing}
