@@ -157,11 +157,11 @@ d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxi
 m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY ALL),
 f AS (SELECT unnest(range(1, 6)) AS i),
 o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
-s AS (SELECT part, o, i AS step, n, good, toxic, fails[o[i]] AS failing, len(list_filter(o[1:i - 1], x -> fails[x])) > 0 AS gone, len(list_filter(fails, x -> x)) = 1 AS alone FROM m, o, f),
+s AS (SELECT part, o, i AS step, n, good, toxic, fails[o[i]] AS failing, len([x FOR x IN o[1:i - 1] IF fails[x]]) > 0 AS gone, len([x FOR x IN fails IF x]) = 1 AS alone FROM m, o, f),
 g AS (SELECT part, o, step, coalesce(sum(n) FILTER (WHERE NOT failing AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE failing AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE failing AND gone), 0) AS redundant,
       coalesce(sum(n) FILTER (WHERE failing AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE failing AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE failing AND NOT gone), 0) AS toxic_lost
       FROM s GROUP BY part, o, step)
-SELECT part, array_to_string(list_transform(o, x -> chr(CAST(64 + x AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+SELECT part, array_to_string([chr(CAST(64 + x AS INTEGER)) FOR x IN o], '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
 FROM g
 """,
