@@ -77,26 +77,67 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.split(F.replace(joined, F.lit("\u0001")), r"\s+"), lambda t: t != "")
 
 
+#: The most frequent tokens, by which the tokens of a name are ordered; as many rows are broadcast, of tokens of LONGEST characters at most.
+FREQUENT, LONGEST = 10_000, 64
+
+
+def _numbered(tokens: Column) -> Column:
+    """Tokens with their number among equal ones, so that counts of common tokens are those of common elements."""
+    return F.transform(tokens, lambda t, i: F.concat(t, F.lit(" "), F.size(F.filter(F.slice(tokens, 1, i + 1), lambda x: x == t)).cast("string")))
+
+
+def _prefixed(names: DataFrame, frequent: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, elements, prefix of names (ids, elements): the rarest elements of a name, one of which any name as like as THRESHOLD has in its own.
+
+    A name of n elements shares least = THRESHOLD n of them or more with such a name, so no more than n - least of its elements
+    are missing in the other, and of the first n - least + 1 one is common; the rarest of the common ones is in both prefixes.
+    """
+    rows = names.select(*ids, F.explode("elements").alias("e")).join(F.broadcast(frequent), F.substring_index("e", " ", 1) == F.col("token"), "left")
+    ordered = rows.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "e"))).alias("s"))
+    ordered = ordered.select(*ids, F.transform("s", lambda x: x["e"]).alias("elements"))
+    n = F.size("elements")
+    return ordered.withColumn("prefix", F.slice("elements", F.lit(1), n - F.ceil(n * 6 / F.lit(10)).cast("int") + 1))
+
+
+def name_pairs(queries: DataFrame, registry: DataFrame, query: list[str], entry: list[str]) -> DataFrame:
+    """query, entry, common, size: all pairs of names whose tokens (column tokens of either side) agree by THRESHOLD of the longer name.
+
+    A set-similarity join: elements are ordered from rare to frequent, and pairs are formed by an equi-join on the elements of
+    prefixes whose sizes allow the threshold. A pair comes by the first common element of both prefixes alone, so it comes once. A token
+    that every name has stands last and joins only names that consist of such tokens. Any order is right; a better one is faster.
+    """
+    q = queries.select(*query, _numbered(F.col("tokens")).alias("elements"))
+    r = registry.select(*entry, _numbered(F.col("tokens")).alias("elements"))
+    token = F.explode(F.array_distinct(F.transform("elements", lambda e: F.substring_index(e, " ", 1)))).alias("token")
+    seen = q.select(token).unionByName(r.select(token)).filter(F.length("token") <= LONGEST)
+    frequent = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
+    key = lambda names, ids, side: _prefixed(names, frequent, ids).select(*ids, F.col("elements").alias(f"{side}_elements"), F.col("prefix").alias(f"{side}_prefix"), F.explode("prefix").alias("key"))
+    pairs = key(q, query, "q").join(key(r, entry, "r"), "key")
+    size_q, size_r = F.size("q_elements"), F.size("r_elements")
+    pairs = pairs.filter((10 * F.least(size_q, size_r) >= 6 * F.greatest(size_q, size_r)) & (F.col("key") == F.array_min(F.array_intersect("q_prefix", "r_prefix"))))
+    common = F.size(F.array_intersect("q_elements", "r_elements"))
+    return pairs.select(*query, *entry, common.alias("common"), F.greatest(size_q, size_r).alias("size")).filter(F.col("common") / F.col("size") >= THRESHOLD)
+
+
 def fuzzy_matched(queries: DataFrame, query: str, registry: DataFrame, symbol: str, name: str, entity: str, with_name: bool = False) -> DataFrame:
     """query, symbol, entity, score (and name, if asked for): the best entry of the registry for each distinct name that has one.
 
     An entry's score is the share of common tokens (at least THRESHOLD of the longer name) in percent, more for equal token lists,
     for the symbol among the tokens, for plain symbols, for other candidates of the same entity, and less for long symbols.
-    Candidates are found by an equi-join on tokens, which loses none: a share above zero needs a common token. Entries are
-    compared as sets of counts; ties go to the greatest symbol.
+    Names are compared as sets of counts; ties go to the greatest symbol.
     """
-    q = queries.select(F.col(query).alias("query")).filter("query is not null").distinct().withColumn("q_tokens", name_tokens(F.col("query")))
-    r = registry.select(F.col(symbol).alias("symbol"), F.col(name).alias("r_name"), F.col(entity).alias("entity")).distinct().withColumn("r_tokens", name_tokens(F.col("r_name")))
-    counts = lambda df, ids, t: df.select(*ids, F.explode(t).alias("token")).groupBy(*ids, "token").agg(F.count(F.lit(1)).alias(f"n_{t}"))
-    common = counts(q, ["query"], "q_tokens").join(counts(r, ["symbol", "r_name", "entity"], "r_tokens"), "token")
-    common = common.groupBy("query", "symbol", "r_name", "entity").agg(F.sum(F.least("n_q_tokens", "n_r_tokens")).alias("common"))
-    rows = common.join(q, "query").join(r, ["symbol", "r_name", "entity"])
-    share = F.col("common") / F.greatest(F.size("q_tokens"), F.size("r_tokens"))
-    rows = rows.withColumn("share", share).filter(F.col("share") >= THRESHOLD)
+    tokens = lambda df, c: df.withColumn("tokens", name_tokens(F.col(c)))
+    q = tokens(queries.select(F.col(query).alias("query")).filter("query is not null").distinct(), "query")
+    r = tokens(registry.select(F.col(symbol).alias("symbol"), F.col(name).alias("r_name")).distinct().filter("r_name is not null"), "r_name")
+    entries = registry.select(F.col(symbol).alias("symbol"), F.col(name).alias("r_name"), F.col(entity).alias("entity")).distinct()
+    same = lambda c: F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}"))
+    rows = name_pairs(q, r, ["query"], ["symbol", "r_name"]).alias("p").join(entries.alias("e"), same("symbol") & same("r_name"))
+    rows = rows.select("query", "p.symbol", "p.r_name", "entity", (F.col("common") / F.col("size")).alias("share"))
+    q_tokens = name_tokens(F.col("query"))
     score = (
         F.col("share") * 100.0
-        + F.when(F.col("q_tokens") == F.col("r_tokens"), EXACT).otherwise(0.0)
-        + F.when(F.array_contains("q_tokens", F.col("symbol")), SYMBOL).otherwise(0.0)
+        + F.when(q_tokens == name_tokens(F.col("r_name")), EXACT).otherwise(0.0)
+        + F.when(F.array_contains(q_tokens, F.col("symbol")), SYMBOL).otherwise(0.0)
         + F.when(F.contains("symbol", F.lit("-")), -DERIVED).otherwise(PLAIN)
         - F.length("symbol")
         + SHARED * F.count(F.lit(1)).over(Window.partitionBy("query", "entity"))
@@ -131,3 +172,22 @@ def by_range(rows: DataFrame, value: str, ranges: list[tuple[int, int, str]], ou
     """rows with the labels of all closed ranges that hold the value; without one, a null label. Ranges are a short list of code."""
     labels = F.array_compact(F.array(*[F.when(F.col(value).between(lo, hi), F.lit(label)) for lo, hi, label in ranges]))
     return rows.withColumn(out, F.explode_outer(labels))
+
+
+def in_ranges(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str, label: str, out: str) -> DataFrame:
+    """rows with `out`, the label of each closed range (integers low to high) that holds the value; null where none does.
+
+    An interval join: a range of n values stands in one or two cells of 2^k >= n values, so an equi-join on level k and cell finds
+    it whatever the widths, and an exact test follows. A value looks in one cell of each level that ranges have, 63 at most.
+    Distinct values are joined, so a frequent value is looked up once. Null bounds hold nothing, low above high neither.
+    """
+    v, lo, hi = (F.col(c).cast("long") for c in (value, low, high))
+    level = lambda a, b: F.ceil(F.log2((b - a + 1).cast("double"))).cast("int")
+    cells = ranges.select(lo.alias("_lo"), hi.alias("_hi"), F.col(label).alias("_label")).filter("_lo <= _hi").withColumn("_level", level(F.col("_lo"), F.col("_hi")))
+    cells = cells.withColumn("_cell", F.explode(F.expr("sequence(shiftright(_lo, _level), shiftright(_hi, _level))")))
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())  # 63 at most
+    asked = rows.select(v.alias("_value")).filter("_value is not null").distinct()
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright("_value", k).alias("_cell")) for k in levels]) if levels else F.expr("array(struct(0 AS _level, _value AS _cell))"))
+    found = asked.select("_value", keys.alias("_k")).select("_value", "_k.*").join(cells, ["_level", "_cell"]).filter("_value BETWEEN _lo AND _hi")
+    found = found.select("_value", F.col("_label").alias("_found"))
+    return rows.join(found, v == F.col("_value"), "left").select(*[rows[c] for c in rows.columns if c != out], F.col("_found").alias(out))

@@ -269,7 +269,9 @@ def source_insider_transactions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("filing", "owner_name", "owner_cik", "officer_title", "is_director", "is_ten_percent_owner", "role", "is_derivative", "security_title", "transaction_date", "transaction_code", "transaction", *[F.col(c).cast("double").alias(c) for c in ("shares", "price", "shares_after")], "acquired_disposed")
 
 
-_ENTRY = "concat('<entry>', " + ", ".join([_tag("title", "concat('8-K - Filer ', user_id, ' Corp (', lpad(user_id, 10, '0'), ') (Filer)')"), "'<link rel=\"alternate\" href=\"', IF(event_id % 10 = 0, 'https://www.sec.gov/none', concat('https://www.sec.gov/Archives/edgar/data/', user_id, '/x-index.htm')), '\"/>'", "'<summary type=\"html\">&lt;b&gt;Filed:&lt;/b&gt; ', date_format(ts, 'yyyy-MM-dd'), IF(event_type = 'view', ' &lt;br&gt;Item 2.02: Results &lt;br&gt;Item 9.01: Exhibits', ''), '</summary>'", _tag("updated", "IF(event_id % 13 = 0, 'soon', concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '-05:00'))"), "'<category term=\"', IF(event_type = 'error', '10-Q', '8-K'), '\"/>'", _tag("id", "concat('urn:tag:sec.gov,2008:accession-number=', IF(event_id % 11 = 0, 'none', concat('0000000001-24-', lpad(event_id, 6, '0'))))")]) + ", '</entry>')"
+ENTRY = "concat('<entry>', " + ", ".join([_tag("title", "concat('8-K - Filer ', user_id, ' Corp (', lpad(user_id, 10, '0'), ') (Filer)')"), "'<link rel=\"alternate\" href=\"', IF(event_id % 10 = 0, 'https://www.sec.gov/none', concat('https://www.sec.gov/Archives/edgar/data/', user_id, '/x-index.htm')), '\"/>'", "'<summary type=\"html\">&lt;b&gt;Filed:&lt;/b&gt; ', date_format(ts, 'yyyy-MM-dd'), IF(event_type = 'view', ' &lt;br&gt;Item 2.02: Results &lt;br&gt;Item 9.01: Exhibits', ''), '</summary>'", _tag("updated", "IF(event_id % 13 = 0, 'soon', concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '-05:00'))"), "'<category term=\"', IF(event_type = 'error', '10-Q', '8-K'), '\"/>'", _tag("id", "concat('urn:tag:sec.gov,2008:accession-number=', IF(event_id % 11 = 0, 'none', concat('0000000001-24-', lpad(event_id, 6, '0'))))")]) + ", '</entry>')"
+
+ATOM = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">', "</feed>"
 
 
 @query("""SELECT '0000000001-24-' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS accession_number, CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id END AS cik, 'Filer ' || user_id || ' Corp' AS company_name, CASE WHEN event_type = 'error' THEN '10-Q' ELSE '8-K' END AS form_type,
@@ -278,7 +280,7 @@ CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 18000 AS updated, CASE WHEN ev
 def source_feed_entries(spark: SparkSession, d: str) -> DataFrame:
     """Feeds of an hour each; some entries lack an accession number, a registrant or a time."""
     e = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    docs = _xml(e, "hour", _ENTRY, '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">', "</feed>")
+    docs = _xml(e, "hour", ENTRY, *ATOM)
     rows = filings.feed_entries(docs.select("content"))
     return rows.withColumn("updated", F.unix_timestamp("updated")).withColumn("items", F.array_join("items", "|"))
 

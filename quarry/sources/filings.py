@@ -139,15 +139,36 @@ def search_hits(docs: DataFrame, content: str = "content") -> DataFrame:
 # ---- delimited -------------------------------------------------------------------------------------------------------
 
 
-def master_index(docs: DataFrame, content: str = "content") -> DataFrame:
-    """cik, company_name, form_type, date_filed, filename of the rows below the line of dashes; malformed rows go."""
+def master_index(docs: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """cik, company_name, form_type, date_filed, filename of the rows below the line of dashes, and keep; malformed rows go."""
+    keep = keep or []
     lines = F.split(content, r"\r?\n")
     begin = F.array_position(F.transform(lines, lambda x: x.startswith("---")), F.lit(True)).cast("int")
-    rows = docs.select(lines.alias("lines"), begin.alias("b")).filter("b > 0").select(F.explode(F.slice("lines", F.col("b") + 1, F.size("lines"))).alias("line"))
+    rows = docs.select(*keep, lines.alias("lines"), begin.alias("b")).filter("b > 0").select(*keep, F.explode(F.slice("lines", F.col("b") + 1, F.size("lines"))).alias("line"))
     p = F.split("line", r"[|]", 5)
-    rows = rows.select(p.alias("p")).filter(F.size("p") == 5)
+    rows = rows.select(*keep, p.alias("p")).filter(F.size("p") == 5)
     part = lambda i: F.trim(F.get("p", F.lit(i)))
-    return rows.select(part(0).alias("cik"), part(1).alias("company_name"), part(2).alias("form_type"), dates.strict_date(part(3)).alias("date_filed"), part(4).alias("filename")).filter("date_filed is not null")
+    return rows.select(*keep, part(0).alias("cik"), part(1).alias("company_name"), part(2).alias("form_type"), dates.strict_date(part(3)).alias("date_filed"), part(4).alias("filename")).filter("date_filed is not null")
+
+
+#: Quarters that may be broadcast: more than there are.
+MOST_QUARTERS = 10_000
+
+
+def index_files(docs: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """master_index() of files of quarters, with year and quarter from their paths (.../2024/QTR1/...)."""
+    part = lambda k, i: F.regexp_extract(path, r"/(\d{4})/QTR([1-4])/", i).try_cast("int").alias(k)
+    return master_index(docs.select(part("year", 1), part("quarter", 2), content), content, ["year", "quarter"]).filter("year is not null")
+
+
+def quarters_of(spark: SparkSession, path: str, quarters: DataFrame) -> DataFrame:
+    """The rows of some quarters (year, quarter) of what sinks.write_quarters() wrote: only their folders are read.
+
+    The filter is one that Spark takes for selective, so it prunes partitions by the quarters it finds when the query runs.
+    """
+    wanted = quarters.select("year", "quarter").filter("quarter BETWEEN 1 AND 4").distinct()
+    n = wanted.limit(MOST_QUARTERS + 1).count()
+    return spark.read.parquet(path).join(F.broadcast(wanted) if n <= MOST_QUARTERS else wanted, ["year", "quarter"])
 
 
 FUND_COLUMNS = [  # fixed values: headers of the list of fund series and classes
@@ -254,13 +275,14 @@ def insider_transactions(docs: DataFrame, content: str = "content", keep: list[s
     )
 
 
-def feed_entries(docs: DataFrame, content: str = "content") -> DataFrame:
-    """Entries of Atom feeds: accession, cik, company, form, filing date, address, time of update, items."""
+def feed_entries(docs: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """Entries of Atom feeds: accession, cik, company, form, filing date, address, time of update, items; and the columns keep."""
     schema = "entry array<struct<title:string,updated:string,id:string,link:struct<`@href`:string>,summary:struct<`_VALUE`:string>,category:struct<`@term`:string>>>"
-    rows = _rows(docs, content, "entry", schema, [])
+    rows = _rows(docs, content, "entry", schema, keep or [])
     accession = text.accession_dashed(F.regexp_extract("r.id", r"accession-number=([0-9-]+)", 1))
     summary = F.coalesce("r.summary._VALUE", F.lit(""))
     return rows.select(
+        *(keep or []),
         accession.alias("accession_number"),
         text.feed_cik(F.col("r.link.`@href`")).alias("cik"),
         F.coalesce(text.feed_company(F.col("r.title")), F.lit("")).alias("company_name"),

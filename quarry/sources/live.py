@@ -22,7 +22,8 @@ RETRIED = (429, 500, 502, 503, 504)
 JITTER_MS = 500
 
 
-def _get(url: str, agent: str, settings: Settings, headers: dict[str, str]) -> tuple[int, str | None, str | None]:
+def got(url: str, agent: str, settings: Settings, headers: dict[str, str]) -> tuple[int, str | None, str | None]:
+    """status, content, error of an address, after retries."""
     error = None
     for attempt in range(settings.max_retries + 1):
         time.sleep(settings.min_delay_ms / 1000)
@@ -46,7 +47,7 @@ def fetched(urls: DataFrame, settings: Settings, headers: dict[str, str] | None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(u, *_get(u, agent, settings, extra)) for u in b["url"]], columns=["url", "status", "content", "error"])
+            yield pd.DataFrame([(u, *got(u, agent, settings, extra)) for u in b["url"]], columns=["url", "status", "content", "error"])
 
     asked = urls.select(F.col(url).alias("url")).filter("url is not null").distinct()
     return asked.repartition(settings.max_concurrent).mapInPandas(run, "url string, status int, content string, error string")

@@ -1,10 +1,12 @@
-"""Sinks: CSV, partitioned Parquet, rolled files, append-only logs."""
+"""Sinks: CSV, partitioned Parquet, rolled files, quarters of an index, append-only logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import running
+
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; nulls are empty, arrays and structs are JSON."""
@@ -26,6 +28,34 @@ def write_rolled(rows: DataFrame, path: str, records: int, mode: str = "overwrit
     rows.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", records).parquet(path)
 
 
+def rolled_by_bytes(rows: DataFrame, key: str, size: Column, most: int, ties: list[Column] | None = None) -> DataFrame:
+    """rows with `file`, a name: rows of a file follow each other by key (numeric), and their sizes add up to `most` at most.
+
+    Sizes before a row, summed over all rows, say which file it is in: one begins every most - largest bytes, where largest is the
+    greatest size up to half of most, so a row that reaches behind the end of its stretch still fits. Rows above half of most
+    are left out of that and stand alone, numbered by themselves; only such a file can be larger, where its row is.
+    """
+    sized = rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    large = F.col("_size") > most // 2
+    largest = sized.filter(~large).agg(F.max("_size")).first()[0] or 0
+    placed = running.before(sized, key, {"_before": F.when(large, 0).otherwise(F.col("_size")), "_alone": large.cast("int")}, ties)
+    name = F.when(large, F.format_string("alone-%08d", "_alone")).otherwise(F.format_string("rolled-%08d", F.floor(F.col("_before") / (most - largest))))
+    return placed.withColumn("file", name).drop("_size", "_before", "_alone")
+
+
+def write_rolled_by_bytes(rows: DataFrame, path: str, key: str, size: Column, most: int, ties: list[Column] | None = None, mode: str = "overwrite") -> None:
+    """Zstandard Parquet: a folder file=... with one file for each name of rolled_by_bytes(), in order of key."""
+    named = rolled_by_bytes(rows, key, size, most, ties).repartition("file").sortWithinPartitions("file", F.asc_nulls_first(key), *(ties or []))
+    named.write.mode(mode).option("compression", "zstd").partitionBy("file").parquet(path)
+
+
+def write_quarters(rows: DataFrame, path: str, day: str, mode: str = "overwrite") -> None:
+    """Parquet by year and quarter of a date; with mode "overwrite", only quarters that rows have are written anew."""
+    parts = rows.withColumns({"year": F.year(day), "quarter": F.quarter(day)})
+    salted = parts.repartition("year", "quarter", F.pmod(F.xxhash64(*rows.columns), F.lit(8)))
+    salted.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year", "quarter").parquet(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -1,11 +1,28 @@
-"""Feeds as streams: deduplicated deltas, high-water marks, paging."""
+"""Feeds as streams: pages behind a mark, deduplicated deltas, state by key, high-water marks, paging."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from quarry.sources import filings
+from quarry.sources.feed_pages import FeedPages
+
+
+def pages_of(spark: SparkSession, at: str, *forms_: str, **options: str) -> DataFrame:
+    """Pages of a site or an archive as a stream, see quarry.sources.feed_pages."""
+    spark.dataSource.register(FeedPages)
+    return spark.readStream.format("feed_pages").options(at=at, forms=",".join(forms_), **options).load()
+
+
+def new_entries(pages: DataFrame) -> DataFrame:
+    """The entries of pages that are newer than their page's mark, and not newer than the run's, with the page's form."""
+    rows = filings.feed_entries(pages, keep=["form", "since", "until"])
+    return rows.filter("(since IS NULL OR updated > since) AND updated <= until").drop("since", "until")
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,6 +38,58 @@ def unique(entries: DataFrame, key: list[str], at: str, late: str = "1 day") ->
     return entries.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
+#: The store of state that timers of keys need; the setting holds for queries that start after it.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Once(StatefulProcessor):
+    """For each key: when it was first seen, and how often, until the watermark has passed it."""
+
+    def __init__(self, columns: list[str], keys: list[str], at: str):
+        self.columns, self.keys, self.at = columns, keys, at
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first timestamp, times long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, times = self.seen.get() or (None, 0)
+        for b in rows:
+            if not len(b):
+                continue
+            if not times:
+                best = b.sort_values(self.columns, na_position="last", kind="stable").iloc[:1]
+                first = best[self.at].iloc[0]
+                yield best[self.columns].assign(times=pd.array([None], "Int64"))
+                self.handle.registerTimer(int(first.timestamp() * 1000))
+            times += len(b)
+        self.seen.update((first.to_pydatetime() if hasattr(first, "to_pydatetime") else first, times))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, times = self.seen.get()
+        self.seen.clear()
+        yield self.tally(key, times)
+
+    def tally(self, key, times: int) -> pd.DataFrame:
+        return pd.DataFrame({c: [None] for c in self.columns} | dict(zip(self.keys, map(lambda k: [k], key), strict=True)) | {"times": pd.array([times], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def once(entries: DataFrame, key: list[str], at: str, late: str = "1 day") -> DataFrame:
+    """Entries once each by their key, in whatever order and however often they come, and a tally when a key's state goes.
+
+    The first batch that has a key gives its entry, the least by all columns where there are several, and null `times`. Further
+    ones are counted. Once the watermark, the newest time less `late`, has passed the entry's time, later copies of it are too
+    late for the stream; then its state is dropped and a row of the key and `times`, how often it came, follows, with other
+    columns null. Entries later than that, and those without a time, are dropped, never given twice.
+    """
+    entries.sparkSession.conf.set(*STATE_STORE)
+    rows = entries.withColumn(at, F.col(at).cast("timestamp")).filter(F.col(at).isNotNull()).withWatermark(at, late)
+    return rows.groupBy(*key).transformWithStateInPandas(_Once(rows.columns, key, at), rows.select("*", F.lit(None).cast("long").alias("times")).schema, "append", "EventTime")
+
+
 def union_of(streams: list[DataFrame]) -> DataFrame:
     out = streams[0]
     for s in streams[1:]:
