@@ -2,19 +2,21 @@
 
 All of it is DataFrame operations on rows of calls and results; no conversation is ever gathered in one row or task.
 
-calls: conv_id, call_id, name, arguments (JSON text), after (the call_id whose result it uses, or null), turn
+calls: conv_id, call_id, name, arguments (JSON text), after (the call_id whose result it uses, or null; or an array of several), turn
 results: call_id, content, turn
 schemas: name, param, kind (string, integer, number, boolean, object or array), required
 
-Linking is a hash join by call_id. The topological order gives each call the length of its chain of `after`, found by doubling:
-each round joins a call with the call it points at, so a chain of n calls takes log2(n) rounds. Validation compares the kinds
+Linking is a hash join by call_id. The topological order gives each call a level: one more than the greatest of the calls it
+uses, 0 if it uses none. Calls that use one other are found by doubling: each round joins a call with the call it points at, so
+a chain of n calls takes log2(n) rounds. Calls that use several end these chains; what is left is a graph of them alone, in which a
+round gives all their levels whose calls have theirs, as many rounds as such calls stand behind each other. Validation compares the kinds
 of a call's arguments with the schema of its name: unknown names, missing required parameters, unknown parameters and wrong
 kinds are told apart. Canonical JSON has sorted keys, no spaces and no null members; members are after, arguments, id, name, result.
 
 Nulls: a call without call_id stands alone: no result, level 0, and its `after` counts. A null name is unknown; null or malformed
 arguments are errors ("arguments"). Null content is a result without content, a result without a turn answers like others. Calls with the same id, and results with the same
-id, count once: the one of the smallest turn, then of the smallest text. `after` of an unknown id counts as none; calls on a
-cycle have a null level, as do those that wait for one. Results without a call come as rows of status orphan.
+id, count once: the one of the smallest turn, then of the smallest text. Unknown or null ids in `after` count as none, repeated ones
+once; calls on a cycle have a null level, as do those that wait for one. Results without a call come as rows of status orphan.
 """
 
 from __future__ import annotations
@@ -35,25 +37,67 @@ def _once(rows: DataFrame, order: list[str]) -> DataFrame:
     return known.select(rows.columns).unionByName(rows.filter("call_id is null"))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """call_id, level of calls (call_id not null and unique, after)."""
-    calls = calls.filter("call_id is not null").select("call_id", "after")
-    # calls that wait for none stay out of the joins: their many nulls would all meet in one task
-    def joined(rows: DataFrame, key: str, other: DataFrame, found: list[Column], none: list[Column]) -> DataFrame:
-        on = rows.filter(F.col(key).isNotNull()).join(other, F.col(key) == F.col("_id"), "left").select(*found)
-        return on.unionByName(rows.filter(F.col(key).isNull()).select(*none))
-
-    one = F.when(F.col("_id").isNull(), 0).otherwise(1).cast("long")
-    state = joined(calls, "after", calls.select(F.col("call_id").alias("_id")), [F.col("call_id"), F.col("_id").alias("to"), one.alias("level")], [F.col("call_id"), F.lit(None).cast("string").alias("to"), F.lit(0).cast("long").alias("level")])
-    state = common.materialise(state, "levels")
+def _apart(rows: DataFrame, key: str, other: DataFrame, found: list[Column], none: list[Column]) -> DataFrame:
+    """rows joined to other (_id, ...) by key, but for those without a key: their many nulls would all meet in one task."""
+    on = rows.filter(F.col(key).isNotNull()).join(other, F.col(key) == F.col("_id"), "left").select(*found)
+    return on.unionByName(rows.filter(F.col(key).isNull()).select(*none))
+
+
+def _chained(calls: DataFrame) -> DataFrame:
+    """call_id, end, level of calls (call_id, to, several): the last call of its chain of `to`, and how far; no end on a cycle.
+
+    A chain ends with a call that has no `to`, itself if that is the first.
+    """
+    end = F.when(F.col("to").isNull(), F.col("call_id")).alias("end")
+    state = common.materialise(calls.select("call_id", "to", end, F.col("to").isNotNull().cast("long").alias("level")), "levels")
     rounds = max(1, state.count().bit_length()) + 1
     for _ in range(rounds):
         if state.filter("to is not null").limit(1).count() == 0:
             break
-        ahead = state.select(F.col("call_id").alias("_id"), F.col("to").alias("_to"), F.col("level").alias("_level"))
-        step = [F.col("call_id"), F.col("_to").alias("to"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level")]
-        state = common.materialise(joined(state, "to", ahead, step, [F.col("call_id"), F.col("to"), F.col("level")]), "levels")
-    return state.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
+        ahead = state.select(F.col("call_id").alias("_id"), F.col("to").alias("_to"), F.col("end").alias("_end"), F.col("level").alias("_level"))
+        step = [F.col("call_id"), F.col("_to").alias("to"), F.col("_end").alias("end"), (F.col("level") + F.col("_level")).alias("level")]
+        state = common.materialise(_apart(state, "to", ahead, step, [F.col(c) for c in state.columns]), "levels")
+    return state.select("call_id", F.when(F.col("to").isNull(), F.col("end")).alias("end"), "level")
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """call_id, level of calls (call_id not null and unique, after: an id or an array of ids)."""
+    calls = calls.filter("call_id is not null").select("call_id", _ids(calls, "after").alias("after"))
+    known = calls.select(F.col("call_id").alias("_id"))
+    uses = calls.select("call_id", F.explode("after").alias("to")).join(known, F.col("to") == F.col("_id"), "left_semi")
+    uses = common.materialise(uses.groupBy("call_id").agg(F.collect_set("to").alias("to")), "uses")
+    own = uses.select(F.col("call_id").alias("_id"), F.when(F.size("to") == 1, F.col("to")[0]).alias("_to"))
+    chains = _chained(calls.join(own, F.col("call_id") == F.col("_id"), "left").select("call_id", F.col("_to").alias("to")))
+
+    # of calls that use several: how far behind the ends of the chains they use they stand
+    several = uses.filter(F.size("to") > 1).select("call_id", F.explode("to").alias("to"))
+    ahead = chains.select(F.col("call_id").alias("_id"), "end", (F.col("level") + 1).alias("far"))
+    waits = several.join(ahead, F.col("to") == F.col("_id")).groupBy("call_id", "end").agg(F.max("far").alias("far"))
+    waits = common.materialise(waits, "waits")
+    begun = chains.filter("level = 0 and end = call_id").select("call_id", F.lit(0).cast("long").alias("level"))
+    placed = [common.materialise(begun.join(waits.select("call_id").distinct(), "call_id", "left_anti"), "placed")]
+    while waits.limit(1).count():
+        so_far = placed[0]
+        for more in placed[1:]:
+            so_far = so_far.unionByName(more)
+        of = so_far.select(F.col("call_id").alias("_id"), F.col("level").alias("_level"))
+        seen = waits.join(of, F.col("end") == F.col("_id"), "left").groupBy("call_id").agg((F.count(F.lit(1)) == F.count("_level")).alias("all"), F.max(F.col("far") + F.col("_level")).alias("level"))
+        new = common.materialise(seen.filter("all").select("call_id", "level"), "placed")
+        if new.limit(1).count() == 0:
+            break  # the rest waits for a cycle
+        placed.append(new)
+        waits = common.materialise(waits.join(new.select("call_id"), "call_id", "left_anti"), "waits")
+    ends = placed[0]
+    for more in placed[1:]:
+        ends = ends.unionByName(more)
+    ends = ends.select(F.col("call_id").alias("_id"), F.col("level").alias("_level"))
+    return _apart(chains, "end", ends, [F.col("call_id"), (F.col("level") + F.col("_level")).alias("level")], [F.col("call_id"), F.lit(None).cast("long").alias("level")])
+
+
+def _ids(rows: DataFrame, column: str) -> Column:
+    """A column of ids or of arrays of them as arrays without nulls."""
+    several = F.col(column) if rows.schema[column].dataType.typeName() == "array" else F.array(column)
+    return F.filter(F.coalesce(several, F.array().cast("array<string>")), lambda x: x.isNotNull())
 
 
 def kind_of(v: Column) -> Column:
@@ -70,10 +114,10 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def validated(calls: DataFrame, schemas: DataFrame, numbers_as_text: bool = True) -> DataFrame:
+def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """calls with errors, an array of text in order: empty for a valid call; and the parsed arguments as a variant.
 
-    A member must have exactly the kind its schema asks for; a number may be an integer and, with numbers_as_text, a string a number.
+    A member must have exactly the kind its schema asks for; a number may be an integer.
     """
     schemas = schemas.filter("name is not null and param is not null").groupBy(F.col("name").alias("_name")).agg(F.sort_array(F.collect_set(F.struct("param", "kind", "required"))).alias("_params"))
     parsed = F.try_parse_json("arguments")
@@ -86,8 +130,6 @@ def validated(calls: DataFrame, schemas: DataFrame, numbers_as_text: bool = True
         value = F.get(F.map_values(F.map_filter("_members", lambda k, _: k == p["param"])), F.lit(0))
         kind = F.when(value.isNull(), F.lit("null")).otherwise(kind_of(value))
         fits = (kind == p["kind"]) | ((p["kind"] == "number") & (kind == "integer"))
-        if numbers_as_text:
-            fits = fits | ((p["kind"] == "string") & kind.isin("integer", "number"))
         return F.when(~there & p["required"], F.concat(F.lit("missing "), p["param"])).when(there & ~fits, F.concat(F.lit("kind of "), p["param"]))
 
     found = F.filter(F.transform("_params", wrong), lambda x: x.isNotNull())
@@ -97,12 +139,12 @@ def validated(calls: DataFrame, schemas: DataFrame, numbers_as_text: bool = True
     return calls.withColumn("errors", errors).drop("_name", "_params", "_members")
 
 
-def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame, numbers_as_text: bool = True) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, turn, call_id, name, level, status (answered, open or orphan), errors, json: a row of each call, and of each
     result without one. In (conv_id, level, turn, call_id) order the calls of a conversation come after those they use."""
     calls = _once(calls.select("conv_id", "call_id", "name", "arguments", "after", "turn"), ["turn", "arguments"])
     results = _once(results.select("call_id", "content", "turn"), ["turn", "content"]).select(F.col("call_id").alias("_of"), "content", F.col("turn").alias("_answered"), F.lit(True).alias("_result"))
-    checked = validated(calls, schemas, numbers_as_text)
+    checked = validated(calls, schemas)
     level = levels(calls).withColumnRenamed("call_id", "_lid")
     # calls and results without an id, however many, stay out of the joins
     ordered = checked.filter("call_id is not null").join(level, F.col("call_id") == F.col("_lid"), "left")

@@ -2,7 +2,7 @@
 
 A listed entry is a key `host + path`: it names a page, or, if its path ends in "/", all pages below that path on the host
 and on its subdomains. A URL has few keys that could be listed: each suffix of its host at a dot, with each prefix of its
-path that ends in "/" and with the whole path. Each key is tested against the Bloom filter; keys that pass are joined with
+path that ends in "/" and with the whole path, none longer than the list's longest. Each key is tested against the Bloom filter; keys that pass are joined with
 the list itself, so false positives don't stay, and the longest listed key of a URL wins.
 
 The filter is a table of blocks of 256 bits: a key's hash chooses one block and `BITS` bits of it. It has 16 bits a listed
@@ -40,17 +40,29 @@ def canonical(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url)))
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All keys that could list a page, as an array."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
-    below = F.when(
-        F.size(parts) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
-    paths = F.array_distinct(F.concat(below, F.array(path)))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+def reach_of(listed: DataFrame, key: str = "key") -> tuple[int, int, int]:
+    """The most labels of a listed host, "/" of a listed path, and characters of one: longer ones can't be listed."""
+    host = F.substring_index(key, "/", 1)
+    path = F.substr(F.col(key), F.length(host) + 1)
+    found = listed.agg(F.max(F.size(F.split(host, r"\."))), F.max(F.length(path) - F.length(F.replace(path, F.lit("/")))), F.max(F.length(path))).first()
+    return tuple(x or 0 for x in found)
+
+
+def keys_of(host: Column, path: Column, reach: tuple[int, int, int]) -> Column:
+    """The keys that could list a page, as an array: of no more labels, "/" and characters than the list reaches.
+
+    So a URL costs its length and a few keys of bounded length, however many labels or segments it has.
+    """
+    most_labels, most_slashes, most_chars = reach
+    if not most_labels:
+        return F.array().cast("array<string>")
+    hosts = F.transform(F.sequence(F.lit(1), F.lit(most_labels)), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+    head = F.substring(path, 1, most_chars)
+    slashes = F.least(F.length(head) - F.length(F.replace(head, F.lit("/"))), F.lit(most_slashes))
+    below = F.when(slashes > 0, F.transform(F.sequence(F.lit(1), slashes), lambda i: F.concat(F.call_function("substring_index", head, F.lit("/"), i), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    paths = F.array_distinct(F.concat(below, F.when(F.length(path) <= most_chars, F.array(path)).otherwise(F.array().cast("array<string>"))))
+    found = F.flatten(F.transform(F.array_distinct(hosts), lambda h: F.transform(paths, lambda p: F.concat(h, p))))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -99,8 +111,9 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
     equal length that fit one URL differ in host and path, and the longer host wins), verdict its verdict, or default.
     """
     listed = listed.filter(F.col("key").isNotNull() & F.col("verdict").isNotNull()).groupBy("key").agg(F.max("verdict").alias("rule_verdict"))
+    reach = reach_of(listed)
     urls = pages.select(F.col(url).alias("u")).filter(F.col("u").contains("://"))
-    asked = urls.select("u", F.explode(F.array_distinct(keys_of(host_of(F.col("u")), path_of(F.col("u"))))).alias("k"))
+    asked = urls.select("u", F.explode(F.array_distinct(keys_of(host_of(F.col("u")), path_of(F.col("u")), reach))).alias("k"))
     fits = possible(asked, "k", listed, "key").join(listed, F.col("k") == F.col("key"))
     order = F.struct(F.length("key").alias("n"), F.length(F.substring_index("key", "/", 1)).alias("h"), F.col("key"), F.col("rule_verdict"))
     of, best = common.fresh(pages, "_url"), common.fresh(pages, "_best")
