@@ -92,3 +92,17 @@ def test_op10_edits(spark, sf_dir, texts):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
     assert np.median([r.near_edited for r in got.values()]) > 0.5 > 0.1 > np.median([r.near_next for r in got.values()])
+
+
+def test_op10_groups(spark, sf_dir, texts):
+    """Of all pairs of documents of likeness 0.8 or more, by brute force, nine tenths share a group; groups have no others."""
+    from quarry.llm import fingerprints
+
+    group = {r.doc_id: r.near_id for r in llm.op10_fingerprints(spark, sf_dir).collect()}
+    ids = [i for i in sorted(texts) if texts[i]]
+    digits = fingerprints.samples_of([texts[i] for i in ids])
+    alike = np.array([fingerprints.likeness(np.repeat(digits[x : x + 1], len(ids), 0), digits) for x in range(len(ids))])
+    pairs = [(ids[x], ids[y]) for x, y in zip(*np.nonzero(np.triu(alike >= 0.8, 1)), strict=True)]
+    assert len(pairs) > 10 and sum(group[i] == group[j] for i, j in pairs) >= 0.9 * len(pairs)
+    for x, i in enumerate(ids):
+        assert group[i] <= i and (group[i] == i or any(alike[x, y] >= 0.8 for y, j in enumerate(ids) if j != i and group[j] == group[i]))
