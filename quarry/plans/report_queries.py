@@ -152,6 +152,28 @@ def best_reports(spark: SparkSession, d: str) -> DataFrame:
     return best.select("p_partkey", "name", n("item_1").alias("n_business"), n("item_7").alias("n_discussion"))
 
 
+_ANNUAL = "CASE o_orderkey % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '10-k405' ELSE '8-K' END"
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS cik, 'a' || o_orderkey AS accession_number, CAST(o_orderdate AS DATE) AS filing_date, o_orderkey FROM orders WHERE {_ANNUAL} <> '8-K'
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'a' || o_orderkey) = 1),
+d AS (SELECT *, unnest(CASE WHEN o_orderkey % 11 = 0 THEN [] ELSE [1, 2, 3] END) AS place FROM o),
+s AS (SELECT *, 317 + o_orderkey % 150 * place AS one, 1919 + o_orderkey % 97 * place AS seven FROM d),
+b AS (SELECT *, one >= 400 AND seven >= 2000 AS good FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY NOT good, place) AS k, CAST(min(CASE WHEN good THEN place ELSE 3 END) OVER (PARTITION BY cik) AS INTEGER) AS parsed FROM b)
+SELECT o.cik, o.accession_number, o.filing_date, ['main.htm', 'x13.txt', 'zz.txt'][place] AS name, CASE WHEN one >= 400 THEN one END AS n_business, seven AS n_discussion, parsed
+FROM o LEFT JOIN f ON o.cik = f.cik AND k = 1""")
+def latest_annual_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The newest annual report of each customer: its documents are parsed up to the first adequate one, and parsed says how many."""
+    o = table(spark, d, "orders").selectExpr("o_custkey AS cik", "concat('a', o_orderkey) AS accession_number", f"{_ANNUAL} AS form", "CAST(o_orderdate AS DATE) AS filing_date", "'main.htm' AS primary_document", "o_orderkey")
+    body = _BODY.format(one="repeat('x', CAST(300 + o_orderkey % 150 * place AS INT))", seven="repeat('y', CAST(1900 + o_orderkey % 97 * place AS INT))")
+    rows = o.filter("o_orderkey % 11 != 0").select("accession_number", "o_orderkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))).alias("place"))
+    docs = rows.selectExpr("accession_number", "element_at(array('main.htm', 'x13.txt', 'zz.txt', 'p.pdf'), place) AS name", "element_at(array('10-K', 'EX-13', 'EX-99', 'EX-13'), place) AS type", f"{body} AS content")
+    found = reports.latest_sections(o.drop("o_orderkey"), docs)
+    n = lambda k: F.octet_length(F.try_element_at("sections", F.lit(k))).cast("long")
+    return found.select("cik", "accession_number", "filing_date", "name", n("item_1").alias("n_business"), n("item_7").alias("n_discussion"), "parsed")
+
+
 @query(f"""WITH l AS ({_LENGTHS}) SELECT p_partkey, 'item_1' AS section, max(one) AS n FROM l WHERE one >= 400 GROUP BY 1 UNION ALL SELECT p_partkey, 'item_7', max(seven) FROM l GROUP BY 1 UNION ALL SELECT p_partkey, 'item_8', 519 FROM part""")
 def merged_reports(spark: SparkSession, d: str) -> DataFrame:
     """The longest text of each section among a filing's documents."""

@@ -90,6 +90,16 @@ def first_report_of(submissions: DataFrame, year: int) -> DataFrame:
     return history.first_rows(rows, ["cik"], [F.asc("filing_date"), F.asc("accession_number")])
 
 
+def latest_sections(submissions: DataFrame, documents_: DataFrame) -> DataFrame:
+    """cik, accession_number, filing_date, name, sections, parsed: of the newest annual report of each company, ties by accession
+    number, the sections of its best document (documents_: accession_number, name, type, content); null without documents."""
+    newest = history.first_rows(history.family(submissions, "annual"), ["cik"], [F.desc_nulls_last("filing_date"), F.asc("accession_number")])
+    newest = newest.select("cik", "accession_number", "filing_date", "primary_document")
+    candidates = documents_.join(newest.select("cik", "accession_number", "primary_document"), "accession_number")
+    best = documents.best_document(candidates, ["cik", "accession_number"])
+    return newest.drop("primary_document").join(best, ["cik", "accession_number"], "left")
+
+
 def newest_press_release(submissions: DataFrame, documents_: DataFrame) -> DataFrame:
     """The newest current report of each company that has a press release among its documents (accession_number, type)."""
     parts = documents_.filter(text.is_press_release(F.col("type"))).select("accession_number")

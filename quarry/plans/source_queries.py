@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import urls
-from quarry.operators import entities
+from quarry.operators import coverage, entities
 from quarry.plans import reports
-from quarry.plans.queries import query
+from quarry.plans.queries import SQL, query
 from quarry.session import shared_folder, table
 from quarry.sources import filings
 
@@ -234,6 +234,33 @@ def source_holdings_13f(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("filing", "name", "cusip", F.col("value_usd").cast("double").alias("value_usd"), F.col("shares").cast("double").alias("shares"), "put_call", "weight_pct")
 
 
+@query(SQL["source_holdings_13f"])
+def source_holdings_13f_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same filings as files, read by row tag."""
+    docs = _xml(table(spark, d, "lineitem"), "l_suppkey", _POSITION, '<?xml version="1.0"?><informationTable xmlns="http://www.sec.gov/edgar/document/thirteenf/informationtable">', "</informationTable>")
+    path = f"{shared_folder(spark)}/quarry/13f-{uuid.uuid4().hex}"
+    docs.withColumnRenamed("l_suppkey", "filing").repartition("filing").write.partitionBy("filing").text(path)
+    filed = table(spark, d, "supplier").selectExpr("s_suppkey AS filing", "CASE s_suppkey % 3 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' END AS filing_date")
+    rows = filings.holdings_13f_files(spark, path, filed)
+    return rows.select("filing", "name", "cusip", F.col("value_usd").cast("double").alias("value_usd"), F.col("shares").cast("double").alias("shares"), "put_call", "weight_pct")
+
+
+@query("""WITH h AS (SELECT 'customer' AS name, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment', 'extra']) AS "column" UNION ALL SELECT 'part', unnest(['p_partkey', 'p_name', 'extra']) UNION ALL SELECT 'orders', unnest(['o_orderkey', 'o_custkey', 'o_totalprice']))
+SELECT "column", CAST(sum(n) AS BIGINT) AS n FROM h JOIN (SELECT 'customer' AS name, count(DISTINCT c_nationkey) AS n FROM customer UNION ALL SELECT 'part', count(DISTINCT p_size) FROM part UNION ALL SELECT 'orders', count(DISTINCT o_orderpriority) FROM orders) USING (name) GROUP BY 1""")
+def source_csv_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Files of customers by nation, parts by size and orders by priority; how many have each column."""
+    path = f"{shared_folder(spark)}/quarry/headers-{uuid.uuid4().hex}"
+    c, p, o = (table(spark, d, t) for t in ("customer", "part", "orders"))
+    kinds = [
+        ("customer", c.select("c_custkey", "c_name", F.col("c_nationkey").alias("k"), "c_nationkey", "c_mktsegment", F.lit("x").alias("extra")), "k"),
+        ("part", p.select("p_partkey", "p_name", F.lit(1).alias("extra"), "p_size"), "p_size"),
+        ("orders", o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "o_orderpriority"),
+    ]
+    for name, rows, key in kinds:
+        rows.repartition(key).write.option("header", True).partitionBy(key).csv(f"{path}/{name}")
+    return coverage.header_stats(filings.csv_headers(spark, path))
+
+
 _INVESTMENT = "concat('<invstOrSec>', " + ", ".join([_tag("name", "concat('Issuer ', l_partkey)"), _tag("title", "IF(l_linenumber = 3, '', concat('Title ', l_linenumber))"), _tag("cusip", "lpad(l_partkey, 9, '0')"), "IF(l_linenumber = 4, '', concat('<identifiers><isin value=\"US', l_partkey, '\"/></identifiers>'))", _tag("balance", "concat(CAST(l_quantity AS INT), '.125')"), _tag("units", "'NS'"), _tag("curCd", "'USD'"), _tag("valUSD", "IF(l_linenumber = 5, 'N/A', concat(CAST(l_quantity AS INT), '.375'))"), _tag("pctVal", "concat('0.', lpad(l_partkey, 6, '0'))"), _tag("assetCat", "'EC'"), _tag("invCountry", "'US'")]) + ", '</invstOrSec>')"
 
 

@@ -6,11 +6,12 @@ rows of the artifact. Malformed artifacts give no rows; missing texts are empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import dates, text
+from quarry.sources.file_heads import FileHeads
 
 
 def documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -191,9 +192,9 @@ def latest_year(years: DataFrame, year: str = "year", least: int = 2024) -> Data
 
 
 def csv_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path and first line of each CSV file."""
-    d = documents(spark, path, "*.csv")
-    return d.select("path", F.get(F.split("content", r"\r?\n", 2), F.lit(0)).alias("value"))
+    """path and first line of each CSV file; no more of it is read."""
+    spark.dataSource.register(FileHeads)
+    return spark.read.format("file_heads").options(at=path, suffix=".csv").load()
 
 
 # ---- XML -------------------------------------------------------------------------------------------------------------
@@ -212,22 +213,56 @@ def _text(path: str) -> Column:
     return F.coalesce(F.trim(F.col(path)), F.lit(""))
 
 
+#: Members of a position of an information table, by the names of the public schema.
+POSITION = "nameOfIssuer:string,titleOfClass:string,cusip:string,value:string,shrsOrPrnAmt:struct<sshPrnamt:string,sshPrnamtType:string>,putCall:string,investmentDiscretion:string"
+
+
+def _positions(rows: DataFrame, filed: str, *keep: str) -> DataFrame:
+    value = dates.dollars(_number("r.value"), F.col(filed)).cast("decimal(28,8)")
+    return rows.select(*keep, _text("r.nameOfIssuer").alias("name"), _text("r.cusip").alias("cusip"), _text("r.titleOfClass").alias("title_of_class"), value.alias("value_usd"), _number("r.shrsOrPrnAmt.sshPrnamt").alias("shares"), _text("r.shrsOrPrnAmt.sshPrnamtType").alias("shares_type"), F.nullif(_text("r.putCall"), F.lit("")).alias("put_call"), _text("r.investmentDiscretion").alias("investment_discretion"))
+
+
 def holdings_13f(docs: DataFrame, content: str = "content", filed: str = "filing_date", keep: list[str] | None = None) -> DataFrame:
     """Positions of information tables, in dollars, with weights in percent of the filing; largest first within a filing.
 
     docs has filing_date (null: values are in dollars) and the columns keep, which name a filing.
     """
-    from pyspark.sql import Window
-
     keep = keep or [c for c in docs.columns if c != content]
-    schema = "infoTable array<struct<nameOfIssuer:string,titleOfClass:string,cusip:string,value:string,shrsOrPrnAmt:struct<sshPrnamt:string,sshPrnamtType:string>,putCall:string,investmentDiscretion:string>>"
-    rows = _rows(docs, content, "infoTable", schema, keep)
-    value = dates.dollars(_number("r.value"), F.col(filed)).cast("decimal(28,8)")
-    rows = rows.select(*keep, "place", _text("r.nameOfIssuer").alias("name"), _text("r.cusip").alias("cusip"), _text("r.titleOfClass").alias("title_of_class"), value.alias("value_usd"), _number("r.shrsOrPrnAmt.sshPrnamt").alias("shares"), _text("r.shrsOrPrnAmt.sshPrnamtType").alias("shares_type"), F.nullif(_text("r.putCall"), F.lit("")).alias("put_call"), _text("r.investmentDiscretion").alias("investment_discretion"))
+    rows = _positions(_rows(docs, content, "infoTable", f"infoTable array<struct<{POSITION}>>", keep), filed, *keep, "place")
     total = F.sum("value_usd").over(Window.partitionBy(*keep))
     return rows.withColumn("weight_pct", dates.pct(F.col("value_usd").cast("double"), total.cast("double")))
 
 
+#: Of a part of a text cut behind each "tag>": what stood in the element that it closes, opened in this part or at its end before.
+_INNER = r"(?s)^(?:.*<(?:[\w.-]+:)?{tag}\b[^>]*>)?(.*)</(?:[\w.-]+:)?$"
+
+
+def elements(spark: SparkSession, path: str, tag: str, members: str) -> DataFrame:
+    """r, a struct of members, for each element of a name in the XML files below path; and the columns of their folders.
+
+    Files are cut behind each end of the tag, as lines are at line breaks, so one large file is read by many tasks, each from
+    the first end in its share on. Elements don't hold others of their name. Prefixes of names don't count.
+    """
+    parts = spark.read.option("lineSep", f"{tag}>").text(path).filter(F.col("value").rlike(r"</(?:[\w.-]+:)?$"))
+    inner = F.regexp_replace(F.regexp_extract("value", _INNER.replace("{tag}", tag), 1), r"(</?)[\w.-]+:", "$1")
+    parsed = F.from_xml(F.concat(F.lit("<r>"), inner, F.lit("</r>")), f"struct<{members}>", {"mode": "PERMISSIVE"})
+    return parts.select(*[c for c in parts.columns if c != "value"], parsed.alias("r"))
+
+
+def holdings_13f_files(spark: SparkSession, path: str, filings_: DataFrame, filing: str = "filing", filed: str = "filing_date") -> DataFrame:
+    """holdings_13f() of files below path, in a folder filing=... for each, however large: elements() reads them in shares.
+
+    filings_ (filing, filing_date) says when each was filed; filings without a row there count as undated. A filing's total is
+    summed by position and joined back. Rows have no place, since a task doesn't know how many stand before its share.
+    """
+    read = elements(spark, path, "infoTable", POSITION).withColumn(filing, F.col(filing).cast(filings_.schema[filing].dataType))
+    dated = filings_.groupBy(filing).agg(F.max(filed).alias(filed))
+    rows = _positions(read.join(dated, filing, "left"), filed, filing, filed)
+    total = rows.groupBy(filing).agg(F.sum("value_usd").alias("_total"))
+    weight = dates.pct(F.col("value_usd").cast("double"), F.col("_total").cast("double"))
+    return rows.join(total, filing).withColumn("weight_pct", weight).drop("_total")
+
+
 def holdings_nport(docs: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """Investments of fund reports; amounts rounded half to even to cents. Largest share first: order by pct_val, place."""
     keep = keep or [c for c in docs.columns if c != content]

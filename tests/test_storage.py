@@ -186,3 +186,76 @@ def test_answers_through_the_cache(spark, tmp_path):
     for _ in range(2):
         assert [(r.key, r.content) for r in cache.through(asked, str(tmp_path / "c"), fetch).collect()] == [("a", "A")]
     assert fetches == [["a", "b"], ["b"]]
+
+
+def test_one_large_file_is_read_in_shares(spark, tmp_path):
+    item = "<{p}infoTable{a}>\n  <{p}nameOfIssuer>N{k} &amp; Co</{p}nameOfIssuer>\n <{p}value>{k}</{p}value><{p}shrsOrPrnAmt><{p}sshPrnamt>2</{p}sshPrnamt></{p}shrsOrPrnAmt>\n</{p}infoTable>"
+    for filing, prefix in ((1, ""), (2, "ns1:")):
+        (tmp_path / f"x/filing={filing}").mkdir(parents=True)
+        body = "\n".join(item.format(k=k, p=prefix, a=' id="3"' if k % 5 == 0 else "") for k in range(400))
+        (tmp_path / f"x/filing={filing}/t.xml").write_text(f'<?xml version="1.0"?>\n<{prefix}informationTable xmlns:ns1="u">\n{body}\n</{prefix}informationTable>\n')
+    filed = spark.createDataFrame([(1, None)], "filing long, filing_date date")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        rows = filings.holdings_13f_files(spark, str(tmp_path / "x"), filed)
+        shares = filings.elements(spark, str(tmp_path / "x"), "infoTable", filings.POSITION).filter("filing = 1").rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(shares) == 400 and sum(n > 0 for n in shares) > 3
+    got = Counter((r.filing, r.name, int(r.value_usd), int(r.shares)) for r in rows.collect())
+    assert got == Counter((f, f"N{k} & Co", k, 2) for f in (1, 2) for k in range(400))
+
+
+def test_heads_of_files(spark, tmp_path):
+    from quarry.sources.file_heads import BLOCK
+
+    (tmp_path / "a/b").mkdir(parents=True)
+    contents = {"x.csv": b"\xef\xbb\xbfone,two\r\n1,2\n", "a/y.csv": b"only", "a/b/z.csv": b"", "a/w.txt": b"no", "_s.csv": b"no", "a/long.csv": b"h" * (3 * BLOCK) + b"\nrest" * BLOCK}
+    for name, raw in contents.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: r.value for r in filings.csv_headers(spark, str(tmp_path)).collect()}
+    assert got == {"x.csv": "one,two", "y.csv": "only", "z.csv": None, "long.csv": "h" * (3 * BLOCK)}
+    (tmp_path / "none").mkdir()
+    assert filings.csv_headers(spark, str(tmp_path / "none")).count() == 0
+
+    class Stream:
+        """A file far larger than memory: reading behind its first line fails."""
+
+        asked = 0
+
+        def read(self, n):
+            self.asked += 1
+            assert self.asked < 3
+            return b"h" * n if self.asked == 1 else b"\n" + b"x" * (n - 1)
+
+    from quarry.sources.file_heads import head_of
+
+    assert head_of(Stream()) == "h" * BLOCK
+
+
+def test_documents_are_parsed_while_none_is_adequate(spark):
+    from quarry.operators import documents
+
+    text = lambda one, seven: f"Item 1. Business\n{'x' * one}\nItem 7. Discussion\n{'y' * seven}\nItem 8. Statements\n{'z' * 500}"
+    rows = [
+        (1, "main.htm", "10-K", text(10, 10)), (1, "b.txt", "EX-13", text(500, 3000)), (1, "c.txt", "EX-99", text(500, 4000)), (1, "d.pdf", "EX-13", text(500, 3000)),
+        (2, "main.htm", "10-K", text(500, 3000)), (2, "a.txt", "EX-13", text(500, 5000)),
+        (3, "a.txt", "EX-13", None), (3, "b.txt", "EX-99", ""),
+        (None, "main.htm", "10-K", text(500, 10)),
+        (4, "x.jpg", "GRAPHIC", text(500, 3000)),
+    ]
+    docs = spark.createDataFrame([(*r, "main.htm") for r in rows], "filing long, name string, type string, content string, primary_document string").repartition(3)
+    got = {r.filing: (r["name"], r.parsed, sorted(r.sections)) for r in documents.best_document(docs, ["filing"]).collect()}
+    assert got == {1: ("b.txt", 2, ["item_1", "item_7", "item_8"]), 2: ("main.htm", 1, ["item_1", "item_7", "item_8"]), 3: ("a.txt", 2, []), None: ("main.htm", 1, ["item_1", "item_8"])}
+    assert documents.best_document(docs.filter("false"), ["filing"]).count() == 0
+
+
+def test_headings_in_one_look_are_those_of_each_pattern():
+    from quarry.operators import documents
+
+    rng = random.Random(1)
+    pieces = ["ITEM 1.", "Item 1A -", "items 7", "ITEM\n7A.", " item 9A(T)", "ITEM 10.", "ITEM 1B(", "x ITEM 2.", "ITEM 16", "ITEM 8\n", "\n", " ", "text", "ITEM ITEM 3.", "\n\n", "ITEM 12:"]
+    for _ in range(200):
+        s = "\n".join(rng.choices(pieces, k=rng.randint(0, 40)))
+        assert documents._headings(s) == [[m.start() for m in p.finditer(s)] for _, p in documents.HEADINGS]
