@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, forms, text, urls
 from quarry.operators import coverage, documents, entities, facts, history, holdings
+from quarry.sources import filings
 
 
 def registry(primary: DataFrame, derived: DataFrame | None = None) -> DataFrame:
@@ -112,6 +115,38 @@ def information_table(documents_: DataFrame, filing: list[str]) -> DataFrame:
     return history.first_rows(rows, filing, [F.asc("place")])
 
 
+def located(submissions: DataFrame, parts: DataFrame, contents: DataFrame, family: str, parse: Callable[..., DataFrame]) -> DataFrame:
+    """The rows that parse() finds in each filing of a family: its artifact is located among its parts, read and parsed.
+
+    Of 13F filings it is the information table, of others the primary document. submissions: cik, accession_number, form,
+    filing_date, primary_document; parts: accession_number, type, name, place; contents: accession_number, name, content. Filings
+    without the artifact give no rows. parse() gets content, cik, accession_number, filing_date, and keeps the last three.
+    """
+    filings_ = history.family(submissions, family).select("cik", "accession_number", "filing_date", "primary_document").dropDuplicates(["cik", "accession_number"])
+    if family == "holdings":
+        named = information_table(parts, ["accession_number"]).select("accession_number", "name")
+        found = filings_.join(named, "accession_number")
+    else:
+        found = filings_.withColumnRenamed("primary_document", "name")
+    docs = found.join(contents.select("accession_number", "name", "content"), ["accession_number", "name"])
+    keep = ["cik", "accession_number", "filing_date"]
+    return parse(docs.select(*keep, "content"), keep=keep)
+
+
+def fund_holdings(submissions: DataFrame, contents: DataFrame, listed: DataFrame) -> DataFrame:
+    """Investments of fund reports, with the symbol, name and cik of the registrant that each one's title, else its name, fits."""
+    rows = located(submissions, submissions.sparkSession.createDataFrame([], "accession_number string, type string, name string, place int"), contents, "fund_holdings", filings.holdings_nport)
+    return entities.with_tickers(rows, listed)
+
+
+def with_index_pages(submissions: DataFrame, pages: DataFrame) -> DataFrame:
+    """submissions with the address of their index page, and the documents that it lists (pages: url, content)."""
+    asked = submissions.withColumn("index_url", urls.index_page(F.col("cik"), F.col("accession_number")))
+    listed = filings.filing_index(pages.select(F.col("url").alias("index_url"), "content"), keep=["index_url"])
+    docs = listed.groupBy("index_url").agg(F.sort_array(F.collect_list(F.struct("place", "name", "type"))).alias("documents"))
+    return asked.join(docs, "index_url", "left")
+
+
 def form_coverage(index: DataFrame, least: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of index rows (form_type): named forms never seen, frequent forms without a name, and how many are which."""
     seen = index.select(forms.parsed(F.col("form_type")).alias("form"))

@@ -216,11 +216,13 @@ def _tag(name: str, value: str) -> str:
     return f"'<{name}>', {value}, '</{name}>'"
 
 
-def _xml(rows: DataFrame, key: str, row: str, before: str, behind: str) -> DataFrame:
+def xml(rows: DataFrame, key: str, row: str, before: str, behind: str) -> DataFrame:
     return rows.groupBy(key).agg(F.concat(F.lit(before), F.array_join(F.collect_list(F.expr(row)), ""), F.lit(behind)).alias("content"))
 
 
-_POSITION = "concat('<infoTable>', " + ", ".join([_tag("nameOfIssuer", "concat(' Part ', l_partkey, ' &amp; Co')"), _tag("titleOfClass", "'COM'"), _tag("cusip", "lpad(l_partkey, 9, '0')"), _tag("value", "CAST(floor(l_extendedprice) AS BIGINT)"), "'<shrsOrPrnAmt>'", _tag("sshPrnamt", "IF(l_linenumber = 2, 'many', CAST(CAST(l_quantity AS INT) AS STRING))"), _tag("sshPrnamtType", "'SH'"), "'</shrsOrPrnAmt>'", "IF(l_linenumber = 1, '<putCall>Put</putCall>', '')", _tag("investmentDiscretion", "'SOLE'")]) + ", '</infoTable>')"
+INFORMATION_TABLE = '<?xml version="1.0"?><informationTable xmlns="http://www.sec.gov/edgar/document/thirteenf/informationtable">', "</informationTable>"
+NPORT = '<?xml version="1.0"?><edgarSubmission xmlns="http://www.sec.gov/edgar/nport"><formData><invstOrSecs>', "</invstOrSecs></formData></edgarSubmission>"
+POSITION = "concat('<infoTable>', " + ", ".join([_tag("nameOfIssuer", "concat(' Part ', l_partkey, ' &amp; Co')"), _tag("titleOfClass", "'COM'"), _tag("cusip", "lpad(l_partkey, 9, '0')"), _tag("value", "CAST(floor(l_extendedprice) AS BIGINT)"), "'<shrsOrPrnAmt>'", _tag("sshPrnamt", "IF(l_linenumber = 2, 'many', CAST(CAST(l_quantity AS INT) AS STRING))"), _tag("sshPrnamtType", "'SH'"), "'</shrsOrPrnAmt>'", "IF(l_linenumber = 1, '<putCall>Put</putCall>', '')", _tag("investmentDiscretion", "'SOLE'")]) + ", '</infoTable>')"
 
 
 @query("""WITH r AS (SELECT l_suppkey AS filing, 'Part ' || l_partkey || ' & Co' AS name, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip, floor(l_extendedprice) * CASE WHEN l_suppkey % 3 = 0 THEN 1000 ELSE 1 END AS value_usd,
@@ -228,7 +230,7 @@ CASE WHEN l_linenumber = 2 THEN 0 ELSE l_quantity END AS shares, CASE WHEN l_lin
 SELECT *, round_even(value_usd / sum(value_usd) OVER (PARTITION BY filing) * 100, 4) AS weight_pct FROM r""")
 def source_holdings_13f(spark: SparkSession, d: str) -> DataFrame:
     """A filing for each supplier; a third of them from before values were in dollars, a third without a date."""
-    docs = _xml(table(spark, d, "lineitem"), "l_suppkey", _POSITION, '<?xml version="1.0"?><informationTable xmlns="http://www.sec.gov/edgar/document/thirteenf/informationtable">', "</informationTable>")
+    docs = xml(table(spark, d, "lineitem"), "l_suppkey", POSITION, *INFORMATION_TABLE)
     docs = docs.selectExpr("l_suppkey AS filing", "CASE l_suppkey % 3 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' END AS filing_date", "content")
     rows = filings.holdings_13f(docs)
     return rows.select("filing", "name", "cusip", F.col("value_usd").cast("double").alias("value_usd"), F.col("shares").cast("double").alias("shares"), "put_call", "weight_pct")
@@ -237,7 +239,7 @@ def source_holdings_13f(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["source_holdings_13f"])
 def source_holdings_13f_files(spark: SparkSession, d: str) -> DataFrame:
     """The same filings as files, read by row tag."""
-    docs = _xml(table(spark, d, "lineitem"), "l_suppkey", _POSITION, '<?xml version="1.0"?><informationTable xmlns="http://www.sec.gov/edgar/document/thirteenf/informationtable">', "</informationTable>")
+    docs = xml(table(spark, d, "lineitem"), "l_suppkey", POSITION, *INFORMATION_TABLE)
     path = f"{shared_folder(spark)}/quarry/13f-{uuid.uuid4().hex}"
     docs.withColumnRenamed("l_suppkey", "filing").repartition("filing").write.partitionBy("filing").text(path)
     filed = table(spark, d, "supplier").selectExpr("s_suppkey AS filing", "CASE s_suppkey % 3 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' END AS filing_date")
@@ -261,13 +263,13 @@ def source_csv_headers(spark: SparkSession, d: str) -> DataFrame:
     return coverage.header_stats(filings.csv_headers(spark, path))
 
 
-_INVESTMENT = "concat('<invstOrSec>', " + ", ".join([_tag("name", "concat('Issuer ', l_partkey)"), _tag("title", "IF(l_linenumber = 3, '', concat('Title ', l_linenumber))"), _tag("cusip", "lpad(l_partkey, 9, '0')"), "IF(l_linenumber = 4, '', concat('<identifiers><isin value=\"US', l_partkey, '\"/></identifiers>'))", _tag("balance", "concat(CAST(l_quantity AS INT), '.125')"), _tag("units", "'NS'"), _tag("curCd", "'USD'"), _tag("valUSD", "IF(l_linenumber = 5, 'N/A', concat(CAST(l_quantity AS INT), '.375'))"), _tag("pctVal", "concat('0.', lpad(l_partkey, 6, '0'))"), _tag("assetCat", "'EC'"), _tag("invCountry", "'US'")]) + ", '</invstOrSec>')"
+INVESTMENT = "concat('<invstOrSec>', " + ", ".join([_tag("name", "concat('Issuer ', l_partkey)"), _tag("title", "IF(l_linenumber = 3, '', concat('Title ', l_linenumber))"), _tag("cusip", "lpad(l_partkey, 9, '0')"), "IF(l_linenumber = 4, '', concat('<identifiers><isin value=\"US', l_partkey, '\"/></identifiers>'))", _tag("balance", "concat(CAST(l_quantity AS INT), '.125')"), _tag("units", "'NS'"), _tag("curCd", "'USD'"), _tag("valUSD", "IF(l_linenumber = 5, 'N/A', concat(CAST(l_quantity AS INT), '.375'))"), _tag("pctVal", "concat('0.', lpad(l_partkey, 6, '0'))"), _tag("assetCat", "'EC'"), _tag("invCountry", "'US'")]) + ", '</invstOrSec>')"
 
 
 @query("""SELECT l_suppkey AS filing, 'Issuer ' || l_partkey AS name, CASE WHEN l_linenumber = 3 THEN '' ELSE 'Title ' || l_linenumber END AS title, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip, CASE WHEN l_linenumber = 4 THEN '' ELSE 'US' || l_partkey END AS isin,
 round_even(l_quantity + 0.125, 2) AS balance, CASE WHEN l_linenumber = 5 THEN 0 ELSE round_even(l_quantity + 0.375, 2) END AS val_usd, CAST('0.' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS DOUBLE) AS pct_val, '' AS lei, 'EC' AS asset_category FROM lineitem""")
 def source_holdings_nport(spark: SparkSession, d: str) -> DataFrame:
-    docs = _xml(table(spark, d, "lineitem"), "l_suppkey", _INVESTMENT, '<?xml version="1.0"?><edgarSubmission xmlns="http://www.sec.gov/edgar/nport"><formData><invstOrSecs>', "</invstOrSecs></formData></edgarSubmission>")
+    docs = xml(table(spark, d, "lineitem"), "l_suppkey", INVESTMENT, *NPORT)
     rows = filings.holdings_nport(docs.withColumnRenamed("l_suppkey", "filing"))
     return rows.select("filing", "name", "title", "cusip", "isin", *[F.col(c).cast("double").alias(c) for c in ("balance", "val_usd", "pct_val")], "lei", "asset_category")
 
@@ -307,27 +309,27 @@ CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 18000 AS updated, CASE WHEN ev
 def source_feed_entries(spark: SparkSession, d: str) -> DataFrame:
     """Feeds of an hour each; some entries lack an accession number, a registrant or a time."""
     e = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    docs = _xml(e, "hour", ENTRY, *ATOM)
+    docs = xml(e, "hour", ENTRY, *ATOM)
     rows = filings.feed_entries(docs.select("content"))
     return rows.withColumn("updated", F.unix_timestamp("updated")).withColumn("items", F.array_join("items", "|"))
 
 
 # ---- HTML ------------------------------------------------------------------------------------------------------------
 
-_INDEX_ROW = "concat('<tr class=\"r\"><td>', l_linenumber, '</td><td>text</td><td><a href=\"', IF(l_linenumber = 2, '/ix?doc=', ''), '/Archives/edgar/data/1/', l_orderkey, '/d', l_partkey, '.htm\">d</a></td>', IF(l_linenumber = 7, '', concat('<td> EX-99.', l_linenumber, '&nbsp;</td>')), '<td>12</td></tr>')"
+INDEX_ROW = "concat('<tr class=\"r\"><td>', l_linenumber, '</td><td>text</td><td><a href=\"', IF(l_linenumber = 2, '/ix?doc=', ''), '/Archives/edgar/data/1/', l_orderkey, '/d', l_partkey, '.htm\">d</a></td>', IF(l_linenumber = 7, '', concat('<td> EX-99.', l_linenumber, '&nbsp;</td>')), '<td>12</td></tr>')"
 
 
 @query("SELECT l_orderkey AS filing, 'd' || l_partkey || '.htm' AS name, CASE WHEN l_linenumber = 7 THEN '12' ELSE 'EX-99.' || l_linenumber END AS type FROM lineitem")
 def source_filing_index(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "filing").withColumn("l_orderkey", F.col("filing"))
-    docs = _xml(rows, "filing", _INDEX_ROW, "<html><TABLE><tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr><tr><td>1</td><td>short</td></tr>", "</TABLE></html>")
+    docs = xml(rows, "filing", INDEX_ROW, "<html><TABLE><tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr><tr><td>1</td><td>short</td></tr>", "</TABLE></html>")
     return filings.filing_index(docs, keep=["filing"]).drop("place")
 
 
 @query("SELECT CAST(100 + p_size AS INT) AS code, p_type AS office, p_name || ' & sons' AS description FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
 def source_sic_codes(spark: SparkSession, d: str) -> DataFrame:
     row = "concat('<tr><td>', IF(p_partkey % 5 = 0, 'Code', CAST(100 + p_size AS STRING)), '</td><td> Office of ', p_type, '</td><td>', p_name, ' &amp;  sons</td>', IF(p_partkey % 7 = 0, '<td>more</td>', ''), '</tr>')"
-    return filings.sic_codes(_xml(table(spark, d, "part"), "p_size", row, "<table>", "</table>").select("content"))
+    return filings.sic_codes(xml(table(spark, d, "part"), "p_size", row, "<table>", "</table>").select("content"))
 
 
 # ---- addresses -------------------------------------------------------------------------------------------------------
