@@ -37,9 +37,9 @@ from pyspark.sql.types import DoubleType
 from quarry.llm import common
 from quarry.llm.components import components
 
-SEED, PERIOD, WALKS, FIRST, SAMPLES, LEVELS = 11, 4096, 6, 32, 24, 27
-#: Samples of a stretch, of which FIRST and SAMPLES are multiples; stretches whose bands a text has, and walks of each.
-BLOCK, STRETCHES, BANDED = 8, 8, 2
+SEED, PERIOD, WALKS, FIRST, SAMPLES, LEVELS = 11, 4096, 5, 32, 24, 27
+#: Samples of a stretch, of which FIRST and SAMPLES are multiples; stretches whose bands a text has; every which walk of them.
+BLOCK, STRETCHES, EVERY = 8, 8, 2
 GROUP_CHARS = 6_000_000
 DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: What the best of WALKS unrelated stretches agrees by chance: the mean of the greatest of as many binomial draws.
@@ -175,7 +175,7 @@ PER_BLOCK = 512
 
 
 def bands_of(digits: np.ndarray) -> list[list[int]]:
-    """64-bit keys of the bands of each row: BANDED walks of each of its last STRETCHES whole stretches; its first where none is whole."""
+    """64-bit keys of the bands of each row: of its last STRETCHES whole stretches, EVERY other walk in turn; its first where none is whole."""
     rows = _stretches(digits)
     whole = (rows > 0).all(2)  # by row, stretch and walk
     out = []
@@ -184,7 +184,7 @@ def bands_of(digits: np.ndarray) -> list[list[int]]:
         keys = []
         for k in (there[-STRETCHES:] if len(there) else [0]):
             walks = np.flatnonzero(full[k]) if len(there) else range(WALKS)
-            walks = [v for v in walks if v % (WALKS // BANDED) == k % (WALKS // BANDED)]
+            walks = [v for v in walks if v % EVERY == k % EVERY]
             keys += [xxhash.xxh3_64_intdigest(b"%d:%d:" % (k, v) + row[k, :, v].tobytes()) - (1 << 63) for v in walks]
         out.append(keys)
     return out
@@ -298,7 +298,11 @@ def _named(node: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, near_id: of every doc_id that isn't the smallest of its group of near duplicates, the smallest; nulls are left out."""
     prints = prints_of(docs)
-    found = common.materialise(links(prints, least).select("a", "b"), "links")
+    pairs = common.materialise(links(prints, least).select("a", "b"), "links")
+    # a node hangs on the least it is linked to, and those it is linked to on that one: the same groups by about a link a node
+    hung = pairs.groupBy("b").agg(F.min("a").alias("m"))
+    between = pairs.join(hung, "b").filter("a != m").select("a", F.col("m").alias("b")).distinct()
+    found = common.materialise(hung.select(F.col("m").alias("a"), "b").unionByName(between), "links")
     ids = prints.filter("doc_id is not null and length(print) > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
     groups = components(found).select("node", F.col("component").alias("group"))
     whole = common.materialise(ids.join(groups, "node", "left").select("node", "id", F.coalesce("group", "node").alias("group")), "print-groups")
@@ -306,6 +310,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     near = prints.select("doc_id", "node").filter("doc_id is not null").join(whole.join(least_of, "group").select("node", "near_id"), "node")
     out = common.materialise(near.groupBy("doc_id").agg(F.min("near_id").alias("near_id")).filter("near_id < doc_id"), "near")
     common.discard(prints)
+    common.discard(pairs)
     common.discard(found)
     common.discard(whole)
     return out
