@@ -7,8 +7,8 @@ four steps between states. Forward-backward marginals then give each token its p
 function of their sum, their maximum and their noisy or, fitted on labelled documents that the chain didn't learn from; spans
 are runs of tokens at 0.5 or more, as character offsets.
 
-The model is learned from a bounded sample: at most MOST_LABELLED labelled rows of either label, chosen by hash of the id, of
-texts up to MOST_BYTES. Labels, language, source and id are never inputs of a score. Scoring covers whole texts of any
+The model is learned from a bounded sample: at most MOST_LABELLED labelled rows of either label, chosen by hash of the id, each
+with its whole text. Labels, language, source and id are never inputs of a score. Scoring covers whole texts of any
 length. Learning is deterministic.
 
 Nulls: null labels don't teach; a null or empty text has no tokens, no spans and the score of a document without toxic
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-MOST_LABELLED, MOST_BYTES, PLAIN = 1500, 65_536, 4
-FEATURES, SEGMENT, ROUNDS = 1 << 16, 64, 60
+MOST_LABELLED = 1500
+#: Hashed features; tokens of a segment and segments of a step of learning; rounds.
+FEATURES, SEGMENT, TOGETHER, ROUNDS = 1 << 16, 64, 4096, 60
 SIGNIFICANT, LIFT = 20.0, 3.0
 REMEMBERED = 80_000
 GROUP_TOKENS, BLOCK = 150_000, 64
@@ -199,10 +200,10 @@ def significant(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return f[(ratio >= SIGNIFICANT) & (a / n[1] >= LIFT * b / n[0])]
 
 
-def learn_chain(texts: list[str], toxic: list[int], plain: int = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features and of the steps, by gradient ascent on the penalised likelihood of labelled segments.
+def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features and of the steps, by gradient ascent on the penalised likelihood of all segments of the texts.
 
-    Segments without a marked word teach that their words are not toxic: one in `plain` of them does, with `plain` times the weight.
+    Gradients are summed over blocks of TOGETHER segments, so what is held for each token is its word's number and state.
     """
     names = Words()
     tokens = [names.numbers(t) for t in texts]
@@ -215,45 +216,32 @@ def learn_chain(texts: list[str], toxic: list[int], plain: int = PLAIN) -> tuple
     marked = significant(held, np.array(toxic))
     hot = np.bincount(np.repeat(np.arange(len(hash_counts)), hash_counts), weights=np.isin(hashes, marked), minlength=len(hash_counts)) > 0
     rows = [(ts[k : k + SEGMENT], y) for ts, y in zip(tokens, toxic, strict=True) for k in range(0, len(ts), SEGMENT)]
-    keep = [(r, y, 1.0) if hot[r].any() else (r, y, float(plain)) for i, (r, y) in enumerate(rows) if hot[r].any() or i % plain == 0]
-    if not keep:
+    if not rows:
         return np.zeros(FEATURES), np.zeros(4)
-    n = len(keep)
-    longest = max(len(r) for r, _, _ in keep)
-    words, live, weight = np.zeros((longest, n), np.int64), np.zeros((longest, n), bool), np.array([x for _, _, x in keep])
-    state = np.zeros((longest, n), np.int64)
-    for i, (r, y, _) in enumerate(keep):
+    n = len(rows)
+    longest = max(len(r) for r, _ in rows)
+    words, live, state = np.zeros((longest, n), np.int32), np.zeros((longest, n), bool), np.zeros((longest, n), np.int8)
+    for i, (r, y) in enumerate(rows):
         words[: len(r), i] = r
         live[: len(r), i] = True
         state[: len(r), i] = hot[r] if y else 0
     n_words = len(names.of_word)
     of_word = np.repeat(np.arange(n_words), np.frombuffer(names.feature_counts, np.int32))
     of_feature = np.frombuffer(names.features, np.int32)
-    step_live = live[1:] & live[:-1]
-    step_kind = state[:-1] * 2 + state[1:]
-    seen = np.array([((step_kind == k) & step_live).astype(float).sum(0) @ weight for k in range(4)])
-    seen_words = np.bincount(words[live & (state == 1)], weights=np.broadcast_to(weight, words.shape)[live & (state == 1)], minlength=n_words)
-    total = float(weight @ live.sum(0))
+    both = live[1:] & live[:-1]
+    seen = np.bincount((state[:-1] * 2 + state[1:])[both], minlength=4).astype(float)
+    seen_words = np.bincount(words[state == 1], minlength=n_words).astype(float)
+    total = float(live.sum())
     w, t = np.zeros(FEATURES), np.zeros(4)
     w[0] = -4.0
     m, v = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
     for k in range(1, ROUNDS + 1):
-        score = np.bincount(of_word, weights=w[of_feature], minlength=n_words)
-        e = np.where(live, np.exp(np.clip(score[words], -30, 30)), 1.0)
-        a, b, c, d = np.exp(t)
-        r, s = np.empty_like(e), np.ones_like(e)
-        r[0] = e[0]
-        for i in range(1, longest):
-            r[i] = e[i] * (b + d * r[i - 1]) / (a + c * r[i - 1])
-        for i in range(longest - 2, -1, -1):
-            x = e[i + 1] * s[i + 1]
-            s[i] = np.where(live[i + 1], (c + d * x) / (a + b * x), 1.0)
-        p = r * s / (1 + r * s)
-        x = e[1:] * s[1:]
-        pair = np.stack([np.full_like(x, a), b * x, c * r[:-1], d * r[:-1] * x])
-        pair /= pair.sum(0)
-        expected = np.array([(q * step_live).sum(0) @ weight for q in pair])
-        expected_words = np.bincount(words[live], weights=(p * weight)[live], minlength=n_words)
+        score = np.exp(np.clip(np.bincount(of_word, weights=w[of_feature], minlength=n_words), -30, 30))
+        expected, expected_words = np.zeros(4), np.zeros(n_words)
+        for j in range(0, n, TOGETHER):
+            steps, at = _expected(score[words[:, j : j + TOGETHER]], live[:, j : j + TOGETHER], np.exp(t))
+            expected += steps
+            expected_words += np.bincount(words[:, j : j + TOGETHER].ravel(), weights=at.ravel(), minlength=n_words)
         gw = np.bincount(of_feature, weights=(seen_words - expected_words)[of_word], minlength=FEATURES) - 0.5 * w
         g = np.concatenate([gw, seen - expected - 0.5 * t]) / total * 1000
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -262,6 +250,23 @@ def learn_chain(texts: list[str], toxic: list[int], plain: int = PLAIN) -> tuple
     return w, t
 
 
+def _expected(e: np.ndarray, live: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected steps of each kind in segments, laid as columns, and each token's probability, 0 where there is none."""
+    a, b, c, d = step
+    e = np.where(live, e, 1.0)
+    r, s = np.empty_like(e), np.ones_like(e)
+    r[0] = e[0]
+    for i in range(1, len(e)):
+        r[i] = e[i] * (b + d * r[i - 1]) / (a + c * r[i - 1])
+    for i in range(len(e) - 2, -1, -1):
+        x = e[i + 1] * s[i + 1]
+        s[i] = np.where(live[i + 1], (c + d * x) / (a + b * x), 1.0)
+    x, before = e[1:] * s[1:], r[:-1]
+    pair = [np.full_like(x, a), b * x, c * before, d * before * x]
+    whole = np.where(live[1:] & live[:-1], 1 / sum(pair), 0.0)
+    return np.array([(q * whole).sum() for q in pair]), np.where(live, r * s / (1 + r * s), 0.0)
+
+
 def summaries(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """What the scores of documents are made of: a row for each, of marginals laid end to end."""
     out = np.zeros((len(lengths), 4))
@@ -293,7 +298,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(rows @ self.score, -30, 30)))
 
 
-def learn(rows: list[tuple[str, int]], shares: tuple[int, int], plain: int = PLAIN) -> Model:
+def learn(rows: list[tuple[str, int]], shares: tuple[int, int]) -> Model:
     """rows: text and label, in a fixed order; shares: how many labelled rows of either label the sample stands for."""
     y = np.array([r[1] for r in rows], int)
     if len(set(y.tolist())) < 2:
@@ -302,7 +307,7 @@ def learn(rows: list[tuple[str, int]], shares: tuple[int, int], plain: int = PLA
     third = np.zeros(len(rows), bool)
     for k in (0, 1):
         third[np.flatnonzero(y == k)[::3]] = True
-    w, t = learn_chain([r[0] for r, z in zip(rows, third, strict=True) if not z], y[~third].tolist(), plain)
+    w, t = learn_chain([r[0] for r, z in zip(rows, third, strict=True) if not z], y[~third].tolist())
     emit = Emissions(w)
     fit = third if 0 < y[third].sum() < third.sum() else ~third
     es = [emit(r[0].split()) for r, z in zip(rows, fit, strict=True) if z]
@@ -312,20 +317,19 @@ def learn(rows: list[tuple[str, int]], shares: tuple[int, int], plain: int = PLA
     return Model(w, t, learn_score(summaries(marginals_of(np.concatenate(es), lengths, t), lengths), y[fit], weight / weight.mean()))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES, plain: int = PLAIN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Learns from labelled documents: docs has doc_id, text; labels has doc_id, toxic (0 or 1).
 
-    The sample is bounded by most (rows of either label) and most_bytes (of a text); plain as in learn_chain(). An id that
-    stands on several rows teaches by its least text alone.
+    The sample is bounded by most, rows of either label. An id that stands on several rows teaches by its least text alone.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     ids = known.filter("toxic = 0").orderBy(F.xxhash64("l_id"), "l_id").limit(most).unionAll(known.filter("toxic = 1").orderBy(F.xxhash64("l_id"), "l_id").limit(most))
-    texts = docs.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text")).filter(F.octet_length("d_text") <= most_bytes)
+    texts = docs.select(F.col("doc_id").alias("d_id"), F.col("text").alias("d_text"))
     chosen = texts.join(F.broadcast(ids), F.col("d_id") == F.col("l_id"))  # at most 2 * most ids
     rows = chosen.groupBy("l_id", "toxic").agg(F.min("d_text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["l_id"]).encode()), r["l_id"]))
-    return learn([(r["text"], r["toxic"]) for r in rows], (counts.get(0, 0), counts.get(1, 0)), plain)
+    return learn([(r["text"], r["toxic"]) for r in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
 _ready: dict[bytes, Emissions] = {}
