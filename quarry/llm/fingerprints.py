@@ -125,6 +125,7 @@ def from_text(fingerprints: list[str]) -> np.ndarray:
 
 def packed(digits: np.ndarray) -> list[bytes]:
     """Two digits a byte, without the zeros at the end."""
+    digits = np.pad(digits, ((0, 0), (0, digits.shape[1] % 2)))
     both = digits[:, 0::2] << 4 | digits[:, 1::2]
     return [r.tobytes().rstrip(b"\0") for r in both]
 
