@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import urls
+from quarry.functions import table_functions, urls
 from quarry.operators import coverage, entities
 from quarry.plans import reports
 from quarry.plans.queries import SQL, query
@@ -225,14 +225,17 @@ NPORT = '<?xml version="1.0"?><edgarSubmission xmlns="http://www.sec.gov/edgar/n
 POSITION = "concat('<infoTable>', " + ", ".join([_tag("nameOfIssuer", "concat(' Part ', l_partkey, ' &amp; Co')"), _tag("titleOfClass", "'COM'"), _tag("cusip", "lpad(l_partkey, 9, '0')"), _tag("value", "CAST(floor(l_extendedprice) AS BIGINT)"), "'<shrsOrPrnAmt>'", _tag("sshPrnamt", "IF(l_linenumber = 2, 'many', CAST(CAST(l_quantity AS INT) AS STRING))"), _tag("sshPrnamtType", "'SH'"), "'</shrsOrPrnAmt>'", "IF(l_linenumber = 1, '<putCall>Put</putCall>', '')", _tag("investmentDiscretion", "'SOLE'")]) + ", '</infoTable>')"
 
 
+def _tables_13f(spark: SparkSession, d: str) -> DataFrame:
+    """A filing for each supplier; a third of them from before values were in dollars, a third without a date."""
+    docs = xml(table(spark, d, "lineitem"), "l_suppkey", POSITION, *INFORMATION_TABLE)
+    return docs.selectExpr("l_suppkey AS filing", "CASE l_suppkey % 3 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' END AS filing_date", "content")
+
+
 @query("""WITH r AS (SELECT l_suppkey AS filing, 'Part ' || l_partkey || ' & Co' AS name, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip, floor(l_extendedprice) * CASE WHEN l_suppkey % 3 = 0 THEN 1000 ELSE 1 END AS value_usd,
 CASE WHEN l_linenumber = 2 THEN 0 ELSE l_quantity END AS shares, CASE WHEN l_linenumber = 1 THEN 'Put' END AS put_call FROM lineitem)
 SELECT *, round_even(value_usd / sum(value_usd) OVER (PARTITION BY filing) * 100, 4) AS weight_pct FROM r""")
 def source_holdings_13f(spark: SparkSession, d: str) -> DataFrame:
-    """A filing for each supplier; a third of them from before values were in dollars, a third without a date."""
-    docs = xml(table(spark, d, "lineitem"), "l_suppkey", POSITION, *INFORMATION_TABLE)
-    docs = docs.selectExpr("l_suppkey AS filing", "CASE l_suppkey % 3 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' END AS filing_date", "content")
-    rows = filings.holdings_13f(docs)
+    rows = filings.holdings_13f(_tables_13f(spark, d))
     return rows.select("filing", "name", "cusip", F.col("value_usd").cast("double").alias("value_usd"), F.col("shares").cast("double").alias("shares"), "put_call", "weight_pct")
 
 
@@ -281,23 +284,46 @@ def _value(name: str, value: str) -> str:
 _TRADE = "concat('<', kind, 'Transaction>', " + ", ".join([_value("securityTitle", "' Common '"), _value("transactionDate", "IF(l_linenumber = 6, 'never', date_format(l_shipdate, 'yyyy-MM-dd'))"), "'<transactionCoding><transactionCode>'", "element_at(array('P', 'S', 'A', 'F', 'M', 'X', 'G', 'D', 'V', 'J', 'Z'), CAST(l_partkey % 11 + 1 AS INT))", "'</transactionCode></transactionCoding><transactionAmounts>'", _value("transactionShares", "CAST(l_quantity AS INT)"), _value("transactionPricePerShare", "IF(l_linenumber = 1, '0', CAST(CAST(l_extendedprice AS INT) AS STRING))"), _value("transactionAcquiredDisposedCode", "IF(l_returnflag = 'R', 'D', 'A')"), "'</transactionAmounts><postTransactionAmounts>'", _value("sharesOwnedFollowingTransaction", "l_partkey"), "'</postTransactionAmounts>'"]) + ", '</', kind, 'Transaction>')"
 
 
-@query("""SELECT l_suppkey AS filing, 'Owner ' || l_suppkey AS owner_name, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS owner_cik, CASE l_suppkey % 4 WHEN 0 THEN 'Chief' END AS officer_title, l_suppkey % 4 IN (0, 1) AS is_director, l_suppkey % 4 = 2 AS is_ten_percent_owner,
-CASE l_suppkey % 4 WHEN 0 THEN 'Chief' WHEN 1 THEN 'Director' WHEN 2 THEN '10% Owner' ELSE 'Insider' END AS role, l_returnflag = 'N' AS is_derivative, 'Common' AS security_title, CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS transaction_date,
-['P', 'S', 'A', 'F', 'M', 'X', 'G', 'D', 'V', 'J', 'Z'][l_partkey % 11 + 1] AS transaction_code,
-['Purchase', 'Sale', 'Award/Grant', 'Tax withholding', 'Option exercise', 'In-the-money exercise', 'Gift', 'Disposition to issuer', 'Voluntary report', 'Other', 'Transaction'][l_partkey % 11 + 1] AS transaction,
-l_quantity AS shares, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(trunc(l_extendedprice) AS DOUBLE) END AS price, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'A' END AS acquired_disposed, CAST(l_partkey AS DOUBLE) AS shares_after FROM lineitem""")
-def source_insider_transactions(spark: SparkSession, d: str) -> DataFrame:
+def _insider_reports(spark: SparkSession, d: str) -> DataFrame:
     """A report for each supplier, with two owners of whom the second counts."""
     rows = table(spark, d, "lineitem").withColumn("derivative", F.col("l_returnflag") == "N").withColumn("kind", F.expr("IF(derivative, 'derivative', 'nonDerivative')"))
     tables = rows.groupBy("l_suppkey").agg(*[F.array_join(F.collect_list(F.when(F.col("derivative") == x, F.expr(_TRADE))), "").alias(n) for n, x in (("n", False), ("dv", True))])
     owner = "concat('<reportingOwner><reportingOwnerId><rptOwnerCik>', {cik}, '</rptOwnerCik><rptOwnerName>', {name}, '</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>', {director}, '</isDirector><isTenPercentOwner>', {ten}, '</isTenPercentOwner><officerTitle>', {title}, '</officerTitle></reportingOwnerRelationship></reportingOwner>')"
     one = F.expr(owner.format(cik="'1'", name="'First'", director="'1'", ten="'1'", title="'President'"))
     two = F.expr(owner.format(cik="lpad(l_suppkey, 10, '0')", name="concat('Owner ', l_suppkey)", director="IF(l_suppkey % 4 = 0, 'true', IF(l_suppkey % 4 = 1, '1', '0'))", ten="IF(l_suppkey % 4 = 2, 'TRUE', 'false')", title="IF(l_suppkey % 4 = 0, ' Chief ', ' ')"))
-    docs = tables.select(F.col("l_suppkey").alias("filing"), F.concat(F.lit("<ownershipDocument>"), one, two, F.lit("<nonDerivativeTable>"), "n", F.lit("</nonDerivativeTable><derivativeTable>"), "dv", F.lit("</derivativeTable></ownershipDocument>")).alias("content"))
-    out = filings.insider_transactions(docs)
+    return tables.select(F.col("l_suppkey").alias("filing"), F.concat(F.lit("<ownershipDocument>"), one, two, F.lit("<nonDerivativeTable>"), "n", F.lit("</nonDerivativeTable><derivativeTable>"), "dv", F.lit("</derivativeTable></ownershipDocument>")).alias("content"))
+
+
+@query("""SELECT l_suppkey AS filing, 'Owner ' || l_suppkey AS owner_name, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS owner_cik, CASE l_suppkey % 4 WHEN 0 THEN 'Chief' END AS officer_title, l_suppkey % 4 IN (0, 1) AS is_director, l_suppkey % 4 = 2 AS is_ten_percent_owner,
+CASE l_suppkey % 4 WHEN 0 THEN 'Chief' WHEN 1 THEN 'Director' WHEN 2 THEN '10% Owner' ELSE 'Insider' END AS role, l_returnflag = 'N' AS is_derivative, 'Common' AS security_title, CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS transaction_date,
+['P', 'S', 'A', 'F', 'M', 'X', 'G', 'D', 'V', 'J', 'Z'][l_partkey % 11 + 1] AS transaction_code,
+['Purchase', 'Sale', 'Award/Grant', 'Tax withholding', 'Option exercise', 'In-the-money exercise', 'Gift', 'Disposition to issuer', 'Voluntary report', 'Other', 'Transaction'][l_partkey % 11 + 1] AS transaction,
+l_quantity AS shares, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(trunc(l_extendedprice) AS DOUBLE) END AS price, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'A' END AS acquired_disposed, CAST(l_partkey AS DOUBLE) AS shares_after FROM lineitem""")
+def source_insider_transactions(spark: SparkSession, d: str) -> DataFrame:
+    out = filings.insider_transactions(_insider_reports(spark, d))
     return out.select("filing", "owner_name", "owner_cik", "officer_title", "is_director", "is_ten_percent_owner", "role", "is_derivative", "security_title", "transaction_date", "transaction_code", "transaction", *[F.col(c).cast("double").alias(c) for c in ("shares", "price", "shares_after")], "acquired_disposed")
 
 
+def _by_function(spark: SparkSession, docs: DataFrame, function: str) -> DataFrame:
+    """The rows that a table function gives for docs, by SQL; a filing is a partition."""
+    table_functions.register(spark)
+    docs.createOrReplaceTempView(view := f"docs_{uuid.uuid4().hex}")
+    return spark.sql(f"SELECT * FROM {function}(TABLE({view}) PARTITION BY filing)")
+
+
+@query(SQL["source_holdings_13f"])
+def table_function_13f(spark: SparkSession, d: str) -> DataFrame:
+    rows = _by_function(spark, _tables_13f(spark, d), "positions_13f")
+    return rows.select("filing", "name", "cusip", F.col("value_usd").cast("double").alias("value_usd"), F.col("shares").cast("double").alias("shares"), "put_call", "weight_pct")
+
+
+@query(SQL["source_insider_transactions"])
+def table_function_insiders(spark: SparkSession, d: str) -> DataFrame:
+    out = _by_function(spark, _insider_reports(spark, d), "insider_transactions")
+    plain = [c for c in out.columns if c not in ("place", "is_officer", "shares", "price", "shares_after")]
+    return out.select(*plain, *[F.col(c).cast("double").alias(c) for c in ("shares", "price", "shares_after")])
+
+
 ENTRY = "concat('<entry>', " + ", ".join([_tag("title", "concat('8-K - Filer ', user_id, ' Corp (', lpad(user_id, 10, '0'), ') (Filer)')"), "'<link rel=\"alternate\" href=\"', IF(event_id % 10 = 0, 'https://www.sec.gov/none', concat('https://www.sec.gov/Archives/edgar/data/', user_id, '/x-index.htm')), '\"/>'", "'<summary type=\"html\">&lt;b&gt;Filed:&lt;/b&gt; ', date_format(ts, 'yyyy-MM-dd'), IF(event_type = 'view', ' &lt;br&gt;Item 2.02: Results &lt;br&gt;Item 9.01: Exhibits', ''), '</summary>'", _tag("updated", "IF(event_id % 13 = 0, 'soon', concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '-05:00'))"), "'<category term=\"', IF(event_type = 'error', '10-Q', '8-K'), '\"/>'", _tag("id", "concat('urn:tag:sec.gov,2008:accession-number=', IF(event_id % 11 = 0, 'none', concat('0000000001-24-', lpad(event_id, 6, '0'))))")]) + ", '</entry>')"
 
 ATOM = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">', "</feed>"
