@@ -8,11 +8,12 @@ blocks of about BLOCK_ROWS vectors by hash of the id, so a hot list is many task
 A query visits the lists of its nearest centroids, `probe` of them as a share of all. In each block, tables of distances from
 the query's residual to the part centroids give every code's distance (asymmetric: the query is not quantised); the best
 RERANK of the block, ties to smaller ids, are ranked again by exact distance on the original vectors in double precision, and the
-best k of the block go on to be merged. Queries meet a list's blocks in blocks of their own, by an equi-join on the list.
+best k of the block go on to be merged. A list's queries are cut into blocks of about QUERY_BLOCK too, and each block of them meets
+each of the list's in a task of its own, by an equi-join.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, or differ in length from most,
-neither search nor are found; a null vec_id neither. Repeated ids are separate vectors; a query's own id is never a candidate
-of it. Fewer than k candidates give fewer rows. An empty table gives none. Other columns are not read.
+neither search nor are found; a null vec_id neither. Repeated ids are separate vectors, and each searches for itself; a
+query's own id is never a candidate of it. Fewer than k candidates give fewer rows. An empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common
 
 SAMPLE, FITTED, MOST_LISTS, PARTS, CODES = 16_384, 8192, 4096, 16, 256
-BLOCK_ROWS, QUERY_ROWS, RERANK = 4096, 512, 200
+BLOCK_ROWS, QUERY_BLOCK, QUERY_ROWS, RERANK = 4096, 8192, 512, 200
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -129,18 +131,24 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = 0.6, rerank
     n_probe = min(len(index.coarse), max(1, round(len(index.coarse) * probe), enough))
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             x = _matrix(b.column(1), dim)
             p = index.probes_of(x, n_probe)
             ids = np.repeat(b.column(0).to_numpy(), p.shape[1])
+            asks = np.repeat(np.arange(row, row + len(x)), p.shape[1])
+            row += len(x)
             raw = [v.tobytes() for v in x.astype("<f8")]
-            yield pa.RecordBatch.from_arrays([pa.array(p.ravel(), pa.int64()), pa.array(ids), pa.array([r for r in raw for _ in range(p.shape[1])], pa.binary())], names=["list", "query_id", "query"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.ravel(), pa.int64()), pa.array(asks), pa.array(ids), pa.array([r for r in raw for _ in range(p.shape[1])], pa.binary())], names=["list", "ask", "query_id", "query"])
 
-    asked = vectors.filter(is_query).mapInArrow(common.tidy(probing), "list long, query_id long, query binary")
-    # both sides in blocks: a list's rows by id, and its queries, each block of queries with each block of rows
-    many = many.select("list", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"))
-    rows = lists.join(common.few(many), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))).drop("blocks")
-    asked = asked.join(common.few(many), "list").select("list", "query_id", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    asked = vectors.filter(is_query).mapInArrow(common.tidy(probing), "list long, ask long, query_id long, query binary")
+    # both sides in blocks: a list's rows by id, its queries by number, each block of queries with each block of rows
+    asking = common.materialise(asked.groupBy("list").count(), "asking")
+    cut = many.join(asking.withColumnRenamed("count", "asks"), "list").select("list", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks"), F.ceil(F.col("asks") / QUERY_BLOCK).alias("parts"))
+    cut = common.materialise(cut, "cuts")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = lists.join(common.few(cut), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))).select("list", "block", each("parts").alias("part"), "vec_id", "code", "vector")
+    asked = asked.join(common.few(cut), "list").withColumn("part", F.pmod(F.xxhash64("ask"), F.col("parts"))).select("list", each("blocks").alias("block"), "part", "ask", "query_id", "query")
 
     def scan(key, left: pa.Table, right: pa.Table) -> pa.Table:
         list_ = key[0].as_py()
@@ -149,7 +157,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = 0.6, rerank
         ids = ids[order]
         codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 1), np.uint8)
         x = np.frombuffer(b"".join(left["vector"].to_pylist()), "<f8").reshape(-1, dim)[order]
-        asking = right["query_id"].to_numpy()
+        asks, asking = right["ask"].to_numpy(), right["query_id"].to_numpy()
         q = np.frombuffer(b"".join(right["query"].to_pylist()), "<f8").reshape(-1, dim)
         out: list[tuple] = []
         for lo in range(0, len(asking) if len(ids) else 0, QUERY_ROWS):
@@ -167,10 +175,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = 0.6, rerank
                 best = best[ids[best] != query]
                 exact = np.sqrt(((x[best] - q[lo + i]) ** 2).sum(1))
                 top = np.lexsort((ids[best], exact))[:k]
-                out += [(int(query), int(ids[best[j]]), float(exact[j])) for j in top.tolist()]
-        c = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(c[0], pa.int64()), "vec_id": pa.array(c[1], pa.int64()), "score": pa.array(c[2], pa.float64())})
+                out += [(int(asks[lo + i]), int(query), int(ids[best[j]]), float(exact[j])) for j in top.tolist()]
+        c = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table({"ask": pa.array(c[0], pa.int64()), "query_id": pa.array(c[1], pa.int64()), "vec_id": pa.array(c[2], pa.int64()), "score": pa.array(c[3], pa.float64())})
 
-    found = rows.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = rows.groupBy("list", "block", "part").cogroup(asked.groupBy("list", "block", "part")).applyInArrow(scan, "ask long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("ask").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -202,6 +202,24 @@ def test_nearest(spark):
     assert ann.search(ann.usable(df.filter("false")), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_of_repeated_ids_and_many_queries(spark, monkeypatch):
+    """Two rows of one vec_id search apart; queries of a list in several blocks find what brute force finds."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6))
+    ids = [0, 0, *range(1, 199)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(ann.usable(df), F.col("vec_id") % 2 == 0, k=4, probe=1.0).collect())
+    wanted = Counter()
+    for q, v in zip(ids, x, strict=True):
+        if q % 2 == 0:
+            d = np.sqrt(((x - v) ** 2).sum(1))
+            best = [k for k in np.lexsort((ids, d)) if ids[k] != q][:4]
+            wanted.update((q, n + 1, ids[k], round(d[k], 9)) for n, k in enumerate(best))
+    assert got == wanted
+
+
 # ---- 4: URL filters --------------------------------------------------------------------------------------------------
 
 
