@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import forms
-from quarry.operators import documents, holdings
+from quarry.operators import documents, holdings, views
 from quarry.plans import reports
 from quarry.plans.queries import QUERIES, SQL, query
 from quarry.plans.source_queries import INDEX_ROW, INFORMATION_TABLE, INVESTMENT, NPORT, POSITION, xml
@@ -167,3 +167,31 @@ def sinks_read_back(spark: SparkSession, d: str) -> DataFrame:
         rows = rows.select(F.lit(sink).alias("sink"), "n", "total")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# ---- views, years and raw reports ------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, view, CASE p_partkey % 3 WHEN 0 THEN '**' || p_name || '** 1' WHEN 1 THEN '<b>' || p_name || '</b> 1' ELSE '[binary document: a.pdf]' END AS shown FROM part, (VALUES ('markdown'), ('embedding')) v(view)""")
+def documents_in_views(spark: SparkSession, d: str) -> DataFrame:
+    """HTML, text and binary documents as Markdown and as prose."""
+    p = table(spark, d, "part").selectExpr("p_partkey", "element_at(array('a.htm', 'a.txt', 'a.pdf'), CAST(p_partkey % 3 + 1 AS INT)) AS name", "concat('<b>', p_name, '</b> 1') AS content")
+    one = lambda kind, view: p.select("p_partkey", F.lit(kind).alias("view"), views.shown(F.col("name"), F.col("content"), view).alias("shown"))
+    return one("markdown", views.MarkdownView()).unionByName(one("embedding", views.EmbeddingView()))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)")
+def latest_year(spark: SparkSession, d: str) -> DataFrame:
+    """The newest year of a table kept by year."""
+    at = f"{shared_folder(spark)}/quarry/years-{uuid.uuid4().hex}"
+    sinks.write_by(table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")), at, "year")
+    return filings.latest_year(spark.read.parquet(at), least=1990).select("o_orderkey", "year")
+
+
+@query("SELECT 'k=' || coalesce(source, 'none') AS ticker_symbol, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+def raw_report_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in a folder of each source, read whole, with the folder they stand in."""
+    at = f"{shared_folder(spark)}/quarry/raw-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("k"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("k").write.partitionBy("k").text(at)
+    return filings.raw_reports(spark, at).groupBy("ticker_symbol").agg(F.sum(F.octet_length("raw_text")).cast("long").alias("n_bytes"))
