@@ -259,3 +259,35 @@ def test_headings_in_one_look_are_those_of_each_pattern():
     for _ in range(200):
         s = "\n".join(rng.choices(pieces, k=rng.randint(0, 40)))
         assert documents._headings(s) == [[m.start() for m in p.finditer(s)] for _, p in documents.HEADINGS]
+
+
+def test_table_functions_give_the_readers_rows(spark):
+    """On odd documents: malformed, empty and null ones, prefixes, lacking members, spaces, bad numbers, repeated rows, a null filing."""
+    from datetime import date
+
+    from quarry.functions import table_functions
+
+    item = "<infoTable><nameOfIssuer> A &amp; B </nameOfIssuer><cusip>1</cusip><value>{v}</value><shrsOrPrnAmt><sshPrnamt>{n}</sshPrnamt></shrsOrPrnAmt>{more}</infoTable>"
+    whole = lambda *items: "<informationTable>" + "".join(items) + "</informationTable>"
+    prefixed = '<n:informationTable xmlns:n="u"><n:infoTable><n:nameOfIssuer>P</n:nameOfIssuer><n:value>7</n:value></n:infoTable></n:informationTable>'
+    docs = [
+        (1, date(2020, 1, 1), whole(item.format(v="10", n="2", more="<putCall>Put</putCall>"), item.format(v="30.5", n="x", more=""))),
+        (2, None, whole(item.format(v="", n="1", more="<putCall> </putCall>"), item.format(v="zero", n="", more=""), "<infoTable></infoTable>")),
+        (3, date(2024, 1, 1), prefixed), (4, None, "<informationTable><infoTable>"), (5, None, ""), (6, None, None), (None, None, whole(item.format(v="1", n="1", more=""))), (7, None, whole()), (8, None, "text"),
+    ]
+    rows = spark.createDataFrame(docs, "filing long, filing_date date, content string")
+    columns = ["filing", "name", "cusip", "title_of_class", "value_usd", "shares", "put_call", "weight_pct"]
+    wanted = Counter(tuple(r) for r in filings.holdings_13f(rows, keep=["filing", "filing_date"]).select(columns).collect())
+    table_functions.register(spark)
+    rows.createOrReplaceTempView("odd_docs")
+    got = Counter(tuple(r) for r in spark.sql("SELECT * FROM positions_13f(TABLE(odd_docs) PARTITION BY filing)").select(columns).collect())
+    assert got == wanted and len(got) >= 6
+    owner = "<reportingOwner><reportingOwnerId><rptOwnerName>{n}</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>{d}</isDirector></reportingOwnerRelationship></reportingOwner>"
+    trade = "<nonDerivativeTransaction><transactionDate><value>{t}</value></transactionDate><transactionCoding><transactionCode>S</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>{n}</value></transactionShares><transactionPricePerShare><value>{p}</value></transactionPricePerShare></transactionAmounts></nonDerivativeTransaction>"
+    report = lambda o, *t: f"<ownershipDocument>{o}<nonDerivativeTable>{''.join(t)}</nonDerivativeTable></ownershipDocument>"
+    docs = [(1, report(owner.format(n="A", d="1") + owner.format(n="B", d="no"), trade.format(t="2024-02-30", n="1.123456789", p="0"), trade.format(t="2024-02-03", n="", p="2"))), (2, report("", trade.format(t="", n="5", p="x"))), (3, "<x"), (4, None), (5, report(owner.format(n=" C ", d="TRUE")))]
+    rows = spark.createDataFrame(docs, "filing long, content string")
+    read = filings.insider_transactions(rows)
+    rows.createOrReplaceTempView("odd_reports")
+    found = spark.sql("SELECT * FROM insider_transactions(TABLE(odd_reports) PARTITION BY filing)").select(read.columns)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, read.collect()))
