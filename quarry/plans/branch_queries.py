@@ -195,3 +195,55 @@ def raw_report_files(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("k"), F.coalesce("text", F.lit("")).alias("value"))
     docs.repartition("k").write.partitionBy("k").text(at)
     return filings.raw_reports(spark, at).groupBy("ticker_symbol").agg(F.sum(F.octet_length("raw_text")).cast("long").alias("n_bytes"))
+
+
+# ---- what is shown and pulled ----------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'C-' || c_custkey AS symbol, c_custkey AS cik, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'Does ' || c_mktsegment END AS description, CASE WHEN c_custkey % 7 <> 0 THEN CAST(1000 + c_nationkey AS VARCHAR) ELSE 'n/a' END AS sic,
+CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE c_mktsegment END AS sector, CASE WHEN c_custkey % 4 = 0 THEN 'n/a' ELSE 'DE' END AS state, CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE 'NYSE, Nasdaq' END AS exchanges, CASE WHEN c_custkey % 6 = 0 THEN 'n/a' ELSE 'Sep 30' END AS fiscal_year_end
+FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 9 <> 0""")
+def company_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of companies asked for by symbol; some symbols aren't listed, some companies have no profile."""
+    c = table(spark, d, "customer")
+    asked = c.selectExpr("concat(' c.', c_custkey) AS symbol")
+    listed = c.filter("c_custkey % 10 != 0").selectExpr("concat('C-', c_custkey) AS symbol", "c_custkey AS cik")
+    profiles = c.filter("c_custkey % 9 != 0").selectExpr("c_custkey AS cik", "c_name AS name", "IF(c_custkey % 7 = 0, NULL, CAST(1000 + c_nationkey AS INT)) AS sic", "IF(c_custkey % 5 = 0, NULL, c_mktsegment) AS sector", "IF(c_custkey % 4 = 0, '', 'DE') AS state", "IF(c_custkey % 3 = 0, array(), array('NYSE', 'Nasdaq')) AS exchanges", "IF(c_custkey % 6 = 0, NULL, DATE '2000-09-30') AS fiscal_year_end_date")
+    descriptions = c.filter("c_custkey % 3 = 0").selectExpr("c_custkey AS cik", "concat('Does ', c_mktsegment) AS description")
+    return reports.company_cards(asked, listed, profiles, descriptions)
+
+
+_SHOWN = "CASE o_orderkey % 8 WHEN 0 THEN 'NPORT-P' WHEN 1 THEN '10-K' WHEN 2 THEN '4' ELSE '8-K' END"
+_NUMBER = "lpad(CAST(o_custkey AS {s}), 10, '0') || '-24-' || lpad(CAST(o_orderkey % 1000000 AS {s}), 6, '0')"
+
+
+@query(f"""WITH r AS (SELECT o_custkey AS cik, {_NUMBER.format(s="VARCHAR")} AS accession_number, {_SHOWN} AS form, CAST(o_orderdate AS DATE) AS filing_date FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number) AS place FROM r),
+k AS (SELECT *, min(CASE WHEN form = 'NPORT-P' THEN place END) OVER (PARTITION BY cik) AS a, min(CASE WHEN form = '10-K' THEN place END) OVER (PARTITION BY cik) AS u FROM p)
+SELECT cik, accession_number, form, filing_date, CAST(place AS INTEGER) AS place, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accession_number, '-', '') AS url FROM k WHERE CASE WHEN a IS NOT NULL THEN place = a ELSE place <= coalesce(u, 1000000) END""")
+def newest_or_history(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("o_custkey AS cik", f"{_NUMBER.format(s='STRING')} AS accession_number", f"{_SHOWN} AS form", "CAST(o_orderdate AS DATE) AS filing_date")
+    return reports.newest_or_history(rows)
+
+
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, CAST(k AS INTEGER) AS index FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS k FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem)) WHERE k <= 510""")
+def largest_investments(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("pct_val")).distinct().withColumn("place", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return reports.largest_investments(rows, ["l_suppkey"]).select("l_suppkey", "l_orderkey", "l_linenumber", "index")
+
+
+@query("""WITH c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'no company' WHEN s_suppkey % 4 = 0 THEN 'no report' WHEN s_suppkey % 5 = 0 OR s_suppkey NOT IN (SELECT l_suppkey FROM lineitem) THEN 'no investments' END AS error FROM supplier)
+SELECT 'F-' || s_suppkey AS symbol, error, CAST((SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND error IS NULL) AS BIGINT) AS n FROM c""")
+def fund_pull(spark: SparkSession, d: str) -> DataFrame:
+    """Investments of the newest report behind each fund's symbol, written by letter and read back; or what went wrong."""
+    s = table(spark, d, "supplier")
+    listed = s.filter("s_suppkey % 7 != 0").selectExpr("concat('F-', s_suppkey) AS symbol", "s_suppkey AS cik")
+    dates = s.selectExpr("s_suppkey", "explode(array(DATE '2023-01-01', DATE '2024-01-01')) AS filing_date")
+    submissions = dates.selectExpr("s_suppkey AS cik", "concat('a', s_suppkey, '-', year(filing_date)) AS accession_number", "IF(s_suppkey % 4 = 0, '10-K', 'NPORT-P') AS form", "filing_date", "'primary_doc.xml' AS primary_document")
+    docs = xml(table(spark, d, "lineitem").filter("l_suppkey % 5 != 0"), "l_suppkey", INVESTMENT, *NPORT)
+    contents = docs.selectExpr("concat('a', l_suppkey, '-2024') AS accession_number", "'primary_doc.xml' AS name", "content")
+    rows, errors = reports.fund_pull(s.selectExpr("concat('f.', s_suppkey, ' ') AS class_ticker"), listed, submissions, contents)
+    at = f"{shared_folder(spark)}/quarry/pull-{uuid.uuid4().hex}"
+    sinks.write_by_letter(rows, at, "symbol")
+    found = spark.read.parquet(at).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("symbol", F.lit(None).cast("string").alias("error"), "n").unionByName(errors.withColumn("n", F.lit(0).cast("long")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, forms, text, urls
@@ -139,6 +139,55 @@ def fund_holdings(submissions: DataFrame, contents: DataFrame, listed: DataFrame
     return entities.with_tickers(rows, listed)
 
 
+def company_cards(asked: DataFrame, listed: DataFrame, profiles: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """What is shown of each symbol asked for that is listed and has a profile; what isn't known is n/a, a description null.
+
+    asked: symbol; listed: symbol, cik; profiles as of sources.filings.company_profiles(); descriptions: cik, description.
+    """
+    known = entities.looked_up(asked.select(text.ticker_symbol(F.col("symbol")).alias("symbol")).distinct(), [listed], "symbol", "cik", "cik").filter("cik is not null")
+    one = history.first_rows(profiles, ["cik"], [F.asc_nulls_last("name")])
+    rows = known.join(one, "cik").join(descriptions.groupBy("cik").agg(F.max("description").alias("description")), "cik", "left")
+    shown = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("n/a"))
+    exchanges = F.array_join("exchanges", ", ").alias("exchanges")
+    year_end = F.date_format("fiscal_year_end_date", "MMM d")
+    plain = [shown(F.col(c)).alias(c) for c in ("sic", "sector", "state")]
+    return rows.select("symbol", "cik", "name", "description", *plain, shown(exchanges).alias("exchanges"), shown(year_end).alias("fiscal_year_end"))
+
+
+def newest_or_history(submissions: DataFrame, form: str = "NPORT-P", until: str = "10-K") -> DataFrame:
+    """The newest filing of a form by each company, with its address; of a company without one, all newer than its newest of the form
+    until, and that one. submissions: cik, accession_number, form, filing_date; ties by accession number."""
+    order = Window.partitionBy("cik").orderBy(F.desc_nulls_last("filing_date"), "accession_number")
+    every = Window.partitionBy("cik")
+    place = lambda f: F.min(F.when(F.col("form") == f, F.col("place"))).over(every)
+    rows = submissions.withColumn("place", F.row_number().over(order)).withColumns({"_at": place(form), "_until": place(until)})
+    kept = F.when(F.col("_at").isNotNull(), F.col("place") == F.col("_at")).otherwise(F.col("place") <= F.coalesce("_until", F.lit(1 << 30)))
+    return rows.filter(kept).drop("_at", "_until").withColumn("url", urls.folder(F.col("cik"), F.col("accession_number")))
+
+
+def largest_investments(rows: DataFrame, filing: list[str], n: int = 510) -> DataFrame:
+    """The n investments of the largest share in each fund report, numbered from 1; ties by place."""
+    order = Window.partitionBy(*filing).orderBy(F.desc_nulls_last("pct_val"), "place")
+    return rows.withColumn("index", F.row_number().over(order)).filter(F.col("index") <= n)
+
+
+def fund_pull(series: DataFrame, listed: DataFrame, submissions: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each fund class with a symbol (series: class_ticker), the investments of its company's newest report; and what went wrong.
+
+    listed: symbol, cik. The second table has symbol, error: no company, no report, or no investments in it.
+    """
+    asked = series.select(text.ticker_symbol(F.col("class_ticker")).alias("symbol")).filter("symbol != ''").distinct()
+    known = entities.looked_up(asked, [listed], "symbol", "cik", "cik")
+    newest = history.first_rows(history.family(submissions, "fund_holdings"), ["cik"], [F.desc_nulls_last("filing_date"), F.asc("accession_number")])
+    parts = submissions.sparkSession.createDataFrame([], "accession_number string, type string, name string, place int")
+    rows = located(newest.join(known.select("cik").distinct(), "cik", "left_semi"), parts, contents, "fund_holdings", filings.holdings_nport)
+    found = known.join(rows, "cik")
+    has = lambda df, name: df.select(F.col("cik").alias(f"_{name}")).distinct()
+    seen = known.join(has(newest, "report"), F.col("cik") == F.col("_report"), "left").join(has(rows, "rows"), F.col("cik") == F.col("_rows"), "left")
+    error = F.when(F.col("cik").isNull(), "no company").when(F.col("_report").isNull(), "no report").when(F.col("_rows").isNull(), "no investments")
+    return found, seen.select("symbol", error.alias("error")).filter("error is not null")
+
+
 def with_index_pages(submissions: DataFrame, pages: DataFrame) -> DataFrame:
     """submissions with the address of their index page, and the documents that it lists (pages: url, content)."""
     asked = submissions.withColumn("index_url", urls.index_page(F.col("cik"), F.col("accession_number")))
