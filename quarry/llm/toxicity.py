@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,19 +52,88 @@ def lexical(word: str) -> list[str]:
     return [f"w:{word}", *[f"{k}:{word[:k]}" for k in range(4, 8) if len(word) >= k]] if word else []
 
 
-def features(word: str) -> list[int]:
-    names = [*lexical(word), f"l:{min(len(word), 14)}", *[f"s:{word[-k:]}" for k in (3, 4) if len(word) >= k], *[f"p{k}:{word[:k]}:{len(word) > k}" for k in (5, 7) if len(word) >= k]]
-    return [0, *[1 + xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % (FEATURES - 1) for x in names]]
+#: Kinds of chain features: the word, its length, prefixes and suffixes of so many characters, prefixes with whether more follows.
+PREFIXES, SUFFIXES, OPEN_PREFIXES = (4, 5, 6, 7), (3, 4), (5, 7)
+WIDTH = 3 + len(PREFIXES) + len(SUFFIXES) + len(OPEN_PREFIXES)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def features_of(words: list[str]) -> np.ndarray:
+    """Numbers of the chain features of each word, a row of WIDTH, -1 where it has none; of all words at once.
+
+    Texts of features are hashed as polynomials of their characters, modulo 2^64.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full((len(words), WIDTH), -1, np.int64)
+    if not len(words):
+        return out
+
+    def named(hashes: np.ndarray, kind: int) -> np.ndarray:
+        h = (hashes ^ np.uint64(kind)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return 1 + ((h ^ (h >> np.uint64(29))) % np.uint64(FEATURES - 1)).astype(np.int64)
+
+    out[:, 0] = 0
+    out[:, 1] = named(np.minimum(n, 14).astype(np.uint64), 1)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    begins = (np.cumsum(n) - n)[some]
+    lengths = n[some]
+    powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE))
+    at = np.arange(len(points)) - np.repeat(begins, lengths)
+    parts = points * powers[at]
+    whole = np.add.reduceat(parts, begins)
+    out[some, 2] = named(whole, 2)
+    column, prefix = 3, {}
+    h = np.zeros(len(some), np.uint64)
+    for k in range(1, 1 + max(PREFIXES)):
+        there = lengths >= k
+        h = np.where(there, h + parts[np.where(there, begins + k - 1, 0)], h)
+        prefix[k] = h
+    for k in PREFIXES:
+        out[some[lengths >= k], column] = named(prefix[k], 16 + k)[lengths >= k]
+        column += 1
+    for k in SUFFIXES:
+        there = lengths >= k
+        ends = (begins + lengths)[there]
+        out[some[there], column] = named(sum(points[ends - k + i] * powers[i] for i in range(k)), 32 + k)
+        column += 1
+    for k in OPEN_PREFIXES:
+        there = lengths >= k
+        out[some[there], column] = named(prefix[k] + (lengths > k).astype(np.uint64) * np.uint64(64), 48 + k)[there]
+        column += 1
+    return out
 
 
 class Emissions:
-    """Scores of tokens for the toxic state, remembered in bounded memory."""
+    """Scores of tokens for the toxic state, remembered in bounded memory: the most recent ones, REMEMBERED to twice as many."""
 
     def __init__(self, weights: np.ndarray):
-        self.known = common.Remembered(lambda t: float(weights[features(bare(t))].sum()), REMEMBERED)
+        self.weights = np.append(weights, 0.0)  # -1 stands for no feature
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
 
     def __call__(self, tokens: list[str]) -> np.ndarray:
-        return self.known(tokens, np.float64)
+        young = self.young
+        try:
+            return np.fromiter(map(young.__getitem__, tokens), np.float64, len(tokens))
+        except KeyError:
+            pass
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {}
+            young = self.young
+        missing, old = set(tokens).difference(young), self.old
+        new = []
+        for t in missing:
+            known = old.get(t)
+            if known is None:
+                new.append(t)
+            else:
+                young[t] = known
+        young.update(zip(new, self.weights[features_of([bare(t) for t in new])].sum(1).tolist(), strict=True))
+        return np.fromiter(map(young.__getitem__, tokens), np.float64, len(tokens))
 
 
 def marginals(emissions: list[np.ndarray], steps: np.ndarray) -> list[np.ndarray]:
@@ -155,7 +225,7 @@ def marginals_of(flat: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np
 
 
 class Words:
-    """The distinct words of texts by number, with hashes of their lexical features and numbers of their chain features.
+    """The distinct words of texts by number, with hashes of their lexical features.
 
     Everything is in flat arrays, so that the driver's memory stays small.
     """
@@ -164,18 +234,15 @@ class Words:
         self.of_token: dict[str, int] = {}
         self.of_word: dict[str, int] = {}
         self.hashes, self.hash_counts = array("Q"), array("i")
-        self.features, self.feature_counts = array("i"), array("i")
 
     def number(self, token: str) -> int:
         word = bare(token)
         k = self.of_word.get(word)
         if k is None:
             k = self.of_word[word] = len(self.of_word)
-            h, f = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lexical(word)], features(word)
+            h = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lexical(word)]
             self.hashes.extend(h)
             self.hash_counts.append(len(h))
-            self.features.extend(f)
-            self.feature_counts.append(len(f))
         self.of_token[token] = k
         return k
 
@@ -226,8 +293,10 @@ def learn_chain(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndar
         live[: len(r), i] = True
         state[: len(r), i] = hot[r] if y else 0
     n_words = len(names.of_word)
-    of_word = np.repeat(np.arange(n_words), np.frombuffer(names.feature_counts, np.int32))
-    of_feature = np.frombuffer(names.features, np.int32)
+    found = features_of(list(names.of_word))  # words in the order of their numbers
+    of_word, column = np.nonzero(found >= 0)
+    of_feature = found[of_word, column].astype(np.int32)
+    del found, column
     both = live[1:] & live[:-1]
     seen = np.bincount((state[:-1] * 2 + state[1:])[both], minlength=4).astype(float)
     seen_words = np.bincount(words[state == 1], minlength=n_words).astype(float)
@@ -380,9 +449,9 @@ def _udf(docs: DataFrame, model: Model, with_spans: bool):
     weights, steps, doc_score = model.weights.tobytes(), model.steps, model.score
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
-    def of(texts: list[str | None], es: list[np.ndarray]) -> tuple[np.ndarray, list]:
-        lengths = np.fromiter(map(len, es), np.int64, len(es))
-        p = marginals_of(np.concatenate(es), lengths, steps)
+    def of(texts: list[str | None], tokens: list[list[str]], emit: Emissions) -> tuple[np.ndarray, list]:
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        p = marginals_of(emit(list(chain.from_iterable(tokens))), lengths, steps)
         scores = Model(np.zeros(1), steps, doc_score).scores(summaries(p, lengths))
         spans = []
         if with_spans:
@@ -393,17 +462,17 @@ def _udf(docs: DataFrame, model: Model, with_spans: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         emit = _emissions(weights)
         for b in batches:
-            scores, spans, texts, es, tokens = [np.zeros(0)], [], [], [], 0
+            scores, spans, texts, tokens, held = [np.zeros(0)], [], [], [], 0
             for i, value in enumerate(b, 1):
                 t = value.as_py()
-                es.append(emit(t.split()) if t else np.zeros(0))
+                tokens.append(t.split() if t else [])
                 texts.append(t if with_spans else None)
-                tokens += len(es[-1])
-                if tokens >= GROUP_TOKENS or i == len(b):
-                    x, y = of(texts, es)
+                held += len(tokens[-1])
+                if held >= GROUP_TOKENS or i == len(b):
+                    x, y = of(texts, tokens, emit)
                     scores.append(x)
                     spans += y
-                    texts, es, tokens = [], [], 0
+                    texts, tokens, held = [], [], 0
             value = pa.array(np.concatenate(scores))
             yield pa.StructArray.from_arrays([value, pa.array(spans, span)], names=["score", "spans"]) if with_spans else value
         common.give_back()
