@@ -121,8 +121,7 @@ def taken(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     """
     shares, total = _plan(sizes, weights, cap)
     reach = chosen(shares, total, SLOT).groupBy("at").agg((F.count(F.lit(1)) * SLOT).alias("reach"))
-    # a row for each source
-    docs = shuffled(sizes, shares, seed).join(F.broadcast(common.materialise(reach, "mix-reach")), "at", "left")
+    docs = shuffled(sizes, shares, seed).join(common.few(common.materialise(reach, "mix-reach")), "at", "left")
     left = F.least(F.coalesce("reach", F.lit(0)), F.ceil("target")) - F.col("begin")
     got = sum((F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("source_size") * turn)) for turn in range(cap)), F.lit(0))
     empty = sizes.filter("size = 0").alias("d").join(shares.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", F.lit(0).cast("long").alias("taken"))
