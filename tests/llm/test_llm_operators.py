@@ -184,6 +184,13 @@ def test_one_row_of_each_group(spark, sf_dir):
     assert corpus_pipeline.without_near_duplicates(spark, docs(spark), sf_dir).count() == 0
 
 
+def test_links_of_very_large_sets_are_counted_in_whole_numbers():
+    """180,027 n-grams of 200,030 are exactly 90 in 100; 190 times the count is no 32-bit float."""
+    whole = np.arange(1, 200_031, dtype=np.uint64)
+    rows = [(1, whole, 0), (2, whole[:180_027], 0), (3, whole[:1000] + np.uint64(10**9), 0), (4, whole[:1000] + np.uint64(10**10), 0)]
+    assert ngram_jaccard._linked(rows, 0, 0, ngram_jaccard.Bound(90, 100)) == [(1, 2)]
+
+
 # ---- 3: nearest neighbours -------------------------------------------------------------------------------------------
 
 
