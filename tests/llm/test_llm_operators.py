@@ -227,6 +227,38 @@ def test_nearest_of_repeated_ids_and_many_queries(spark, monkeypatch):
     assert got == wanted
 
 
+@pytest.mark.parametrize("kind", ["few", "apart", "large"])
+def test_nearest_finds_the_nearest_whatever_the_rows(spark, kind):
+    """As set up, without a share of lists: rows that hardly cluster, clusters of many scales, float32's largest numbers and an offset."""
+    rng = np.random.default_rng(8)
+    if kind == "few":
+        x = rng.normal(size=(401, 48))
+    elif kind == "apart":
+        x = np.concatenate([rng.normal(size=(1, 24)) * 50 + rng.normal(size=(300, 24)) * s for s in (1e-6, 1e-3, 1, 1, 30)])
+    else:
+        x = np.concatenate([1e6 + rng.normal(size=(700, 16)), rng.normal(size=(300, 16)) * 1e37])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(ann.usable(df), F.col("vec_id") % 20 == 0).collect()}
+    for q in range(0, len(x), 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [int(j) for j in np.lexsort((np.arange(len(x)), d)) if j != q][:10]
+        assert [got[q, n + 1] for n in range(10)] == [(j, pytest.approx(d[j], rel=1e-12)) for j in best]
+
+
+def test_nearest_of_more_vectors_than_the_sample(spark):
+    """The lists to visit are set by how many the queries' nearest of the sample are spread over."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 40))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(ann.usable(df), F.col("vec_id") % 20 == 0, sample=700).collect()}
+    hits = 0
+    for q in range(0, len(x), 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        hits += sum((q, int(j)) in got for j in np.argsort(d, kind="stable")[1:11])
+    assert hits >= 0.95 * 750
+
+
 # ---- 4: URL filters --------------------------------------------------------------------------------------------------
 
 
