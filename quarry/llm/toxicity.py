@@ -81,7 +81,7 @@ def features_of(words: list[str]) -> np.ndarray:
         return out
     begins = (np.cumsum(n) - n)[some]
     lengths = n[some]
-    powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE))
+    powers = np.multiply.accumulate(np.full(max(int(lengths.max()), *SUFFIXES), _BASE))
     at = np.arange(len(points)) - np.repeat(begins, lengths)
     parts = points * powers[at]
     whole = np.add.reduceat(parts, begins)

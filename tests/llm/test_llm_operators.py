@@ -327,6 +327,13 @@ def test_stages_keep_columns_of_any_name(spark):
         assert stage(rows.filter("false")).count() == 0
 
 
+def test_chain_features_of_short_words_alone():
+    """Words shorter than every suffix have the features that they have among longer ones."""
+    among = toxicity.features_of(["ab", "c", "", "longer"])
+    for k, word in enumerate(["ab", "c", ""]):
+        assert (toxicity.features_of([word]) == among[k]).all()
+
+
 def test_bloom_passes_all_listed_and_few_others(spark):
     keys = spark.range(2000).select(F.concat(F.lit("h/"), "id").alias("k"))
     asked = spark.range(1000, 41000).select(F.concat(F.lit("h/"), "id").alias("k"))
