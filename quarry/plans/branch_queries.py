@@ -130,8 +130,8 @@ def filings_with_index_pages(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cik"), accession.alias("accession_number"))
     pages = xml(table(spark, d, "lineitem").filter("l_orderkey % 6 != 0").withColumn("filing", F.col("l_orderkey")), "filing", INDEX_ROW, "<html><TABLE>", "</TABLE></html>")
     url = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), "cik", F.lit("/"), F.replace("accession_number", F.lit("-")), F.lit("/"), "accession_number", F.lit("-index.htm"))
-    pages = pages.join(o, F.col("filing") == F.col("o_orderkey")).select(url.alias("url"), "content")
-    found = reports.with_index_pages(o, pages)
+    pages = pages.join(o, F.col("filing") == F.col("o_orderkey")).select(url.alias("url"), "o_orderkey", "content")
+    found = reports.with_index_pages(o, pages, ("o_orderkey",))
     name = F.transform(F.array_sort(F.transform(F.coalesce("documents", F.array().cast("array<struct<place:int,name:string,type:string>>")), lambda x: F.struct(x["name"].alias("n"), x["type"].alias("t")))), lambda x: F.concat(x["n"], F.lit(":"), x["t"]))
     return found.select("o_orderkey", "index_url", F.array_join(name, ";").alias("documents"))
 
