@@ -46,20 +46,21 @@ def numbered(rows: DataFrame, entity: list[str], order: list[Column], out: str =
     return rows.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
 
 
-def wide_facts(facts: DataFrame, names: list[str]) -> DataFrame:
+def wide_facts(facts: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Facts (cik, fact_name, value, unit, fy, fp, end, filed, form, accn) to a row for each (cik, fy, fp).
 
-    Metadata comes first: canonical_order, fy, fp, period_end, filed, form, is_amendment, accn; then names as value::unit.
+    Metadata comes first: canonical_order, fy, fp, period_end, filed, form, is_amendment, accn; then names as value::unit, and the
+    columns keep of the row that metadata is of, whose greatest breaks ties.
     """
     f = usable_facts(with_fiscal_year(facts)).withColumn("fp", text.period_label(F.col("fp")))
     f = f.withColumn("value", text.value_unit(F.col("value"), F.col("unit")))
-    order = ["filed", "end", "accn", "unit", "value"]
+    order = ["filed", "end", "accn", "unit", "value", *keep]
     keys = ["cik", "fy", "fp"]
-    out = latest_values(f, keys, "fact_name", "value", names, order, ["end", "filed", "form", "accn"])
+    out = latest_values(f, keys, "fact_name", "value", names, order, ["end", "filed", "form", "accn", *keep])
     out = out.withColumn("is_amendment", text.is_amendment(F.col("form"))).withColumn("form", text.base_form(F.col("form")))
     out = numbered(out, ["cik"], [F.desc("fy"), F.desc(dates.period_rank(F.col("fp"))), F.col("fp")])
     first = ["cik", "canonical_order", "fy", "fp", F.col("end").alias("period_end"), "filed", "form", "is_amendment", "accn"]
-    return out.select(*first, *names)
+    return out.select(*first, *names, *keep)
 
 
 def with_urls(rows: DataFrame, documents: DataFrame, key: str, url: str, fallback: Column) -> DataFrame:

@@ -2,9 +2,11 @@ import datetime
 import http.server
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quarry.functions import forms
 from quarry.operators import views
 from quarry.plans import reports
@@ -124,3 +126,20 @@ def test_live_pulls_retry(spark):
     got = {r.url.rsplit("/", 1)[1]: (r.status, r.content) for r in live.fetched(urls, s).collect()}
     server.shutdown()
     assert got == {"a": (200, s.user_agent()), "flaky": (200, s.user_agent()), "gone": (404, None)} and asked.count("/a") == 1 and asked.count("/flaky") == 2
+
+
+@pytest.mark.parametrize("name", ["entity_filings", "filings_with_index_pages", "report_fundamentals", "audit_rest"])
+def test_filings_with_equal_accession_numbers_stay_apart(spark, sf_dir, tmp_path, name):
+    """Orders a million apart give a customer's filings one number; rows are still those of the SQL."""
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "customer"):
+        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(t)
+        rows = f"SELECT * FROM '{sf_dir}/{t}.parquet'"
+        if key:
+            rows += f" UNION ALL SELECT * REPLACE ({key} + 1000000 AS {key}) FROM '{sf_dir}/{t}.parquet' WHERE {key} % 4 < 3"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, wanted))
