@@ -12,7 +12,7 @@ from quarry.operators import documents, holdings, views
 from quarry.plans import reports
 from quarry.plans.queries import QUERIES, SQL, query
 from quarry.plans.source_queries import INDEX_ROW, INFORMATION_TABLE, INVESTMENT, NPORT, POSITION, xml
-from quarry.session import shared_folder, table
+from quarry.session import shared_folder, spread, table
 from quarry.sources import filings, sinks
 
 # ---- documents -------------------------------------------------------------------------------------------------------
@@ -25,16 +25,16 @@ _HTML = """concat('<html><head><title>t</title></head><body><ix:header>ITEM 1. H
 @query("""SELECT p_partkey, 'item_1' AS section, CAST(318 + p_size * 10 AS BIGINT) AS n FROM part WHERE 318 + p_size * 10 >= 400 UNION ALL SELECT p_partkey, 'item_7', 1920 + p_size * 20 FROM part UNION ALL SELECT p_partkey, 'item_8', 620 FROM part""")
 def html_reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports in HTML with a contents page, hidden blocks, spaced headings and page numbers."""
-    found = table(spark, d, "part").select("p_partkey", documents.to_sections(F.expr(_HTML)).alias("s"))
-    return found.select("p_partkey", F.explode("s").alias("section", "text")).select("p_partkey", "section", F.octet_length("text").cast("long").alias("n"))
+    found = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", documents.to_sections(F.expr(_HTML)).alias("s"))
+    return documents.each_section(found, "s", "p_partkey").select("p_partkey", "section", F.octet_length("text").cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, 'item_7' AS section, CAST(39 + 1900 + p_size * 10 AS BIGINT) AS n FROM part WHERE 39 + 1900 + p_size * 10 >= 2000")
 def discussions_by_title(spark: SparkSession, d: str) -> DataFrame:
     """Reports without items: the discussion is the longest stretch behind its title."""
     report = """concat('Annual report\\n', "MANAGEMENT'S DISCUSSION AND ANALYSIS\\n", repeat('w', 1000), '\\nQUANTITATIVE AND QUALITATIVE\\n', 'MANAGEMENT’S DISCUSSION AND ANALYSIS\\n', repeat('y', CAST(1900 + p_size * 10 AS INT)), '\\n\\nCONSOLIDATED BALANCE SHEETS\\nx')"""
-    found = table(spark, d, "part").select("p_partkey", documents.to_sections(F.expr(report)).alias("s"))
-    return found.select("p_partkey", F.explode("s").alias("section", "text")).select("p_partkey", "section", F.octet_length("text").cast("long").alias("n"))
+    found = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", documents.to_sections(F.expr(report)).alias("s"))
+    return documents.each_section(found, "s", "p_partkey").select("p_partkey", "section", F.octet_length("text").cast("long").alias("n"))
 
 
 _UNIT = "concat('We sell ', p_name, ' to homes, offices and schools of every size in the land.')"
@@ -44,7 +44,7 @@ _UNIT = "concat('We sell ', p_name, ' to homes, offices and schools of every siz
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN unit ELSE rtrim(repeat(unit || ' ', CAST(800 // (length(unit) + 1) AS INTEGER))) END AS description FROM u""")
 def report_descriptions(spark: SparkSession, d: str) -> DataFrame:
     """What reports say of the business: nothing, a sentence, or more than is kept."""
-    p = table(spark, d, "part").withColumn("unit", F.expr(_UNIT))
+    p = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").withColumn("unit", F.expr(_UNIT))
     said = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'too short' WHEN 1 THEN unit ELSE repeat(concat(unit, ' '), 15) END")
     report = F.concat(F.lit("<p>Item 1. Business</p><p>Item 1A. Risks</p><h2>Item&nbsp;1. Business</h2><p>Overview</p><p>"), said, F.lit("</p><p>Item 1A. Risks</p><p>many</p>"))
     return p.select("p_partkey", documents.to_description(report).alias("description"))
@@ -175,7 +175,7 @@ def sinks_read_back(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey, view, CASE p_partkey % 3 WHEN 0 THEN '**' || p_name || '** 1' WHEN 1 THEN '<b>' || p_name || '</b> 1' ELSE '[binary document: a.pdf]' END AS shown FROM part, (VALUES ('markdown'), ('embedding')) v(view)""")
 def documents_in_views(spark: SparkSession, d: str) -> DataFrame:
     """HTML, text and binary documents as Markdown and as prose."""
-    p = table(spark, d, "part").selectExpr("p_partkey", "element_at(array('a.htm', 'a.txt', 'a.pdf'), CAST(p_partkey % 3 + 1 AS INT)) AS name", "concat('<b>', p_name, '</b> 1') AS content")
+    p = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").selectExpr("p_partkey", "element_at(array('a.htm', 'a.txt', 'a.pdf'), CAST(p_partkey % 3 + 1 AS INT)) AS name", "concat('<b>', p_name, '</b> 1') AS content")
     one = lambda kind, view: p.select("p_partkey", F.lit(kind).alias("view"), views.shown(F.col("name"), F.col("content"), view).alias("shown"))
     return one("markdown", views.MarkdownView()).unionByName(one("embedding", views.EmbeddingView()))
 

@@ -373,4 +373,4 @@ def render_embedding(spark: SparkSession, d: str) -> DataFrame:
 def report_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents as reports: the text as business and as discussion."""
     report = F.concat(F.lit("Item 1. Business\n"), "text", F.lit("\nItem 7. Discussion\n"), "text", F.lit("\nItem 8. Statements\n"), "text")
-    return table(spark, d, "documents").select("doc_id", F.explode(documents.to_sections(report)).alias("section", "text"))
+    return documents.each_section(table(spark, d, "documents").select("doc_id", documents.to_sections(report).alias("s")), "s", "doc_id")

@@ -143,3 +143,16 @@ def test_filings_with_equal_accession_numbers_stay_apart(spark, sf_dir, tmp_path
     columns = sorted(df.columns)
     wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, wanted))
+
+
+@pytest.mark.parametrize("name", ["html_reports", "discussions_by_title", "merged_reports", "report_sections"])
+def test_documents_are_parsed_once(spark, sf_dir, name):
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+
+
+def test_a_table_of_few_bytes_is_dealt_out(spark, sf_dir):
+    """Parsing takes far longer than reading: rows of one small file go to several tasks, in small Arrow batches."""
+    for name in ("html_reports", "rendered_pages", "audited_reports"):
+        assert entry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= 4
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
