@@ -27,7 +27,9 @@ def archive_of(events: DataFrame, path: str) -> None:
     entry = F.struct(F.col("ts"), F.col("event_id"), F.expr(ENTRY).alias("e"))
     pages = numbered.groupBy("form", "hour", "page").agg(F.unix_micros(F.max(at)).alias("newest"), F.unix_micros(F.min(at)).alias("oldest"), F.sort_array(F.collect_list(entry), asc=False).alias("e"))
     content = F.concat(F.lit(ATOM[0]), F.array_join(F.transform("e", lambda e: e["e"]), ""), F.lit(ATOM[1]))
-    pages.select("form", "newest", "oldest", content.alias("content")).write.mode("overwrite").parquet(path)
+    pages = pages.select("form", "newest", "oldest", content.alias("content"))
+    # in order of time, so that a walk reads the files of its own pages alone
+    pages.repartitionByRange("form", "newest").sortWithinPartitions("form", "newest").write.mode("overwrite").parquet(path)
 
 
 @query(f"""WITH e AS (SELECT *, {_FORMS} AS form, date_trunc('second', ts) AS tick FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0),

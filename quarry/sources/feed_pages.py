@@ -6,7 +6,7 @@
 A row is a page (form, page, since, until, content): its Atom text, and the marks between which its entries are new;
 quarry.streaming.feed.new_entries() parses pages into the entries after since, up to until. The offset is a mark for each
 form, the time of its newest entry, so a restart from a checkpoint goes on behind what was taken. Each form is a task of
-its own; of an archive, each SHARE pages are.
+its own; of an archive, each SHARE pages are, or more where that would be more than WALKS tasks, each of which reads the list.
 
 `at` is the address of a site, where a page is a request and a walk ends after `most` pages (25) as the site's own clients
 do, or the folder of an archive: Parquet of pages (form, newest, oldest, content; times in microseconds), read through pyarrow from any file
@@ -25,7 +25,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-PAGE, MOST, SHARE = 40, 25, 16
+PAGE, MOST, SHARE, WALKS = 40, 25, 16, 200
 SCHEMA = "form string, page int, since timestamp, until timestamp, content string"
 _UPDATED = re.compile(r"<updated>\s*([^<\s]+)\s*</updated>")
 
@@ -88,7 +88,8 @@ class Archive:
 
     def walks(self, form: str, since: str | None, until: str) -> list[Walk]:
         n = len(self._index(form, _time(since), ["newest", "oldest"]))
-        return [Walk(form, since, until, k, min(k + SHARE, n)) for k in range(0, n, SHARE)]
+        share = max(SHARE, -(-n // WALKS))
+        return [Walk(form, since, until, k, min(k + share, n)) for k in range(0, n, share)]
 
     def contents(self, walk: Walk) -> Iterator[str]:
         """Those of the walk's share; the list is short of texts until its share is known."""

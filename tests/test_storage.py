@@ -291,3 +291,17 @@ def test_table_functions_give_the_readers_rows(spark):
     rows.createOrReplaceTempView("odd_reports")
     found = spark.sql("SELECT * FROM insider_transactions(TABLE(odd_reports) PARTITION BY filing)").select(read.columns)
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, read.collect()))
+
+
+def test_an_archive_of_many_pages_has_a_bounded_number_of_walks(tmp_path):
+    """Each walk reads the list of pages, so their number doesn't grow with it; together they give every page once."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    n = 5003
+    times = [i * 1_000_000 for i in range(n)]
+    parquet.write_table(pa.table({"form": ["8-K"] * n, "newest": times, "oldest": times, "content": [str(i) for i in range(n)]}), tmp_path / "a.parquet")
+    archive = feed_pages.Archive(str(tmp_path))
+    walks = archive.walks("8-K", None, "")
+    assert len(walks) <= 200 and walks[-1].last == n
+    assert sorted(int(c) for w in walks for c in archive.contents(w)) == list(range(n))
