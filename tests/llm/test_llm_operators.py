@@ -1,8 +1,11 @@
 """Edge cases of the operators: nulls, empty and long texts, ties, repeats, empty tables, extra columns, hot groups."""
 
+import glob
 import io
 import json
 import math
+import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -752,3 +755,17 @@ def test_near_duplicates_behind_other_hubs(spark):
     assert {k: v for k, v in groups.items() if k < 2000} == {900: 900, 901: 900}
     alike = [2000 + i for i in range(40) if fingerprints.likeness(digits[-40:-39], digits[702 + i : 703 + i])[0] >= 0.8]
     assert len(alike) > 20 and {groups[k] for k in alike} == {2000} and len(found) <= 45
+
+
+def test_shuffle_files_go_with_the_table_they_made(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]
+    size = lambda: sum(os.path.getsize(f) for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data"))
+    rows = spark.range(300_000).select(F.rand(1).alias("x"), F.col("id")).repartition(4, "id")
+    before = size()
+    made = common.materialise(rows, "gone-shuffles")
+    for _ in range(50):  # they go in the background
+        if size() <= before:
+            break
+        time.sleep(0.1)
+    assert size() <= before and made.count() == 300_000 and spark.conf.get(common.CLEANUP) == "false"
