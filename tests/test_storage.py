@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.operators import entities, running
@@ -305,3 +306,44 @@ def test_an_archive_of_many_pages_has_a_bounded_number_of_walks(tmp_path):
     walks = archive.walks("8-K", None, "")
     assert len(walks) <= 200 and walks[-1].last == n
     assert sorted(int(c) for w in walks for c in archive.contents(w)) == list(range(n))
+
+
+class _Handle:
+    """State of one bucket, and how often it is written."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+    def listTimers(self):
+        return iter(set(self.timers))
+
+    registerTimer = lambda self, t: self.timers.add(t)
+    deleteTimer = lambda self, t: self.timers.discard(t)
+
+
+def test_state_is_written_once_a_bucket():
+    """Keys of a bucket share a table: a batch of many keys is one call and one write, and a timer lets go of all whose time is over."""
+    handle, once = _Handle(), feed._Once(["id", "at"])
+    once.init(handle)
+    batch = lambda ids, t: pd.DataFrame({"id": ids, "at": pd.Timestamp(t, unit="us"), "once_key": [str(i) for i in ids], "once_at": t})
+    first = pd.concat(once.handleInputRows((0,), iter([batch(list(range(3000)), 5_000), batch([1, 1, 3000], 7_000)]), None))
+    assert sorted(first["id"]) == list(range(3001)) and first["times"].isna().all() and handle.writes == 1 and handle.timers == {5}
+    assert list(once.handleInputRows((0,), iter([batch([2], 9_000)]), None)) == [] and handle.writes == 2
+
+    class At:
+        getCurrentWatermarkInMs = lambda self: 6
+
+    gone = pd.concat(once.handleExpiredTimer((0,), At(), None)).set_index("once_key")["times"]
+    assert len(gone) == 3000 and (gone["0"], gone["1"], gone["2"]) == (1, 3, 2) and handle.timers == {7}
