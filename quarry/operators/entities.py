@@ -38,10 +38,14 @@ def looked_up(asked: DataFrame, sources: list[DataFrame], key: str, value: str,
 
 
 def related(hits: DataFrame, group: str, member: str) -> DataFrame:
-    """entity, related: members of a common group, both ways. A group's members pair through one equi-join."""
+    """entity, related: members of a common group, both ways. A group's members pair through one equi-join.
+
+    Pairs meet as (less, greater) and are turned round once they are distinct, so half of them are shuffled.
+    """
     pairs = hits.select(group, member).filter(F.col(member).isNotNull()).distinct()
     other = pairs.select(F.col(group).alias("_g"), F.col(member).alias("related"))
-    return pairs.join(other, F.col(group) == F.col("_g")).filter(F.col(member) != F.col("related")).select(F.col(member).alias("entity"), "related").distinct()
+    one = pairs.join(other, (F.col(group) == F.col("_g")) & (F.col(member) < F.col("related"))).select(F.col(member).alias("entity"), "related").distinct()
+    return one.select(F.inline(F.array(F.struct("entity", "related"), F.struct(F.col("related").alias("entity"), F.col("entity").alias("related")))))
 
 
 def related_in_hits(hits: DataFrame, primary: Column, ciks: str = "ciks") -> DataFrame:

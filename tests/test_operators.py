@@ -126,3 +126,11 @@ def test_documents_of_filings(spark):
     assert {r.section for r in documents.merged_sections(docs, ["filing"]).collect()} == {"item_1", "item_7", "item_8"}
     out = documents.exhibits(docs, ["filing"]).first()
     assert [e["name"] for e in out["exhibits"]] == ["ex13.htm", "ex10.htm"] and out["exhibits"][1]["content"] == "deal" and out["body"] == "Item 1. none"
+
+
+def test_related_pairs_are_distinct_before_they_are_turned(spark):
+    hits = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (1, None), (2, "b"), (2, "a"), (None, "a"), (None, "z")], "g int, m string")
+    out = entities.related(hits, "g", "m")
+    assert sorted(map(tuple, out.collect())) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") < plan.index("Join")
