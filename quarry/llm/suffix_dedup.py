@@ -58,18 +58,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
+#: Words after which the texts read so far are taken at once: arrays of one short text cost more to make than to fill.
+MOST_WORDS = 50_000
+
+
 class Suffixes:
-    """The retained suffixes of a text: key (hash of K words), at, begin and n (stretches begin..begin+n-1 chose it), kind."""
+    """The retained suffixes of texts that follow each other: text (its number), key (hash of K words), at, begin and n (stretches
+    begin..begin+n-1 chose it), kind. counts: words of each text; at and begin are words of the suffix's own text."""
 
-    def __init__(self, words: list[bytes], length: int):
+    def __init__(self, counts: np.ndarray, words: list[bytes], length: int):
         n = len(words)
-        self.length, self.sums = length, None
+        self.length = length
         if n < length:
-            self.at = self.begin = self.n = self.key = self.kind = np.zeros(0, np.int64)
+            self.text = self.at = self.begin = self.n = self.key = self.kind = self.place = np.zeros(0, np.int64)
             return
-        up, down = _power(n + 1)
+        up, self.down = _power(n + 1)
         self.sums = np.concatenate([[np.uint64(0)], (common.word_hashes(words) * up[:n]).cumsum(dtype=np.uint64)])
-        self.down = down
         grams = self.hashes(np.arange(n - K + 1), K)
         order = (_mix(grams) >> POSITION_BITS << POSITION_BITS) | np.arange(len(grams), dtype=np.uint64)
         width, low, have = length - K + 1, order, 1
@@ -79,25 +83,54 @@ class Suffixes:
         if have < width:
             low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
         chosen = (low & np.uint64((1 << int(POSITION_BITS)) - 1)).astype(np.int64)
-        self.begin = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        self.n = np.diff(np.concatenate([self.begin, [len(chosen)]]))
-        self.at = chosen[self.begin]
-        self.key = _mix(grams[self.at]).view(np.int64)
-        reach = (self.sums[self.begin + self.n - 1 + length] - self.sums[self.begin]) * down[self.begin]
-        shape = ((self.at - self.begin) << 16 | self.n).astype(np.uint64)
+        ends = counts.cumsum()
+        text = np.repeat(np.arange(len(counts)), counts)[: len(chosen)]
+        inside = np.arange(len(chosen)) + length <= ends[text]  # other stretches reach from one text into the next
+        first = inside.copy()
+        first[1:] &= (chosen[1:] != chosen[:-1]) | ~inside[:-1]
+        self.place = np.flatnonzero(first)
+        self.n = np.diff(np.concatenate([np.flatnonzero(first[inside]), [np.count_nonzero(inside)]]))
+        self.text, at = text[self.place], chosen[self.place]
+        self.key = _mix(grams[at]).view(np.int64)
+        reach = (self.sums[self.place + self.n - 1 + length] - self.sums[self.place]) * self.down[self.place]
+        shape = ((at - self.place) << 16 | self.n).astype(np.uint64)
         self.kind = _mix(reach ^ _mix(shape)).view(np.int64)
+        before = (ends - counts)[self.text]
+        self.at, self.begin = at - before, self.place - before
 
     def hashes(self, begin: np.ndarray, length: int) -> np.ndarray:
         return (self.sums[begin + length] - self.sums[begin]) * self.down[begin]
 
-    def stretches(self, k: int) -> np.ndarray:
-        """Hashes of the stretches of suffix k, in order."""
-        return _mix(self.hashes(np.arange(self.begin[k], self.begin[k] + self.n[k]), self.length)).view(np.int64)
+    def stretches(self, chosen: np.ndarray) -> pa.ListArray:
+        """Hashes of the stretches of each of some suffixes, in order."""
+        n = self.n[chosen]
+        offsets = np.concatenate([[0], n.cumsum()])
+        begin = np.repeat(self.place[chosen] - offsets[:-1], n) + np.arange(offsets[-1])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_mix(self.hashes(begin, self.length)).view(np.int64)))
+
 
+def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, Suffixes]]:
+    """Of rows doc, row, text: the suffixes of some texts at once, and the doc and row of each suffix."""
 
-def _docs(b: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-        yield doc, row, common.words_of(text.as_py())
+    def taken() -> tuple[np.ndarray, np.ndarray, Suffixes]:
+        s = Suffixes(np.array(counts, np.int64), words, length)
+        return np.array(docs, np.int64)[s.text], np.array(rows, np.int64)[s.text], s
+
+    docs, rows, counts, words = [], [], [], []
+    for b in batches:
+        for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            own = common.words_of(text.as_py())
+            if len(own) < length:
+                continue
+            docs.append(doc)
+            rows.append(row)
+            counts.append(len(own))
+            words += own
+            if len(words) > MOST_WORDS:
+                yield taken()
+                docs, rows, counts, words = [], [], [], []
+    if words:
+        yield taken()
 
 
 FIELDS = "key long, kind long, count long, doc long, row long, at long, begin long, n long"
@@ -105,23 +138,22 @@ NAMES = ["key", "kind", "count", "doc", "row", "at", "begin", "n"]
 PLACED = [x for x in NAMES if x != "count"]
 
 
-def _retained(length: int, most: int = 200_000):
+#: Rows of numbers that go back to Spark at once.
+MOST_OUT = 20_000
+
+
+def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+    for at in range(0, whole.num_rows, MOST_OUT):
+        yield whole.slice(at, MOST_OUT)
+
+
+def _retained(length: int):
     """Suffixes of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for b in batches:
-            for doc, row, words in _docs(b):
-                s = Suffixes(words, length)
-                m = len(s.at)
-                if m:
-                    parts.append(np.stack([s.key, s.kind, np.full(m, doc, np.int64), np.full(m, row, np.int64), s.at, s.begin, s.n]))
-                    held += m
-                if held > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], names=PLACED)
-                    parts, held = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], names=PLACED)
+        for doc, row, s in _suffixes(batches, length):
+            yield from _sliced([s.key, s.kind, doc, row, s.at, s.begin, s.n], PLACED)
 
     return run
 
@@ -129,23 +161,23 @@ def _retained(length: int, most: int = 200_000):
 def _merged_classes(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """One row for each class among the suffixes of a stretch of rows, with their count and the first's place."""
 
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a = np.concatenate(parts, axis=1)
         a = a[:, np.lexsort((a[4], a[3], a[2], a[1], a[0]))]
         first = np.flatnonzero(np.concatenate([[True], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])]))
         count = np.diff(np.concatenate([first, [a.shape[1]]]))
         a = a[:, first]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[0], a[1], count, *a[2:])], names=NAMES)
+        return _sliced([a[0], a[1], count, *a[2:]], NAMES)
 
     parts, held = [], 0
     for b in batches:
         parts.append(np.stack([c.to_numpy() for c in b.columns]))
         held += b.num_rows
         if held > most:
-            yield out(parts)
+            yield from out(parts)
             parts, held = [], 0
     if held:
-        yield out(parts)
+        yield from out(parts)
 
 
 def _name(*columns: np.ndarray) -> np.ndarray:
@@ -205,60 +237,68 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _stretches(length: int, wanted):
-    """Of (doc, row, text): key, kind, doc, row, at and hashes (of its stretches, in order) for the suffixes that the filter passes."""
+def _stretches(length: int, documents, wanted):
+    """Of (doc, row, text): key, kind, doc, row, at and hashes (of its stretches, in order) for the suffixes that a filter passes,
+    in the documents that another passes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, hashes = [], []
-            for doc, row, words in _docs(b):
-                s = Suffixes(words, length)
-                m = len(s.at)
-                if not m:
-                    continue
-                places = np.stack([s.key, s.kind, np.full(m, doc, np.int64), np.full(m, row, np.int64), s.at])
-                chosen = np.flatnonzero(common.bloom_has(wanted.value, _name(*places)))
-                rows.append(places[:, chosen])
-                hashes += [s.stretches(k) for k in chosen.tolist()]
-            if hashes:
-                offsets = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
-                a = np.concatenate(rows, axis=1)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in a], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes)))], names=["key", "kind", "doc", "row", "at", "hashes"])
+            yield b.filter(pa.array(common.bloom_has(documents.value, _name(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, row, s in _suffixes(those(batches), length):
+            places = np.stack([s.key, s.kind, doc, row, s.at])
+            chosen = np.flatnonzero(common.bloom_has(wanted.value, _name(*places)))
+            if len(chosen):
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in places[:, chosen]], s.stretches(chosen)], names=["key", "kind", "doc", "row", "at", "hashes"])
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc, row, begin, end, later, sorted by doc, row and begin, to spans with their later parts."""
-    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    doc, span, later, out = None, None, [], []
+_PART = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
-    def end() -> None:
-        if span:
-            out.append((*doc, span[0], span[1], [{"begin": x, "end": y} for x, y in later]))
 
-    for b in batches:
-        for d, r, x, y, z in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if (d, r) != doc or x > span[1]:
-                end()
-                doc, span, later = (d, r), [x, y], []
-            span[1] = max(span[1], y)
-            if z:
-                if later and x <= later[-1][1]:
-                    later[-1][1] = max(later[-1][1], y)
-                else:
-                    later.append([x, y])
-        if len(out) > 5000:
-            yield _span_batch(out, kind)
-            out = []
-    end()
-    if out:
-        yield _span_batch(out, kind)
+def _runs(group: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges sorted by group, then begin: where those begin that no earlier one of their group reaches, and how far each such run reaches."""
+    base = group << 40  # words of a document are far fewer, so ranges of different groups never meet
+    reach = np.maximum.accumulate(base + end)
+    first = np.flatnonzero(np.concatenate([[True], base[1:] + begin[1:] > reach[:-1]]))
+    return first, reach[np.concatenate([first[1:], [len(reach)]]) - 1] - base[first]
+
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows doc, row, begin, end, later, sorted by doc, row and begin, to spans with their later parts."""
 
-def _span_batch(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    c = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4], kind)], names=["doc", "row", "begin_word", "end_word", "later"])
+    def merged(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans (doc, row, begin, end), how many later parts each has, and these (begin, end)."""
+        other = (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])
+        group = np.concatenate([[0], other.cumsum()])
+        first, end = _runs(group, a[2], a[3])
+        z = np.flatnonzero(a[4])
+        if not len(z):
+            return np.stack([*a[:3, first], end]), np.zeros(len(first), np.int64), np.zeros((2, 0), np.int64)
+        part, reach = _runs(group[z], a[2, z], a[3, z])
+        of = np.searchsorted(first, z[part], "right") - 1
+        return np.stack([*a[:3, first], end]), np.bincount(of, minlength=len(first)), np.stack([a[2, z[part]], reach])
+
+    def out(spans: np.ndarray, n: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        offsets = np.concatenate([[0], n.cumsum()]).astype(np.int32)
+        later = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in parts], fields=list(_PART)))
+        whole = pa.RecordBatch.from_arrays([*[pa.array(x) for x in spans], later], names=["doc", "row", "begin_word", "end_word", "later"])
+        for at in range(0, whole.num_rows, MOST_OUT):
+            yield whole.slice(at, MOST_OUT)
+
+    held = np.zeros((5, 0), np.int64)  # the last span, as the first of the next rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [*[b.column(i).to_numpy() for i in range(4)], b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)]
+        spans, n, parts = merged(np.concatenate([held, np.stack(rows)], axis=1))
+        yield from out(spans[:, :-1], n[:-1], parts[:, : len(parts[0]) - n[-1]])
+        last = np.concatenate([spans[2:, -1:], parts[:, len(parts[0]) - n[-1] :]], axis=1)
+        held = np.stack([np.full(len(last[0]), spans[0, -1]), np.full(len(last[0]), spans[1, -1]), *last, np.arange(len(last[0])) > 0])
+    if len(held[0]):
+        yield from out(*merged(held))
 
 
 def _keyed(docs: DataFrame, doc: str, row: str) -> tuple[DataFrame, DataFrame | None]:
@@ -297,8 +337,8 @@ def _spans(docs: DataFrame, copies: DataFrame | None, words: int) -> DataFrame:
     # extension of classes that share K words with others: their stretches, taken from the texts once more
     one = ["key", "kind", "doc", "row", "at"]
     mixed = classes.filter("mixed").select(one)
-    wanted = spark.sparkContext.broadcast(common.bloom(mixed, one, _name))
-    found = docs.mapInArrow(common.tidy(_stretches(words, wanted)), ", ".join(f"{x} long" for x in one) + ", hashes array<long>")
+    wanted, documents = (spark.sparkContext.broadcast(common.bloom(mixed, of, _name)) for of in (one, ["doc", "row"]))
+    found = docs.mapInArrow(common.tidy(_stretches(words, documents, wanted)), ", ".join(f"{x} long" for x in one) + ", hashes array<long>")
     # false ones go; copies bring the same suffixes again
     found = common.materialise(found.join(mixed, one, "left_semi").dropDuplicates(one), "stretches")
     each_hash = found.select("key", "kind", F.struct("doc", "row", "at").alias("place"), F.posexplode("hashes").alias("i", "hash"))

@@ -5,10 +5,12 @@ import io
 import json
 import math
 import os
+import random
 import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,32 @@ def test_suffix_dedup_repeats_and_empty(spark):
     assert Counter(r.doc_id for r in suffix_dedup.spans(docs(spark, *hot)).collect()) == {i: 1 for i in range(60)}
 
 
+def test_suffixes_of_many_texts_at_once():
+    """Texts taken together have the suffixes that each has alone, none across two texts; short ones cost no pass of their own."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.choice((0, 3, 49, 50, 51, 200)))) for _ in range(120)]
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64()), pa.array(texts)], names=["doc", "row", "text"])
+    groups = list(suffix_dedup._suffixes(iter([batch(texts)]), 50))
+    assert len(groups) == 1
+    doc, row, s = groups[0]
+    together = [(d, k, x, a, b, n, h) for d, k, x, a, b, n, h in zip(doc.tolist(), s.key, s.kind, s.at, s.begin, s.n, s.stretches(np.arange(len(s.n))).to_pylist(), strict=True)]
+    alone = []
+    for i, t in enumerate(texts):
+        for _, _, s in suffix_dedup._suffixes(iter([batch([t])]), 50):
+            alone += [(i, k, x, a, b, n, h) for k, x, a, b, n, h in zip(s.key, s.kind, s.at, s.begin, s.n, s.stretches(np.arange(len(s.n))).to_pylist(), strict=True)]
+    assert together == alone and set(row.tolist()) == {7}
+
+
+def test_spans_over_batches():
+    """Spans and their later parts are the same however rows are cut into batches."""
+    rows = [(1, 0, 0, 5, 0), (1, 0, 2, 9, 1), (1, 0, 9, 12, 1), (1, 0, 14, 20, 0), (1, 1, 0, 3, 1), (1, 1, 1, 2, 0), (2, 0, 4, 6, 0)]
+    table = pa.table([pa.array([bool(r[i]) if i == 4 else r[i] for r in rows]) for i in range(5)], names=["doc", "row", "b", "e", "later"])
+    for size in (1, 2, 7):
+        found = [tuple(r.values()) for b in suffix_dedup._merged(iter(table.to_batches(size))) for r in b.to_pylist()]
+        part = lambda b, e: {"begin": b, "end": e}
+        assert found == [(1, 0, 0, 12, [part(2, 12)]), (1, 0, 14, 20, []), (1, 1, 0, 3, [part(0, 3)]), (2, 0, 4, 6, [])]
+
+
 def test_suffix_dedup_tells_rows_apart(spark):
     passage, unique, short = prose(1, 50), prose(2, 200), prose(3, 20)
     for i in (None, 4):
