@@ -14,7 +14,7 @@ from quarry.functions import table_functions, urls
 from quarry.operators import coverage, entities
 from quarry.plans import reports
 from quarry.plans.queries import SQL, query
-from quarry.session import shared_folder, table
+from quarry.session import BY_TASKS, shared_folder, table
 from quarry.sources import filings
 
 _ACCESSION = "concat(lpad(CAST(o_custkey AS {s}), 10, '0'), '-', lpad(CAST(year(o_orderdate) % 100 AS {s}), 2, '0'), '-', lpad(CAST(o_orderkey % 1000000 AS {s}), 6, '0'))"
@@ -244,7 +244,7 @@ def source_holdings_13f_files(spark: SparkSession, d: str) -> DataFrame:
     """The same filings as files, read by row tag."""
     docs = xml(table(spark, d, "lineitem"), "l_suppkey", POSITION, *INFORMATION_TABLE)
     path = f"{shared_folder(spark)}/quarry/13f-{uuid.uuid4().hex}"
-    docs.withColumnRenamed("l_suppkey", "filing").repartition("filing").write.partitionBy("filing").text(path)
+    docs.withColumnRenamed("l_suppkey", "filing").repartition("filing").write.options(**BY_TASKS).partitionBy("filing").text(path)
     filed = table(spark, d, "supplier").selectExpr("s_suppkey AS filing", "CASE s_suppkey % 3 WHEN 0 THEN DATE '2022-12-31' WHEN 1 THEN DATE '2023-01-01' END AS filing_date")
     rows = filings.holdings_13f_files(spark, path, filed)
     return rows.select("filing", "name", "cusip", F.col("value_usd").cast("double").alias("value_usd"), F.col("shares").cast("double").alias("shares"), "put_call", "weight_pct")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import dates, text
+from quarry.session import written
 from quarry.sources.file_heads import FileHeads
 
 
@@ -253,11 +254,11 @@ def holdings_13f_files(spark: SparkSession, path: str, filings_: DataFrame, fili
     """holdings_13f() of files below path, in a folder filing=... for each, however large: elements() reads them in shares.
 
     filings_ (filing, filing_date) says when each was filed; filings without a row there count as undated. A filing's total is
-    summed by position and joined back. Rows have no place, since a task doesn't know how many stand before its share.
+    summed by position and joined back, after positions are parsed once and written. Rows have no place, since a task doesn't know how many stand before its share.
     """
     read = elements(spark, path, "infoTable", POSITION).withColumn(filing, F.col(filing).cast(filings_.schema[filing].dataType))
     dated = filings_.groupBy(filing).agg(F.max(filed).alias(filed))
-    rows = _positions(read.join(dated, filing, "left"), filed, filing, filed)
+    rows = written(_positions(read.join(dated, filing, "left"), filed, filing, filed), "positions")
     total = rows.groupBy(filing).agg(F.sum("value_usd").alias("_total"))
     weight = dates.pct(F.col("value_usd").cast("double"), F.col("_total").cast("double"))
     return rows.join(total, filing).withColumn("weight_pct", weight).drop("_total")

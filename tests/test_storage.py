@@ -347,3 +347,16 @@ def test_state_is_written_once_a_bucket():
 
     gone = pd.concat(once.handleExpiredTimer((0,), At(), None)).set_index("once_key")["times"]
     assert len(gone) == 3000 and (gone["0"], gone["1"], gone["2"]) == (1, 3, 2) and handle.timers == {7}
+
+
+def test_positions_of_files_are_parsed_once(spark, tmp_path):
+    """The total and the rows are read from what was parsed, not both from the files."""
+    from quarry.sources import filings
+
+    for k in (1, 2):
+        (tmp_path / f"x/filing={k}").mkdir(parents=True)
+        (tmp_path / f"x/filing={k}/a.xml").write_text("<t>" + "".join(f"<infoTable><nameOfIssuer>n</nameOfIssuer><value>{v}</value></infoTable>" for v in (k, 3 * k)) + "</t>")
+    filed = spark.createDataFrame([(1, None)], "filing long, filing_date date")
+    rows = filings.holdings_13f_files(spark, str(tmp_path / "x"), filed)
+    assert "infoTable" not in rows._jdf.queryExecution().toString() and "from_xml" not in rows._jdf.queryExecution().toString()
+    assert sorted((r.filing, int(r.value_usd), r.weight_pct) for r in rows.collect()) == [(1, 1, 25.0), (1, 3, 75.0), (2, 2, 25.0), (2, 6, 75.0)]
