@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import running
+from quarry.session import BY_TASKS
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -15,8 +16,9 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_by(rows: DataFrame, path: str, *keys: str, mode: str = "overwrite") -> None:
-    """Parquet in a folder for each key. Rows are dealt out by the keys and a few salts, so a folder has few files."""
-    rows.repartition(*[F.col(k) for k in keys], F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.mode(mode).partitionBy(*keys).parquet(path)
+    """Parquet in a folder for each key. Rows are dealt out by the keys; Spark parts what is too much for a task, so a folder has one file
+    or few, and most folders one."""
+    rows.hint("rebalance", *[F.col(k) for k in keys]).write.mode(mode).options(**BY_TASKS).partitionBy(*keys).parquet(path)
 
 
 def write_by_letter(rows: DataFrame, path: str, symbol: str, mode: str = "overwrite") -> None:
@@ -46,7 +48,7 @@ def rolled_by_bytes(rows: DataFrame, key: str, size: Column, most: int, ties: li
 def write_rolled_by_bytes(rows: DataFrame, path: str, key: str, size: Column, most: int, ties: list[Column] | None = None, mode: str = "overwrite") -> None:
     """Zstandard Parquet: a folder file=... with one file for each name of rolled_by_bytes(), in order of key."""
     named = rolled_by_bytes(rows, key, size, most, ties).repartition("file").sortWithinPartitions("file", F.asc_nulls_first(key), *(ties or []))
-    named.write.mode(mode).option("compression", "zstd").partitionBy("file").parquet(path)
+    named.write.mode(mode).options(**BY_TASKS).option("compression", "zstd").partitionBy("file").parquet(path)
 
 
 def write_quarters(rows: DataFrame, path: str, day: str, mode: str = "overwrite") -> None:

@@ -360,3 +360,11 @@ def test_positions_of_files_are_parsed_once(spark, tmp_path):
     rows = filings.holdings_13f_files(spark, str(tmp_path / "x"), filed)
     assert "infoTable" not in rows._jdf.queryExecution().toString() and "from_xml" not in rows._jdf.queryExecution().toString()
     assert sorted((r.filing, int(r.value_usd), r.weight_pct) for r in rows.collect()) == [(1, 1, 25.0), (1, 3, 75.0), (2, 2, 25.0), (2, 6, 75.0)]
+
+
+def test_write_by_writes_one_file_for_a_small_key(spark, tmp_path):
+    from quarry.sources import sinks
+
+    sinks.write_by(spark.range(4000).selectExpr("id", "id % 10 AS k"), str(tmp_path / "by"), "k")
+    assert {f"k={k}": 1 for k in range(10)} == {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "by").glob("k=*")}
+    assert spark.read.parquet(str(tmp_path / "by")).count() == 4000
