@@ -14,6 +14,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import date
 from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal, InvalidOperation
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
@@ -27,20 +28,23 @@ KINDS = {"int": IntegerType(), "string": StringType(), "boolean": BooleanType(),
 CENTI, TEN_THOUSANDTH = Decimal("1e-8"), Decimal("1e-4")
 
 
-def _local(e: ET.Element) -> str:
-    return e.tag.rsplit("}", 1)[-1]
+@lru_cache(1024)
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
 
 
 def _children(e: ET.Element | None, name: str) -> list[ET.Element]:
-    return [] if e is None else [c for c in e if _local(c) == name]
+    return [] if e is None else [c for c in e if _local(c.tag) == name]
 
 
-def _at(e: ET.Element | None, path: str) -> str:
-    """The text at a path of names, the last where several are, without spaces around; else empty."""
-    for name in path.split("/"):
-        found = _children(e, name)
-        e = found[-1] if found else None
-    return (e.text or "").strip(" ") if e is not None else ""
+def _members(e: ET.Element | None) -> dict[str, ET.Element]:
+    """The elements in an element by name, the last where several are."""
+    return {} if e is None else {_local(c.tag): c for c in e}
+
+
+def _text(e: ET.Element | None) -> str:
+    """An element's text, without spaces around; else empty."""
+    return "" if e is None else (e.text or "").strip(" ")
 
 
 def _number(s: str) -> Decimal | None:
@@ -66,6 +70,12 @@ def _keyed(table: AnalyzeArgument, columns: str) -> AnalyzeResult:
     return AnalyzeResult(schema)
 
 
+def _value(e: ET.Element | None) -> str:
+    """The text of the element "value" in an element, of the last where several are."""
+    found = _children(e, "value")
+    return _text(found[-1]) if found else ""
+
+
 class Positions13F:
     """Positions of information tables (key, filing_date, content), in dollars, with their weights in percent of the partition."""
 
@@ -79,9 +89,11 @@ class Positions13F:
     def eval(self, doc: Row) -> None:
         thousands = doc["filing_date"] is not None and doc["filing_date"] < date.fromisoformat(DOLLARS_SINCE)
         for place, e in enumerate(_children(_root(doc["content"]), "infoTable")):
-            value = (_number(_at(e, "value")) or Decimal(0)) * (1000 if thousands else 1)
-            shares = _number(_at(e, "shrsOrPrnAmt/sshPrnamt")) or Decimal(0)
-            self.rows.append((doc[0], place, _at(e, "nameOfIssuer"), _at(e, "cusip"), _at(e, "titleOfClass"), value, shares, _at(e, "shrsOrPrnAmt/sshPrnamtType"), _at(e, "putCall") or None))
+            of = _members(e).get
+            amount = _members(of("shrsOrPrnAmt")).get
+            value = (_number(_text(of("value"))) or Decimal(0)) * (1000 if thousands else 1)
+            shares = _number(_text(amount("sshPrnamt"))) or Decimal(0)
+            self.rows.append((doc[0], place, _text(of("nameOfIssuer")), _text(of("cusip")), _text(of("titleOfClass")), value, shares, _text(amount("sshPrnamtType")), _text(of("putCall")) or None))
 
     def terminate(self) -> Iterator[tuple]:
         total = float(sum((r[5] for r in self.rows), Decimal(0)))
@@ -104,19 +116,21 @@ class InsiderTransactions:
     def eval(self, doc: Row) -> Iterator[tuple]:
         root = _root(doc["content"])
         owner = (_children(root, "reportingOwner") or [None])[-1]
-        flag = lambda name: _at(owner, f"reportingOwnerRelationship/{name}").lower() in ("1", "true")
-        title = _at(owner, "reportingOwnerRelationship/officerTitle") or None
+        relation, identity = (_members(_members(owner).get(f"reportingOwner{x}")).get for x in ("Relationship", "Id"))
+        flag = lambda name: _text(relation(name)).lower() in ("1", "true")
+        title = _text(relation("officerTitle")) or None
         director, ten = flag("isDirector"), flag("isTenPercentOwner")
         role = title or ("Director" if director else "10% Owner" if ten else "Insider")
-        who = (_at(owner, "reportingOwnerId/rptOwnerName"), _at(owner, "reportingOwnerId/rptOwnerCik"), title, director, flag("isOfficer"), ten, role)
+        who = (_text(identity("rptOwnerName")), _text(identity("rptOwnerCik")), title, director, flag("isOfficer"), ten, role)
         tables = [(e, kind == "derivative") for kind in ("nonDerivative", "derivative") for t in _children(root, f"{kind}Table")[-1:] for e in _children(t, f"{kind}Transaction")]
         for place, (e, derivative) in enumerate(tables):
-            day, code = _at(e, "transactionDate/value"), _at(e, "transactionCoding/transactionCode")
-            number = lambda name, e=e: _number(_at(e, f"{name}/value"))
+            of = _members(e).get
+            amounts, after = (_members(of(x)).get for x in ("transactionAmounts", "postTransactionAmounts"))
+            day, code = _value(of("transactionDate")), _text(_members(of("transactionCoding")).get("transactionCode"))
             yield (
-                doc[0], place, *who, derivative, _at(e, "securityTitle/value"), _day(day), code, text.TRANSACTIONS.get(code, "Transaction"),
-                number("transactionAmounts/transactionShares") or Decimal(0), number("transactionAmounts/transactionPricePerShare") or None,
-                _at(e, "transactionAmounts/transactionAcquiredDisposedCode/value"), number("postTransactionAmounts/sharesOwnedFollowingTransaction") or Decimal(0),
+                doc[0], place, *who, derivative, _value(of("securityTitle")), _day(day), code, text.TRANSACTIONS.get(code, "Transaction"),
+                _number(_value(amounts("transactionShares"))) or Decimal(0), _number(_value(amounts("transactionPricePerShare"))) or None,
+                _value(amounts("transactionAcquiredDisposedCode")), _number(_value(after("sharesOwnedFollowingTransaction"))) or Decimal(0),
             )
 
 
@@ -128,5 +142,5 @@ def _day(s: str) -> date | None:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("positions_13f", udtf(Positions13F))
-    spark.udtf.register("insider_transactions", udtf(InsiderTransactions))
+    spark.udtf.register("positions_13f", udtf(Positions13F, useArrow=True))
+    spark.udtf.register("insider_transactions", udtf(InsiderTransactions, useArrow=True))

@@ -349,6 +349,15 @@ def test_state_is_written_once_a_bucket():
     assert len(gone) == 3000 and (gone["0"], gone["1"], gone["2"]) == (1, 3, 2) and handle.timers == {7}
 
 
+def test_table_functions_pass_rows_by_arrow(spark):
+    from quarry.functions import table_functions
+
+    table_functions.register(spark)
+    for name, columns in (("positions_13f", "1 AS filing, DATE '2024-01-01' AS filing_date, '<a/>' AS content"), ("insider_transactions", "1 AS filing, '<a/>' AS content")):
+        found = spark.sql(f"SELECT * FROM {name}(TABLE(SELECT {columns}) PARTITION BY filing)")
+        assert found.collect() == [] and "ArrowEvalPythonUDTF" in found._jdf.queryExecution().toString()
+
+
 def test_positions_of_files_are_parsed_once(spark, tmp_path):
     """The total and the rows are read from what was parsed, not both from the files."""
     from quarry.sources import filings
