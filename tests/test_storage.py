@@ -118,6 +118,19 @@ def test_in_ranges(spark):
     assert [r.out for r in entities.in_ranges(rows, "value", ranges_.filter("false"), "low", "high", "label", "out").collect()] == [None] * len(values)
 
 
+def test_in_ranges_gives_equal_labels_one_after_the_other(spark):
+    rows = spark.createDataFrame([(v, k) for k in range(40) for v in (1, 2, None)], "value int, k int")
+    ranges_ = spark.createDataFrame([(0, 5, label) for label in range(30)], "low int, high int, label int")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [(r.value, r.out) for r in entities.in_ranges(rows, "value", ranges_, "low", "high", "label", "out").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert Counter(got) == Counter({(v, label): 40 for v in (1, 2) for label in range(30)} | {(None, None): 40})
+    assert sum(a != b for a, b in zip(got, got[1:], strict=False)) <= 60  # a run for each value and label, and one without
+
+
 def test_running_sums(spark):
     rows = spark.createDataFrame([(None if k % 10 == 0 else k * 7 % 50, k) for k in range(200)], "key long, amount long").repartition(5)
     got = sorted(running.before(rows, "key", {"sum": F.col("amount"), "n": F.lit(1)}, [F.asc("amount")]).collect(), key=lambda r: (r.key is not None, r.key or 0, r.amount))
