@@ -92,7 +92,7 @@ def thousands(c: Column) -> Column:
 
 
 def base_name(c: Column) -> Column:
-    return F.element_at(F.split(c, "/"), -1)
+    return F.substring_index(c, "/", -1)
 
 
 def symbol_variants(c: Column) -> Column:

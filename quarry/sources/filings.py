@@ -6,6 +6,8 @@ rows of the artifact. Malformed artifacts give no rows; missing texts are empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -334,9 +336,18 @@ def feed_entries(docs: DataFrame, content: str = "content", keep: list[str] | No
 # ---- HTML ------------------------------------------------------------------------------------------------------------
 
 
-def _cells(docs: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    rows = docs.select(*keep, F.posexplode(F.regexp_extract_all(content, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("place", "tr"))
-    return rows.select(*keep, "place", F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)).alias("c"))
+#: An element of a name and what it holds, up to the first end of that name. Each character is looked at once, and nothing is tried again.
+_ELEMENT = r"(?is)<{name}\b[^>]*>([^<]*+(?:<(?!/{name}>)[^<]*+)*+)</{name}>"
+
+
+def _cells(docs: DataFrame, content: str, keep: list[str], row: Callable[[Column], Column]) -> DataFrame:
+    """keep, place and r, which row() makes of a table row's cells; rows of which it makes null go.
+
+    All of it stands within the generator, so a filter on its columns takes no cell apart again.
+    """
+    inside = lambda c, name: F.regexp_extract_all(c, F.lit(_ELEMENT.replace("{name}", name)), F.lit(1))
+    cells = F.transform(inside(F.col(content), "tr"), lambda tr: inside(tr, "t[dh]"))
+    return docs.select(*keep, F.posexplode(F.transform(cells, row)).alias("place", "r")).filter("r is not null")
 
 
 def _plain(c: Column) -> Column:
@@ -347,13 +358,20 @@ def _plain(c: Column) -> Column:
 def filing_index(docs: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """name and type of each document on a filing's index page: rows of four cells or more with a link in the third."""
     keep = keep or [c for c in docs.columns if c != content]
-    rows = _cells(docs, content, keep).filter(F.size("c") >= 4)
-    href = F.regexp_extract(F.get("c", F.lit(2)), r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1)
-    href = F.regexp_replace(href, r"^.*[?&]doc=([^&]*).*$", "$1")
-    return rows.select(*keep, "place", text.base_name(href).alias("name"), _plain(F.get("c", F.lit(3))).alias("type")).filter("name != ''")
+
+    def row(c: Column) -> Column:
+        href = F.regexp_extract(F.get(c, F.lit(2)), r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1)
+        href = F.when(F.contains(href, F.lit("doc=")), F.regexp_replace(href, r"^.*[?&]doc=([^&]*).*$", "$1")).otherwise(href)
+        return F.when(F.size(c) >= 4, F.struct(text.base_name(href).alias("name"), _plain(F.get(c, F.lit(3))).alias("type")))
+
+    return _cells(docs, content, keep, row).select(*keep, "place", "r.name", "r.type").filter("name != ''")
 
 
 def sic_codes(docs: DataFrame, content: str = "content") -> DataFrame:
     """code, office, description of the rows of exactly three cells with a numeric code."""
-    rows = _cells(docs, content, []).filter(F.size("c") == 3)
-    return rows.select(_plain(F.get("c", F.lit(0))).try_cast("int").alias("code"), text.office_name(_plain(F.get("c", F.lit(1)))).alias("office"), _plain(F.get("c", F.lit(2))).alias("description")).filter("code is not null")
+
+    def row(c: Column) -> Column:
+        cell = lambda i: _plain(F.get(c, F.lit(i)))
+        return F.when(F.size(c) == 3, F.struct(cell(0).try_cast("int").alias("code"), text.office_name(cell(1)).alias("office"), cell(2).alias("description")))
+
+    return _cells(docs, content, [], row).select("r.*").filter("code is not null")

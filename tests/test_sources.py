@@ -74,6 +74,18 @@ def test_html_sources(spark):
     assert [tuple(r) for r in filings.sic_codes(docs(spark, sic)).collect()] == [(100, "Life", "Crops & more")]
 
 
+def test_html_tables_are_taken_apart_once(spark):
+    row = lambda *cells: "<TR class='r'>" + "".join(f"<td>{c}</TD>" for c in cells) + "</tr>"
+    page = row("1", "x < y </b", "<a\nHREF = 'a/b.htm'>b</a>", "10-K\n&amp;") + row("2", "", "<a href='x?doc=/d/c.htm&y'>", "8-K") + row("3", "", "<a href='d/'>", "none") + row("4", "", "<a href='e.htm'>") + "<tr><td>5</td>"
+    found = filings.filing_index(docs(spark, page, "", None))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "b.htm", "10-K &"), (1, "c.htm", "8-K")]
+    sic = filings.sic_codes(docs(spark, "<table>" + row("100", "Office of Life", "Crops < more") + row("1", "y") + "</table>"))
+    assert [tuple(r) for r in sic.collect()] == [(100, "Life", "Crops < more")]
+    for rows in (found, sic):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 2  # rows, and cells in them
+
+
 def test_profile_and_hits(spark):
     doc = json.dumps({"cik": "5", "name": "N", "ownerOrg": "06 Technology", "fiscalYearEnd": "0930", "stateOfIncorporation": "CA", "exchanges": ["X", "X", None], "ein": ""})
     r = filings.company_profiles(docs(spark, doc)).first()
