@@ -14,7 +14,7 @@ from quarry.functions import table_functions, urls
 from quarry.operators import coverage, entities
 from quarry.plans import reports
 from quarry.plans.queries import SQL, query
-from quarry.session import BY_TASKS, shared_folder, table
+from quarry.session import BY_TASKS, shared_folder, spread, table
 from quarry.sources import filings
 
 _ACCESSION = "concat(lpad(CAST(o_custkey AS {s}), 10, '0'), '-', lpad(CAST(year(o_orderdate) % 100 AS {s}), 2, '0'), '-', lpad(CAST(o_orderkey % 1000000 AS {s}), 6, '0'))"
@@ -216,8 +216,14 @@ def _tag(name: str, value: str) -> str:
     return f"'<{name}>', {value}, '</{name}>'"
 
 
+#: Rows of a task that writes artifacts and parses them: some seconds of work.
+ARTIFACT_ROWS = 100_000
+
+
 def xml(rows: DataFrame, key: str, row: str, before: str, behind: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.concat(F.lit(before), F.array_join(F.collect_list(F.expr(row)), ""), F.lit(behind)).alias("content"))
+    """An artifact for each key. Rows are dealt out by the key first, so they are shuffled instead of their elements' texts, which are
+    far longer, and tasks are as many as the parsing needs."""
+    return spread(rows, key, most=ARTIFACT_ROWS).groupBy(key).agg(F.concat(F.lit(before), F.array_join(F.collect_list(F.expr(row)), ""), F.lit(behind)).alias("content"))
 
 
 INFORMATION_TABLE = '<?xml version="1.0"?><informationTable xmlns="http://www.sec.gov/edgar/document/thirteenf/informationtable">', "</informationTable>"
@@ -287,7 +293,7 @@ _TRADE = "concat('<', kind, 'Transaction>', " + ", ".join([_value("securityTitle
 def _insider_reports(spark: SparkSession, d: str) -> DataFrame:
     """A report for each supplier, with two owners of whom the second counts."""
     rows = table(spark, d, "lineitem").withColumn("derivative", F.col("l_returnflag") == "N").withColumn("kind", F.expr("IF(derivative, 'derivative', 'nonDerivative')"))
-    tables = rows.groupBy("l_suppkey").agg(*[F.array_join(F.collect_list(F.when(F.col("derivative") == x, F.expr(_TRADE))), "").alias(n) for n, x in (("n", False), ("dv", True))])
+    tables = spread(rows, "l_suppkey", most=ARTIFACT_ROWS).groupBy("l_suppkey").agg(*[F.array_join(F.collect_list(F.when(F.col("derivative") == x, F.expr(_TRADE))), "").alias(n) for n, x in (("n", False), ("dv", True))])
     owner = "concat('<reportingOwner><reportingOwnerId><rptOwnerCik>', {cik}, '</rptOwnerCik><rptOwnerName>', {name}, '</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>', {director}, '</isDirector><isTenPercentOwner>', {ten}, '</isTenPercentOwner><officerTitle>', {title}, '</officerTitle></reportingOwnerRelationship></reportingOwner>')"
     one = F.expr(owner.format(cik="'1'", name="'First'", director="'1'", ten="'1'", title="'President'"))
     two = F.expr(owner.format(cik="lpad(l_suppkey, 10, '0')", name="concat('Owner ', l_suppkey)", director="IF(l_suppkey % 4 = 0, 'true', IF(l_suppkey % 4 = 1, '1', '0'))", ten="IF(l_suppkey % 4 = 2, 'TRUE', 'false')", title="IF(l_suppkey % 4 = 0, ' Chief ', ' ')"))

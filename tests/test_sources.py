@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quarry.plans import source_queries
 from quarry.sources import filings, sinks
 from quarry.streaming import feed
 
@@ -86,6 +87,15 @@ def test_html_tables_are_taken_apart_once(spark):
         assert plan.count("regexp_extract_all(") == 2  # rows, and cells in them
 
 
+def test_artifacts_are_made_in_many_tasks(spark, sf_dir):
+    least = 2 * spark.sparkContext.defaultParallelism
+    for made in (source_queries.xml(spark.range(100).withColumn("k", F.col("id") % 10), "k", "concat('<r>', id, '</r>')", "<t>", "</t>"), source_queries._insider_reports(spark, sf_dir)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("collect_list")  # rows are shuffled, not their texts
+        assert made.rdd.getNumPartitions() >= least  # small tables too: parsing takes far longer than reading
+    assert {r.content.count("<r>") for r in source_queries.xml(spark.range(100).withColumn("k", F.col("id") % 10), "k", "concat('<r>', id, '</r>')", "<t>", "</t>").collect()} == {10}
+
+
 def test_profile_and_hits(spark):
     doc = json.dumps({"cik": "5", "name": "N", "ownerOrg": "06 Technology", "fiscalYearEnd": "0930", "stateOfIncorporation": "CA", "exchanges": ["X", "X", None], "ein": ""})
     r = filings.company_profiles(docs(spark, doc)).first()
