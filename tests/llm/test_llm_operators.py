@@ -222,6 +222,24 @@ def test_links_of_very_large_sets_are_counted_in_whole_numbers():
     assert ngram_jaccard._linked(rows, 0, 0, ngram_jaccard.Bound(90, 100)) == [(1, 2)]
 
 
+def test_bitmaps_tell_long_sets_apart():
+    """Bitmaps of one length would be as random for long sets, and each pair of those would be counted; lengths may differ in a pair."""
+    rng, bound = np.random.default_rng(2), ngram_jaccard.Bound(80, 100)
+    other = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (3000, 3100, 4000, 4200)]
+    copy = np.concatenate([other[2], rng.integers(0, 1 << 63, 200, dtype=np.uint64)])
+    rows = [(k, len(h), ngram_jaccard._bitmap(h)) for k, h in enumerate([*other, copy])]
+    assert ngram_jaccard._close(rows, rows, True, bound) == [(2, 4)]
+    assert ngram_jaccard._close(rows[:3], rows[3:], False, bound) == [(2, 4)] and len(rows[2][2]) < len(rows[4][2])
+
+
+def test_a_row_of_a_large_group_goes_to_a_bounded_number_of_tasks(spark):
+    bound = ngram_jaccard.Bound(80, 100)
+    for n in (2000, 8000):
+        members = spark.range(n).selectExpr("1L AS cluster", "id AS node", "100L AS size")
+        work = ngram_jaccard._work(members, bound, F.lit(1), 100, 100_000, ["size"])
+        assert n * ngram_jaccard.SHARES <= work.count() <= n * (ngram_jaccard.SHARES + 1)
+
+
 # ---- 3: nearest neighbours -------------------------------------------------------------------------------------------
 
 
