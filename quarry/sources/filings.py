@@ -244,7 +244,7 @@ def elements(spark: SparkSession, path: str, tag: str, members: str) -> DataFram
     """r, a struct of members, for each element of a name in the XML files below path; and the columns of their folders.
 
     Files are cut behind each end of the tag, as lines are at line breaks, so one large file is read by many tasks, each from
-    the first end in its share on. Elements don't hold others of their name. Prefixes of names don't count.
+    the first end in its share on; a packed one (.gz) by one task. Elements don't hold others of their name. Prefixes of names don't count.
     """
     parts = spark.read.option("lineSep", f"{tag}>").text(path).filter(F.col("value").rlike(r"</(?:[\w.-]+:)?$"))
     inner = F.regexp_replace(F.regexp_extract("value", _INNER.replace("{tag}", tag), 1), r"(</?)[\w.-]+:", "$1")

@@ -384,6 +384,20 @@ def test_positions_of_files_are_parsed_once(spark, tmp_path):
     assert sorted((r.filing, int(r.value_usd), r.weight_pct) for r in rows.collect()) == [(1, 1, 25.0), (1, 3, 75.0), (2, 2, 25.0), (2, 6, 75.0)]
 
 
+def test_information_tables_are_packed_on_disk(spark, sf_dir, tmp_path, monkeypatch):
+    """A position's text has some 300 bytes; a file for each filing all the same, and the rows of the other query."""
+    from quarry.plans import source_queries
+    from quarry.session import table
+
+    monkeypatch.setattr(source_queries, "shared_folder", lambda spark: f"file://{tmp_path}")
+    rows = source_queries.source_holdings_13f_files(spark, sf_dir)
+    files, items = list(tmp_path.glob("quarry/13f-*/filing=*/part-*")), table(spark, sf_dir, "lineitem")
+    assert len(files) == items.select("l_suppkey").distinct().count()
+    assert sum(f.stat().st_size for f in files) < 60 * items.count()
+    other = source_queries.source_holdings_13f(spark, sf_dir)
+    assert rows.count() == items.count() and rows.exceptAll(other.select(rows.columns)).count() == 0
+
+
 def test_write_by_writes_one_file_for_a_small_key(spark, tmp_path):
     from quarry.sources import sinks
 
